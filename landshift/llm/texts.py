@@ -1,7 +1,7 @@
 """Whole texts as numpy arrays inside Arrow batches: words, hashes of words and of word n-grams.
 
 A word is ``[^\\x20\\x09-\\x0D]+``. All separators are ASCII, so words are found on UTF-8 bytes.
-Work arrays are made for a few megabytes of text at a time; only a single longer text exceeds that.
+Work arrays are made for a megabyte of text at a time; only a single longer text exceeds that.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
