@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from landshift.llm import exactdup, mixing, pieces, secrets, warc
+from landshift.llm import exactdup, langid, mixing, pieces, secrets, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,7 +33,19 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoded(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def _remainder(n: int):
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.learned(docs.where(_remainder(3) != 1).select("text", "lang"))
+    found = langid.predicted(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (_remainder(3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
+    "op7_language_id": op7_language_id,
     "op9_sentencepiece": op9_sentencepiece,
     "op8_mixing": op8_mixing,
     "op1_warc": op1_warc,
