@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landshift.llm import exactdup, langid, mixing, pieces, secrets, warc
+from landshift.llm import exactdup, langid, mixing, pieces, quality, secrets, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,7 +44,15 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (_remainder(3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").where(_remainder(5) != 0)
+    found = quality.scored(docs, quality.learned(docs, labels))
+    return found.select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 QUERIES = {
+    "op2_quality": op2_quality,
     "op7_language_id": op7_language_id,
     "op9_sentencepiece": op9_sentencepiece,
     "op8_mixing": op8_mixing,
