@@ -47,7 +47,8 @@ def page_records(pages: DataFrame, revisit_from: int = REVISIT_FROM, date: str =
     key = F.concat_ws("\n", F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.coalesce("url", F.lit("")), "sha256")
     rows = rows.withColumn("key", key).withColumn("rid", _urn("response", F.col("key")))
     same = rows.where(F.col("size") >= revisit_from).select("sha256", F.struct("page_id", "rid", "url").alias("top"))
-    same = same.groupBy("sha256").agg(F.max("top").alias("top"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # Written first, so that Spark knows its size: payloads are shuffled only if repeats are too many to broadcast.
+    same = written(same.groupBy("sha256").agg(F.max("top").alias("top"), F.count("*").alias("n")).where("n > 1").drop("n"), "warc-repeats")
     rows = rows.join(same, (rows.sha256 == same.sha256) & (rows.size >= revisit_from), "left").drop(same.sha256)
     other = F.col("top").isNotNull() & (F.col("top.rid") != F.col("rid"))
     return rows.select("page_id", "url", "payload", "sha1", "size", "key", "rid", F.when(other, F.col("top")).alias("refers"), F.lit(date).alias("date"))
@@ -84,18 +85,17 @@ def _inflated(content: memoryview, step: int = 1 << 18) -> Iterator[bytes]:
         for at in range(0, len(content), step):
             yield bytes(content[at : at + step])
         return
-    at, member = 0, zlib.decompressobj(31)
-    pending = b""
+    at, member, pending = 0, zlib.decompressobj(31), b""
     while at < len(content) or pending:
         if not pending:
             pending, at = bytes(content[at : at + step]), at + step
         if member.eof:
-            if pending[:1] == b"\0":  # padding after the last member
-                pending = pending.lstrip(b"\0")
+            pending = pending.lstrip(b"\0")  # padding between members
+            if not pending:
                 continue
             member = zlib.decompressobj(31)
-        yield member.decompress(pending)
-        pending = member.unused_data if member.eof else b""
+        yield member.decompress(pending, 4 * step)
+        pending = member.unused_data if member.eof else member.unconsumed_tail
     if not member.eof:
         raise ValueError("a gzip member is cut short")
 
@@ -185,7 +185,6 @@ def read_records(spark: SparkSession, path: str, with_payload: bool = True, batc
                         held = 0
         yield flushed()
 
-    # 64 KB more than fits never stays: one file is one Arrow batch.
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(read, schema)
 
 
