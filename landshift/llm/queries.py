@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landshift.llm import exactdup, langid, mixing, pieces, quality, secrets, warc
+from landshift.llm import exactdup, langid, mixing, pieces, quality, secrets, substrings, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,7 +51,12 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.deduplicated(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op10_substring_dedup": op10_substring_dedup,
     "op2_quality": op2_quality,
     "op7_language_id": op7_language_id,
     "op9_sentencepiece": op9_sentencepiece,
