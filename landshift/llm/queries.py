@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landshift.llm import exactdup, langid, mixing, pieces, quality, secrets, substrings, warc
+from landshift.llm import exactdup, langid, mixing, neardup, pieces, quality, secrets, substrings, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,7 +55,12 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.deduplicated(_table(spark, sf_dir, "documents"))
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_classes(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op3_near_dedup": op3_near_dedup,
     "op10_substring_dedup": op10_substring_dedup,
     "op2_quality": op2_quality,
     "op7_language_id": op7_language_id,
