@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landshift.llm import exactdup, langid, mixing, neardup, pieces, quality, secrets, substrings, warc
+from landshift.llm import exactdup, images, langid, mixing, neardup, pieces, quality, secrets, substrings, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,7 +59,13 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_classes(_table(spark, sf_dir, "documents"))
 
 
+def op6_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no images: pictures are drawn from vectors, with edited copies (negative ids) to be found."""
+    return images.copy_classes(images.vector_media(_table(spark, sf_dir, "embeddings")))
+
+
 QUERIES = {
+    "op6_image_copies": op6_image_copies,
     "op3_near_dedup": op3_near_dedup,
     "op10_substring_dedup": op10_substring_dedup,
     "op2_quality": op2_quality,
