@@ -21,6 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from landshift.llm.texts import slices
 
@@ -152,11 +153,12 @@ def mixtures(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np.nd
     return out, counts
 
 
-def predicted(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", with_mixture: bool = False) -> DataFrame:
-    """One row per row of ``docs``: doc_id, lang_pred, score and, if asked for, the proportions of the chosen set."""
+def with_language(docs: DataFrame, model: Model, text_col: str = "text", with_mixture: bool = False) -> DataFrame:
+    """Each row of ``docs`` as column ``row``, with lang_pred, score and, if asked for, the proportions of the chosen set."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    id_type = dict(docs.dtypes)[id_col]
-    schema = f"doc_id {id_type}, lang_pred string, score double" + (", mixture map<string,double>" if with_mixture else "")
+    schema = T.StructType([T.StructField("row", docs.schema), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    if with_mixture:
+        schema = schema.add("mixture", T.MapType(T.StringType(), T.DoubleType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
@@ -172,7 +174,21 @@ def predicted(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: s
                 if with_mixture:
                     kinds = pa.map_(pa.string(), pa.float64())
                     columns.append(pa.array([[(own.languages[j], float(s[j])) for j in np.flatnonzero(s > 0)] if k else [] for s, k in zip(share, known, strict=True)], kinds))
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang_pred", "score", "mixture"][: len(columns)])
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "lang_pred", "score", "mixture"][: len(columns)])
 
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), text.rlike(r"\p{L}").alias("letters")).mapInArrow(run, schema)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.select(row.alias("row"), text.alias("text"), text.rlike(r"\p{L}").alias("letters")).mapInArrow(run, schema)
+
+
+def predicted(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", with_mixture: bool = False) -> DataFrame:
+    """One row per row of ``docs``: doc_id, lang_pred, score and, if asked for, the proportions of the chosen set."""
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    found = with_language(slim, model, with_mixture=with_mixture)
+    return found.select("row.doc_id", "lang_pred", "score", *(["mixture"] if with_mixture else []))
+
+
+def with_known_language(docs: DataFrame, model: Model, least_share: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` in which one learned language holds at least ``least_share`` of the words."""
+    found = with_language(docs, model, text_col).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least_share))
+    return found.select(*[F.col("row")[c].alias(c) for c in docs.columns])
