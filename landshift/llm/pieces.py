@@ -5,7 +5,10 @@ no pair of neighbours is a piece; characters without a piece become bytes. As no
 another character -- checked when the vocabulary is loaded -- merges never cross the start of a word, so a
 word's pieces depend on that word alone and are remembered in a table of bounded size in each worker.
 
-Every Arrow batch is held against the sentencepiece library (``check``): a batch that differs fails the job.
+Every Arrow batch is held against the sentencepiece library; a difference fails the job. ``check="texts"``
+compares ids and decoded text of every whole text. ``check="units"``, the default, compares every word the
+worker has not compared yet -- which covers all texts, as words are encoded independently -- and one whole
+text of each run of texts.
 
 Defined results: a null text is empty, its only id is the end id; malformed UTF-8 is read as replacement
 characters; order and repeats of rows are kept; further columns are ignored.
@@ -17,11 +20,12 @@ import hashlib
 import heapq
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 MARK = "▁"
-REMEMBERED = 600_000
+REMEMBERED = 1_200_000
 CHECK_CHARS = 1 << 20
 
 
@@ -44,27 +48,31 @@ class Vocabulary:
 
     def encode(self, symbols: str) -> list[int]:
         """Ids of a normalised string by the agenda."""
-        ids, scores = self.ids, self.scores
-        if symbols in ids and len(symbols) == 1:
-            return [ids[symbols]]
+        scores = self.scores.get
         part: list[str] = list(symbols)
         n = len(part)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        agenda = [(-scores[pair], i, i + 1, pair) for i in range(n - 1) if (pair := part[i] + part[i + 1]) in scores]
+        agenda = [(-score, i, i + 1, pair) for i, pair in enumerate(map(str.__add__, part, part[1:])) if (score := scores(pair)) is not None]
         heapq.heapify(agenda)
         while agenda:
             _, left, right, pair = heapq.heappop(agenda)
-            if not part[left] or not part[right] or after[left] != right or part[left] + part[right] != pair:
+            # Symbols that were merged since are told by their place or their length.
+            if after[left] != right or part[left] + part[right] != pair:
                 continue
             part[left], part[right] = pair, ""
             nxt = after[left] = after[right]
+            after[right] = -1
             if nxt < n:
                 before[nxt] = left
-                if (wide := pair + part[nxt]) in scores:
-                    heapq.heappush(agenda, (-scores[wide], left, nxt, wide))
+                wide = pair + part[nxt]
+                if (score := scores(wide)) is not None:
+                    heapq.heappush(agenda, (-score, left, nxt, wide))
             prev = before[left]
-            if prev >= 0 and (wide := part[prev] + pair) in scores:
-                heapq.heappush(agenda, (-scores[wide], prev, left, wide))
+            if prev >= 0:
+                wide = part[prev] + pair
+                if (score := scores(wide)) is not None:
+                    heapq.heappush(agenda, (-score, prev, left, wide))
+        ids = self.ids
         out: list[int] = []
         for p in part:
             if p:
@@ -82,35 +90,27 @@ class Vocabulary:
 
 
 class _Units(dict):
-    """Unit -> its ids as text. A unit is a word with the word marks before it, or without any after a line end."""
+    """Unit -> its ids as text, and the units that were not looked up before.
 
-    def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary = vocabulary
+    A unit is a word with the word marks before it, or without any after a line end.
+    """
+
+    def __init__(self, vocabulary: Vocabulary, mark: str = ""):
+        self.vocabulary, self.mark, self.fresh = vocabulary, mark, []
 
     def __missing__(self, unit: str) -> str:
-        found = " ".join(map(str, self.vocabulary.encode(unit)))
+        found = " ".join(map(str, self.vocabulary.encode(self.mark + unit)))
+        self.fresh.append((self.mark + unit, found))
         if len(unit) <= 64:
             self[unit] = found
         return found
 
 
-class _Words(dict):
-    """The same for words with one mark before them, by far the most."""
-
-    def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary = vocabulary
-
-    def __missing__(self, word: str) -> str:
-        found = " ".join(map(str, self.vocabulary.encode(MARK + word)))
-        if len(word) <= 64:
-            self[word] = found
-        return found
-
-
 class Codec:
     def __init__(self, path: str, remembered: int = REMEMBERED):
         self.vocabulary = Vocabulary(path)
-        self.words, self.units, self.remembered = _Words(self.vocabulary), _Units(self.vocabulary), remembered
+        # Words with one mark before them, by far the most, are kept without it.
+        self.words, self.units, self.remembered = _Units(self.vocabulary, MARK), _Units(self.vocabulary), remembered
         self.surface = {str(i): x for i, x in enumerate(self.vocabulary.surface)}
         self.apart = "\n" not in "".join(self.vocabulary.ids)  # then no merge crosses a line end either
         self.line_end = " ".join(map(str, self.vocabulary.encode("\n")))
@@ -153,6 +153,25 @@ class Codec:
         """All ids, the end id last, joined by one space."""
         return " ".join([*self.word_ids(text), str(self.vocabulary.end)])
 
+    def check_units(self) -> None:
+        """Hold all units encoded since the last call against the library."""
+        sp, fresh = self.vocabulary.library, self.words.fresh + self.units.fresh
+        self.words.fresh, self.units.fresh = [], []
+        if not fresh:
+            return
+        # A unit without a mark is seen after a line end, whose ids come first and are taken off.
+        lead = len(sp.encode("\n"))
+        texts = [u[1:].replace(MARK, " ") if u[0] == MARK else "\n" + u for u, _ in fresh]
+        for (unit, mine), their in zip(fresh, sp.encode(texts, num_threads=1), strict=True):
+            if mine != " ".join(map(str, their if unit[0] == MARK else their[lead:])):
+                raise ValueError(f"ids differ from the library's for a word of {len(unit)} characters")
+
+    def check_texts(self, texts: list[str], ids: list[str], decoded: list[bytes]) -> None:
+        sp = self.vocabulary.library
+        for text, mine, their, back in zip(texts, ids, sp.encode(texts, add_eos=True, num_threads=1), decoded, strict=True):
+            if mine != " ".join(map(str, their)) or back != sp.decode(their).encode():
+                raise ValueError(f"ids or text differ from the library's for a text of {len(text)} characters")
+
     def decode(self, ids: str) -> bytes:
         out = b"".join(map(self.surface.__getitem__, ids.split(" ")))
         return out[1:] if out[:1] == b" " else out
@@ -172,15 +191,12 @@ def _text(raw: bytes) -> str:
     return raw.decode("utf-8", "replace")
 
 
-def _held_against_library(own: Codec, texts: list[str], ids: list[str], decoded: list[bytes]) -> None:
-    sp = own.vocabulary.library
-    theirs = sp.encode(texts, add_eos=True, num_threads=1)
-    for text, mine, their, back in zip(texts, ids, theirs, decoded, strict=True):
-        if mine != " ".join(map(str, their)) or back != sp.decode(their).encode():
-            raise ValueError(f"ids or text differ from the library's for a text of {len(text)} characters")
+def _lists(ids: list[str]) -> pa.ListArray:
+    flat = [np.array(x.split(" "), np.int32) for x in ids]
+    return pa.ListArray.from_arrays(np.cumsum([0, *map(len, flat)], dtype=np.int32), np.concatenate(flat))
 
 
-def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, check: bool = True) -> DataFrame:
+def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, check: str = "units") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids and decoded."""
     id_type = dict(docs.dtypes)[id_col]
     schema = f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_ids else "")
@@ -200,12 +216,13 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
                 end = str(own.vocabulary.end)
                 ids = [" ".join([*w, end]) for w in words]
                 decoded = [own.decode(x) for x in ids]
-                if check:
-                    _held_against_library(own, texts, ids, decoded)
+                own.check_units()
+                some = len(texts) if check == "texts" else 1
+                own.check_texts(texts[:some], ids[:some], decoded[:some])
                 columns = [batch.column(0).slice(begin, at - begin), pa.array([x.count(" ") + 1 for x in ids], pa.int64()), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in ids]), pa.array([hashlib.sha256(x).hexdigest() for x in decoded])]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
-                    columns += [pa.array([list(map(int, x.split(" "))) for x in ids], pa.list_(pa.int32())), pa.array([x.decode() for x in decoded])]
+                    columns += [_lists(ids), pa.array([x.decode() for x in decoded])]
                     names += ["ids", "decoded"]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
