@@ -203,7 +203,7 @@ def mixed_blocks(docs: DataFrame, mixture: Mixture = Mixture(), id_col: str = "d
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
-    return docs.select(F.col(id_col).alias("t_id"), F.xxhash64(text).alias("t_h"), text.alias("t")).dropDuplicates(["t_id", "t_h"]).select("t_id", "t_h", words.alias("words"))
+    return docs.select(F.col(id_col).alias("t_id"), F.xxhash64(text).alias("t_h"), words.alias("words")).dropDuplicates(["t_id", "t_h"])
 
 
 def _joined(words: Column) -> Column:

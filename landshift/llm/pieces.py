@@ -157,13 +157,13 @@ class Codec:
         """Hold all units encoded since the last call against the library."""
         sp, fresh = self.vocabulary.library, self.words.fresh + self.units.fresh
         self.words.fresh, self.units.fresh = [], []
-        if not fresh:
+        if not fresh or not self.apart:  # then every text is compared, see ``encoded``
             return
-        # A unit without a mark is seen after a line end, whose ids come first and are taken off.
+        # The library begins each text with a mark; after a line end, whose ids are taken off, units stand as they are.
         lead = len(sp.encode("\n"))
-        texts = [u[1:].replace(MARK, " ") if u[0] == MARK else "\n" + u for u, _ in fresh]
+        texts = ["\n" + u.replace(MARK, " ") for u, _ in fresh]
         for (unit, mine), their in zip(fresh, sp.encode(texts, num_threads=1), strict=True):
-            if mine != " ".join(map(str, their if unit[0] == MARK else their[lead:])):
+            if mine != " ".join(map(str, their[lead:])):
                 raise ValueError(f"ids differ from the library's for a word of {len(unit)} characters")
 
     def check_texts(self, texts: list[str], ids: list[str], decoded: list[bytes]) -> None:
@@ -217,7 +217,7 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
                 ids = [" ".join([*w, end]) for w in words]
                 decoded = [own.decode(x) for x in ids]
                 own.check_units()
-                some = len(texts) if check == "texts" else 1
+                some = len(texts) if check == "texts" or not own.apart else 1
                 own.check_texts(texts[:some], ids[:some], decoded[:some])
                 columns = [batch.column(0).slice(begin, at - begin), pa.array([x.count(" ") + 1 for x in ids], pa.int64()), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in ids]), pa.array([hashlib.sha256(x).hexdigest() for x in decoded])]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
