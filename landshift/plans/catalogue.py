@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from landshift.plans import imagery
+
+QUERIES: dict = {**imagery.QUERIES}
+ORACLES: dict = {**imagery.ORACLES}
