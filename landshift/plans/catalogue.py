@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from landshift.plans import imagery
+from landshift.plans import events, imagery
 
-QUERIES: dict = {**imagery.QUERIES}
-ORACLES: dict = {**imagery.ORACLES}
+QUERIES: dict = {**imagery.QUERIES, **events.QUERIES}
+ORACLES: dict = {**imagery.ORACLES, **events.ORACLES}
