@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from landshift.plans import events, imagery
+from landshift.plans import events, imagery, reports
 
-QUERIES: dict = {**imagery.QUERIES, **events.QUERIES}
-ORACLES: dict = {**imagery.ORACLES, **events.ORACLES}
+QUERIES: dict = {**imagery.QUERIES, **events.QUERIES, **reports.QUERIES}
+ORACLES: dict = {**imagery.ORACLES, **events.ORACLES, **reports.ORACLES}
