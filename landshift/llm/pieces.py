@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 MARK = "▁"
-REMEMBERED = 1_200_000
+REMEMBERED = 500_000
 CHECK_CHARS = 1 << 20
 
 

@@ -77,7 +77,51 @@ QUERIES = {
     "op5_exact_dedup": op5_exact_dedup,
 }
 
+
+def _spans_sql(name: str, pattern: str, kind: int, keep: str) -> str:
+    """Spans of a pattern's matches in SQL: lengths of the matches and of what lies between them alternate."""
+    quoted = pattern.replace("'", "''")
+    return f"""
+        {name} AS (SELECT doc_id, text, start, start + length(hit) AS finish, {kind} AS kind FROM (
+            SELECT doc_id, text, hits[i] AS hit, groups[i] AS value,
+                   CAST(list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(hits[1:i-1], lambda h: length(h))), 0) AS BIGINT) AS start
+            FROM (SELECT doc_id, text, regexp_extract_all(text, '{quoted}') AS hits, regexp_extract_all(text, '{quoted}', {2 if kind == 0 else 0}) AS groups, string_split_regex(text, '{quoted}') AS gaps FROM doc) a,
+                 LATERAL (SELECT unnest(range(1, len(hits) + 1)) AS i) b) c WHERE {keep})"""
+
+
+_OP4_SQL = (
+    "WITH doc AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),"
+    + ",".join([
+        _spans_sql("assign", secrets.ASSIGN, 0, "length(value) >= 6"),
+        _spans_sql("access", secrets.ACCESS, 1, "length(hit) >= 20"),
+        _spans_sql("hexes", secrets.HEX, 2, "true"),
+        _spans_sql("bare", secrets.BARE_KEY, 3, "regexp_matches(hit, '[a-z]') AND regexp_matches(hit, '[A-Z]') AND regexp_matches(hit, '[0-9]')"),
+        _spans_sql("endpoint", secrets.ENDPOINT, 4, "true"),
+    ])
+    + f"""
+    , base AS (SELECT * FROM assign UNION ALL SELECT * FROM access UNION ALL SELECT * FROM hexes),
+    placed AS (SELECT *, len(string_split_regex(substr(text, 1, start), '\n[\x20\t\r]*\n')) AS scope FROM (SELECT * FROM base UNION ALL SELECT * FROM bare UNION ALL SELECT * FROM endpoint) q),
+    beside AS (SELECT * FROM placed p WHERE kind <> 1 AND EXISTS (SELECT 1 FROM placed i WHERE i.kind = 1 AND i.doc_id = p.doc_id AND i.scope = p.scope AND abs(i.start - p.start) <= {secrets.MAX_GAP})),
+    linked AS (SELECT * FROM beside b WHERE kind = 3 OR (kind = 4 AND EXISTS (SELECT 1 FROM beside s WHERE s.kind <> 4 AND s.doc_id = b.doc_id AND s.scope = b.scope))),
+    named AS (SELECT doc_id, start, kind, concat((['assign', 'access', 'hex', 'key', 'endpoint'])[kind + 1], ':', start, ':', finish) AS line
+              FROM (SELECT doc_id, start, finish, kind FROM base UNION ALL SELECT doc_id, start, finish, kind FROM linked) u)
+    SELECT d.doc_id, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex,
+           sha256(coalesce(string_agg(line, ',' ORDER BY start, kind) FILTER (WHERE kind <= 2), '')) AS base_sha256, coalesce(string_agg(line, ',' ORDER BY start, kind), '') AS spans
+    FROM documents d LEFT JOIN named n ON n.doc_id = d.doc_id GROUP BY d.doc_id"""
+)
+
+_OP10_SQL = r"""
+    WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS words FROM documents),
+    win AS (SELECT doc_id, p, array_to_string(words[p:p+19], ' ') AS k FROM d, LATERAL (SELECT unnest(range(1, len(words) - 18)) AS p) q),
+    again AS (SELECT doc_id, p FROM win QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, p) > 1),
+    gone AS (SELECT DISTINCT doc_id, p + i AS p FROM again, range(0, 20) r(i)),
+    word AS (SELECT doc_id, unnest(words) AS w, unnest(range(1, len(words) + 1)) AS p FROM d),
+    kept AS (SELECT w.doc_id, count(*) AS n, string_agg(w.w, ' ' ORDER BY w.p) AS t FROM word w WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = w.doc_id AND g.p = w.p) GROUP BY w.doc_id)
+    SELECT d.doc_id, len(words) AS n_words, len(words) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept k ON k.doc_id = d.doc_id"""
+
 ORACLES = {
+    "op4_secrets": _OP4_SQL,
+    "op10_substring_dedup": _OP10_SQL,
     "op1_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS h, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
         t AS (SELECT h AS th, max(page_id) AS top FROM p WHERE n >= 1000 GROUP BY h)
