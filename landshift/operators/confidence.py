@@ -39,12 +39,12 @@ def level(score: Column) -> Column:
 
 
 def weighted(df: DataFrame) -> DataFrame:
-    """``df`` with score (4 digits), level and the sorted list of missing factors, from columns named as ``WEIGHTS``."""
+    """``df`` with score (4 digits; ties are ties whatever the order of the sum), level and the sorted list of missing factors, from columns named as ``WEIGHTS``."""
     zero = F.lit(0.0)
     total = sum((F.when(F.col(f).isNotNull(), F.lit(w)).otherwise(zero) for f, w in WEIGHTS.items()), zero)
     value = sum((F.coalesce(F.col(f) * w, zero) for f, w in WEIGHTS.items()), zero)
     missing = F.array_compact(F.array(*[F.when(F.col(f).isNull(), F.lit(f)) for f in sorted(WEIGHTS)]))
-    out = df.withColumn("score", F.round(F.when(total > 0, value / total).otherwise(zero), 4))
+    out = df.withColumn("score", F.round(F.round(F.when(total > 0, value / total).otherwise(zero), 9), 4))
     return out.withColumns({"level": level(F.col("score")), "missing": F.array_join(missing, ",")})
 
 

@@ -181,9 +181,9 @@ _SCORE = f"""{_KINDS}, {_TRAJ},
             greatest(0, least(1, 1 - greatest(0, epoch(TIMESTAMP '2001-09-01' - last_detected_at) / 86400) / 180.0)) AS currency, agreement,
             CASE state WHEN 'persistent' THEN 1.0 WHEN 'recovering' THEN 0.5 WHEN 'transient' THEN 0.0 END AS stability
             FROM event e JOIN stat ON stat.event_id = e.id JOIN agree a ON a.event_id = e.id JOIN state t ON t.event_id = e.id),
-    mark AS (SELECT event_id, round((0.25 * coalesce(magnitude, 0) + 0.2 * coalesce(persistence, 0) + 0.1 * coalesce(coverage, 0) + 0.1 * coalesce(currency, 0) + 0.15 * coalesce(agreement, 0) + 0.2 * coalesce(stability, 0))
+    mark AS (SELECT event_id, round(round((0.25 * coalesce(magnitude, 0) + 0.2 * coalesce(persistence, 0) + 0.1 * coalesce(coverage, 0) + 0.1 * coalesce(currency, 0) + 0.15 * coalesce(agreement, 0) + 0.2 * coalesce(stability, 0))
               / (CASE WHEN magnitude IS NULL THEN 0 ELSE 0.25 END + CASE WHEN persistence IS NULL THEN 0 ELSE 0.2 END + CASE WHEN coverage IS NULL THEN 0 ELSE 0.1 END + CASE WHEN currency IS NULL THEN 0 ELSE 0.1 END
-              + CASE WHEN agreement IS NULL THEN 0 ELSE 0.15 END + CASE WHEN stability IS NULL THEN 0 ELSE 0.2 END), 4) AS score,
+              + CASE WHEN agreement IS NULL THEN 0 ELSE 0.15 END + CASE WHEN stability IS NULL THEN 0 ELSE 0.2 END), 9), 4) AS score,
               concat_ws(',', CASE WHEN agreement IS NULL THEN 'agreement' END, CASE WHEN coverage IS NULL THEN 'coverage' END, CASE WHEN currency IS NULL THEN 'currency' END,
               CASE WHEN magnitude IS NULL THEN 'magnitude' END, CASE WHEN persistence IS NULL THEN 'persistence' END, CASE WHEN stability IS NULL THEN 'stability' END) AS missing FROM sub),
     new AS (SELECT event_id, score, CASE WHEN score >= 0.65 THEN 'high' WHEN score >= 0.4 THEN 'medium' ELSE 'low' END AS level, missing FROM mark)"""
