@@ -1,8 +1,8 @@
 """Change against a baseline of trailing scenes.
 
 The newest ``n`` earlier scenes of an area are chosen first, as scenes; pixels are reduced over them after.
-The self-join is by area (and orbit); ``row_number() <= n`` becomes a window group limit, so at most n rows
-per scene leave the sort.
+Scenes of an area (and orbit) are numbered in time; a scene's baseline are the n numbers before the first scene
+of its own instant, so the join is by number and gives n rows per scene, however many scenes an area has.
 """
 
 from __future__ import annotations
@@ -15,11 +15,13 @@ BASELINE = 5
 
 def trailing(scenes: DataFrame, n: int = BASELINE, same: tuple[str, ...] = ("aoi_id",)) -> DataFrame:
     """(scene_id, baseline_id, place): the n newest scenes strictly before each; place 1 is the newest."""
-    now = scenes.select(F.col("id").alias("scene_id"), F.col("acquired_at").alias("scene_at"), *same)
-    prior = scenes.select(F.col("id").alias("baseline_id"), F.col("acquired_at").alias("baseline_at"), *same)
-    newest = Window.partitionBy("scene_id").orderBy(F.desc("baseline_at"), F.desc("baseline_id"))
-    pairs = now.join(prior, list(same)).where("baseline_at < scene_at")
-    return pairs.withColumn("place", F.row_number().over(newest)).where(F.col("place") <= n).select("scene_id", "baseline_id", F.col("place").cast("long").alias("place"))
+    line = Window.partitionBy(*same).orderBy("acquired_at", "id")
+    numbered = scenes.select("id", "acquired_at", *same, F.row_number().over(line).alias("number"))
+    numbered = numbered.withColumn("before", F.min("number").over(Window.partitionBy(*same, "acquired_at")) - 1)
+    wanted = numbered.select(F.col("id").alias("scene_id"), *same, "before", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("place"))
+    wanted = wanted.select("scene_id", *same, (F.col("before") - F.col("place") + 1).alias("number"), F.col("place").cast("long").alias("place")).where("number > 0")
+    prior = numbered.select(F.col("id").alias("baseline_id"), *same, "number")
+    return wanted.join(prior, [*same, "number"]).select("scene_id", "baseline_id", "place")
 
 
 def medians(pairs: DataFrame, pixels: DataFrame, *values: str) -> DataFrame:
