@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from landshift.llm.texts import slices
+from landshift.llm.texts import in_arrow, slices
 
 BUCKETS = 1 << 16
 MAX_LANGUAGES = 512
@@ -84,7 +84,7 @@ def learned(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", pen
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(hit), pa.string()), pa.array(hit), pa.array(n[hit])], names=["lang", "bucket", "n"])
 
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    counts = rows.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counts = in_arrow(rows, count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     table = counts.toArrow()  # at most BUCKETS rows per language
     names = sorted(set(table.column("lang").to_pylist()))
     if len(names) > MAX_LANGUAGES:
@@ -178,7 +178,7 @@ def with_language(docs: DataFrame, model: Model, text_col: str = "text", with_mi
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    return docs.select(row.alias("row"), text.alias("text"), text.rlike(r"\p{L}").alias("letters")).mapInArrow(run, schema)
+    return in_arrow(docs.select(row.alias("row"), text.alias("text"), text.rlike(r"\p{L}").alias("letters")), run, schema)
 
 
 def predicted(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", with_mixture: bool = False) -> DataFrame:

@@ -24,8 +24,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from landshift.llm.texts import in_arrow
+
 MARK = "▁"
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 CHECK_CHARS = 1 << 20
 
 
@@ -226,4 +228,4 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
                     names += ["ids", "decoded"]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.selectExpr(f"`{id_col}` AS doc_id", f"CAST(`{text_col}` AS BINARY) AS text").mapInArrow(run, schema)
+    return in_arrow(docs.selectExpr(f"`{id_col}` AS doc_id", f"CAST(`{text_col}` AS BINARY) AS text"), run, schema)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from landshift.llm.texts import slices, word_bounds, word_hashes
+from landshift.llm.texts import in_arrow, slices, word_bounds, word_hashes
 
 MAX_ROWS = 40_000
 
@@ -219,7 +219,7 @@ def featured(docs: DataFrame, *keep: str) -> DataFrame:
                 flat = pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1], x.ravel())
                 yield pa.RecordBatch.from_arrays([*[rows.column(rows.schema.get_field_index(c)) for c in keep], flat], names=[*keep, "features"])
 
-    return docs.select(*keep, "text").mapInArrow(run, schema)
+    return in_arrow(docs.select(*keep, "text"), run, schema)
 
 
 def learned(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", max_rows: int = MAX_ROWS, **how) -> Model:
@@ -242,4 +242,4 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             for rows, data, offsets in slices(batch, "text"):
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(shared.value.score(features(data, offsets)))], names=["doc_id", "score"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {id_type}, score double")
+    return in_arrow(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, f"doc_id {id_type}, score double")

@@ -30,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from landshift.llm.shared import written
-from landshift.llm.texts import gram_hashes, mix, powers, slices, word_bounds, word_hashes
+from landshift.sources.shared import written
+from landshift.llm.texts import gram_hashes, in_arrow, mix, powers, slices, word_bounds, word_hashes
 
 WINDOW = 20
 ANCHOR = 6
@@ -84,7 +84,7 @@ def _anchors(docs: DataFrame, window: int, anchor: int) -> DataFrame:
                 key, n = np.unique(cut(words, doc, window, anchor)[2], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], names=["anchor", "n"])
 
-    return docs.select("text").mapInArrow(run, "anchor long, n long")
+    return in_arrow(docs.select("text"), run, "anchor long, n long")
 
 
 def _blocks(docs: DataFrame, window: int, anchor: int) -> DataFrame:
@@ -100,7 +100,7 @@ def _blocks(docs: DataFrame, window: int, anchor: int) -> DataFrame:
                     [pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), rows.column(0).take(pa.array(d)), pa.array((first - firsts[d]).astype(np.int32)), pa.array(n.astype(np.int32))], names=["anchor", "content", "key", "at", "n"]
                 )
 
-    return docs.select("key", "text").mapInArrow(run, "anchor long, content long, key long, at int, n int")
+    return in_arrow(docs.select("key", "text"), run, "anchor long, content long, key long, at int, n int")
 
 
 def _windows(docs: DataFrame, window: int) -> DataFrame:
@@ -120,7 +120,7 @@ def _windows(docs: DataFrame, window: int) -> DataFrame:
                 content = hashes[firsts[row[each]] + start]
                 yield pa.RecordBatch.from_arrays([pa.array(anchor[each]), pa.array(content.view(np.int64)), rows.column(0).take(pa.array(row[each])), pa.array(start.astype(np.int32))], names=["anchor", "content", "key", "at"])
 
-    return docs.select("key", "text", "ask").mapInArrow(run, "anchor long, content long, key long, at int")
+    return in_arrow(docs.select("key", "text", "ask"), run, "anchor long, content long, key long, at int")
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -173,7 +173,7 @@ def factors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
                 found.append([dict(zip(("start", "words", "ref_key", "ref_start"), f, strict=True)) for f in merged(at, n, ref, ref_at, window)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], names=["key", "factors"])
 
-    return grouped.mapInArrow(run, "key long, factors array<struct<start:long,words:long,ref_key:long,ref_start:long>>")
+    return in_arrow(grouped, run, "key long, factors array<struct<start:long,words:long,ref_key:long,ref_start:long>>")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR, with_text: bool = False) -> DataFrame:
@@ -205,5 +205,5 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     columns.append(pa.array([t.decode("utf-8", "replace") for t in texts]))
                 yield pa.RecordBatch.from_arrays(columns, names=["key", "n_words", "n_removed", "kept_sha256", "kept"][: len(columns)])
 
-    out = rows.select("key", "text", "factors").mapInArrow(run, schema)
+    out = in_arrow(rows.select("key", "text", "factors"), run, schema)
     return out.select(F.nullif("key", F.lit(-(1 << 63)).cast("long")).alias("doc_id"), "n_words", "n_removed", "kept_sha256", *(["kept"] if with_text else []))

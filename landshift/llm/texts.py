@@ -6,13 +6,17 @@ Work arrays are made for a megabyte of text at a time; only a single longer text
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 SLICE_BYTES = 1 << 20
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
@@ -20,6 +24,22 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``df.mapInArrow`` with memory in mind: texts are long, so the session's Arrow batches are held to
+    ``BATCH_ROWS`` rows, and a worker, which lives on between tasks, gives free memory back after each."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(_BATCH, "10000")) <= BATCH_ROWS:
+        conf.set(_BATCH, BATCH_ROWS)
+
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
+
+    return df.mapInArrow(lean, schema)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The 64-bit finaliser of splitmix64."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landshift.llm.shared import new_path, written
+from landshift.sources.shared import new_path, written
+from landshift.llm.texts import in_arrow
 
 REVISIT_FROM = 1000
 RECORDS_PER_FILE = 9000
@@ -185,7 +186,7 @@ def read_records(spark: SparkSession, path: str, with_payload: bool = True, batc
                         held = 0
         yield flushed()
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(read, schema)
+    return in_arrow(spark.read.format("binaryFile").load(path).select("content"), read, schema)
 
 
 def capture_ids(records: DataFrame) -> DataFrame:
