@@ -59,7 +59,12 @@ def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def _lowered(batch: pa.RecordBatch) -> pa.RecordBatch:
     at = batch.schema.get_field_index("text")
-    return batch.set_column(at, "text", pc.utf8_lower(pc.fill_null(batch.column(at), "")))
+    text = pc.fill_null(batch.column(at), "")
+    try:
+        text = pc.utf8_lower(text)
+    except pa.ArrowInvalid:  # malformed UTF-8: its bytes are counted as they are; ASCII letters fold anyway
+        pass
+    return batch.set_column(at, "text", text)
 
 
 def learned(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", penalty: float = 8.0, smoothing: float = 0.1) -> Model:
