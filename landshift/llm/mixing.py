@@ -44,7 +44,7 @@ class Mixture:
     max_repeats: int = 2
     block_words: int = 64
     shard_slots: int = 4096
-    chunk_rows: int = 20_000
+    chunk_rows: int = 4_000
     seed: int = 17
 
 
@@ -216,10 +216,13 @@ def mixed_documents(docs: DataFrame, mixture: Mixture = Mixture()) -> DataFrame:
     Returns the columns of ``documents``; a row taken in two passes gives two rows, one not taken none.
     """
     plan = planned(docs, mixture)
-    got = taken_segments(plan).groupBy("doc_id", "h", "source_no", "offset").agg(F.array_sort(F.collect_list(F.struct("first", "n", "times"))).alias("parts"))
+    # The key is never null, so rows made distinct by it are dealt as the join needs them: texts move once.
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("key")
+    got = taken_segments(plan).select(key, "h", "source_no", "offset", F.struct("first", "n", "times").alias("part"))
+    got = got.groupBy("key", "h", "source_no", "offset").agg(F.array_sort(F.collect_list("part")).alias("parts"))
     text = F.coalesce(F.col("text"), F.lit(""))
-    base = docs.select("doc_id", F.col("text"), "lang", "source", F.xxhash64(text).alias("h")).dropDuplicates(["doc_id", "h"])
-    both = base.join(got.withColumnRenamed("doc_id", "g_id").withColumnRenamed("h", "g_h"), (F.col("doc_id").eqNullSafe(F.col("g_id"))) & (F.col("h") == F.col("g_h")))
+    base = docs.select("doc_id", F.col("text"), "lang", "source", key, F.xxhash64(text).alias("h")).dropDuplicates(["key", "h"])
+    both = base.join(got, ["key", "h"])
     both = both.withColumn("words", F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0)))
     turn = both.select("*", F.explode(F.sequence(F.lit(1), F.lit(mixture.max_repeats))).alias("turn"))
     chosen = F.flatten(F.transform(F.filter("parts", lambda p: p["times"] >= F.col("turn")), lambda p: F.slice(F.col("words"), p["first"].cast("int") + 1, p["n"].cast("int"))))
