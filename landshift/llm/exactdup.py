@@ -71,7 +71,6 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with the columns of ``docs``."""
-    digest, keep, size, kept = "digest", "keep_id", "group_size", "kept"
-    names = docs.columns
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
-    return marked(slim).where(kept).drop(digest, keep, size).select(*[F.col("row")[c].alias(c) for c in names])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    stay = marked(rows, f"row.`{id_col}`", f"row.`{text_col}`").where("kept")
+    return stay.select(*[F.col("row")[c].alias(c) for c in docs.columns])
