@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from landshift.llm.texts import in_arrow
 
 MARK = "▁"
-REMEMBERED = 300_000
+REMEMBERED = 350_000
 CHECK_CHARS = 1 << 20
 
 
@@ -99,14 +99,23 @@ class _Units(dict):
 
     def __init__(self, vocabulary: Vocabulary, mark: str = ""):
         self.vocabulary, self.mark, self.fresh = vocabulary, mark, []
+        self.older: dict[str, str] = {}
 
     def __missing__(self, unit: str) -> str:
-        found = " ".join(map(str, self.vocabulary.encode(self.mark + unit)))
-        self.fresh.append((self.mark + unit, found))
+        found = self.older.get(unit)
+        if found is None:
+            found = " ".join(map(str, self.vocabulary.encode(self.mark + unit)))
+            self.fresh.append((self.mark + unit, found))
         if len(unit) <= 64:
             self[unit] = found
         return found
 
+    def age(self, most: int) -> None:
+        """At ``most`` units, keep them aside as the older half; those used again come back, others go next time."""
+        if len(self) > most:
+            self.older = dict(self)
+            self.clear()
+
 
 class Codec:
     def __init__(self, path: str, remembered: int = REMEMBERED):
@@ -122,9 +131,8 @@ class Codec:
         if not text:
             return []
         text = text.replace(MARK, " ")
-        for held in (self.words, self.units):
-            if len(held) > self.remembered:
-                held.clear()
+        self.words.age(self.remembered)
+        self.units.age(self.remembered)
         if not self.apart or "\n" not in text:
             return self._line(" " + text)
         first, *rest = text.split("\n")

@@ -132,7 +132,8 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """(key, at, n, ref_key, ref_at): n consecutive windows from ``at`` that stand earlier, at the reference."""
     base = _keyed(docs, id_col, text_col)
-    shared = _anchors(base, window, anchor).groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
+    # Written, so that the join below has an exchange on both sides and AQE may split an anchor with many blocks.
+    shared = written(_anchors(base, window, anchor).groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor"), "rlz-anchors")
     blocks = written(_blocks(base, window, anchor).join(shared, "anchor", "left_semi"), "rlz-blocks")
     place = F.struct("key", "at")
     firsts = written(blocks.groupBy("anchor", "content").agg(F.min(place).alias("ref"), F.first("n").alias("n"), F.count("*").alias("times")), "rlz-firsts")
