@@ -9,10 +9,13 @@
    ``FEW`` nodes all are compared with each other. In a larger one -- a large group of copies -- each is
    compared with a few centres (``CENTRES``), nodes with the least hash for that bucket, so each bucket has
    others; then its nodes meet again in finer buckets of two, then three bands, by the same rule. Near copies
-   gather in the finest buckets, where centres are most alike; groups of copies never expand into pairs, and
-   work stays in proportion to rows.
-4. Every pair is verified by the weighted Jaccard similarity of the whole texts; classes are the components
-   of the verified links.
+   gather in the finest buckets, where centres are most alike; groups of copies never expand into pairs.
+4. Every pair is verified by the weighted Jaccard similarity of the whole texts.
+5. What the centres leave: nodes of a large bucket that are in different components of the links so far are
+   compared too, unless their distances to a common centre differ by more than a link may be long (1 less the
+   similarity is a metric). So any two nodes that share a band and are alike end in one class; a large bucket
+   of texts that are related but no copies takes work with its square.
+6. Classes are the components of all verified links.
 
 Result: one row per document with class_id, the least id of its class, and kept (it is that document).
 
@@ -37,7 +40,7 @@ from landshift.llm.texts import gram_hashes, in_arrow, mix, slices, word_bounds,
 
 DF_BUCKETS = 1 << 16
 IDF_SPAN, COMMON = 0.05, 0.05
-FEW = 8
+FEW, BLOCK = 8, 512
 CENTRES = (4, 3, 3)
 _TABLE = 1 << 13
 _LEVELS, _STEPS = 72, 16
@@ -212,16 +215,27 @@ def _pairs_of(met: DataFrame) -> DataFrame:
     return near.unionByName(star.select(F.greatest("node", "centre").alias("u"), F.least("node", "centre").alias("v")))
 
 
-def candidates(nodes: DataFrame, settings: Settings) -> DataFrame:
-    """(u, v), u > v: the pairs of nodes to compare, from (node, bands)."""
+def _keys(settings: Settings):
     n, bands = settings.bands, F.col("bands")
     step = lambda first, more: bands[(first + more) % n]
 
     def keys(level: int, first, *more: int):
         return F.struct(F.lit(first).alias("first"), F.xxhash64(F.lit(level), F.lit(first), *[step(first, m) for m in (0, *more)]).alias("key"))
 
-    rows = nodes.select("node", F.explode(F.array(*[keys(0, i) for i in range(n)])).alias("x")).select("node", "x.*")
-    met = written(_met(rows, CENTRES[0]), "near-buckets")
+    return keys
+
+
+def buckets(nodes: DataFrame, settings: Settings) -> DataFrame:
+    """The buckets of single bands, as ``_met`` gives them, from (node, bands)."""
+    keys = _keys(settings)
+    rows = nodes.select("node", F.explode(F.array(*[keys(0, i) for i in range(settings.bands)])).alias("x")).select("node", "x.*")
+    return written(_met(rows, CENTRES[0]), "near-buckets")
+
+
+def candidates(nodes: DataFrame, settings: Settings, met: DataFrame | None = None) -> DataFrame:
+    """(u, v), u > v: the pairs of nodes to compare first, from (node, bands)."""
+    n, keys = settings.bands, _keys(settings)
+    met = buckets(nodes, settings) if met is None else met
     pairs = _pairs_of(met)
     for level, ways in ((1, ((1,), (3,))), (2, ((1, 2), (3, 5)))):
         large = met.where(F.col("n") > FEW).select("node", "first").distinct()
@@ -232,6 +246,39 @@ def candidates(nodes: DataFrame, settings: Settings) -> DataFrame:
     return pairs.distinct()
 
 
+def across(met: DataFrame, checked: DataFrame, joined: DataFrame, unsure: DataFrame, settings: Settings) -> DataFrame:
+    """(u, v), u > v: pairs of large buckets in different components that are not in ``checked`` and may be links.
+
+    met: single-band buckets; checked: (u, v, sim) so far; joined: (node, component); unsure: ids of several
+    texts, which have no one distance. One of a pair is outside its bucket's largest component, so those nodes
+    meet all nodes of the bucket, block by block.
+    """
+    labels = joined.select(F.col("node").alias("l_node"), "component")
+    large = met.where(F.col("n") > FEW).join(labels, F.col("node") == F.col("l_node"), "left")
+    large = large.select("key", "node", "n", "centres", F.coalesce("component", "node").alias("class"))
+    sizes = large.groupBy("key", "class").agg(F.count("*").alias("size"))
+    most = sizes.groupBy("key").agg(F.max_by("class", F.struct("size", "class")).alias("most"), F.count("*").alias("classes")).where("classes > 1")
+    open_ = written(large.join(most.select("key", "most"), "key"), "near-open")
+    # Distances to the bucket's centres: all were compared, but for a centre with itself.
+    known = checked.groupBy("u", "v").agg(F.max("sim").alias("sim"))
+    ends = open_.select("key", "node", F.posexplode("centres").alias("at", "centre"))
+    ends = ends.join(unsure.select(F.col("id").alias("centre")), "centre", "left_anti").join(unsure.select(F.col("id").alias("node")), "node", "left_anti")
+    far = ends.select("key", "node", "at", F.greatest("node", "centre").alias("u"), F.least("node", "centre").alias("v")).join(known, ["u", "v"], "left")
+    far = far.select("key", "node", "at", F.when(F.col("u") == F.col("v"), 0.0).otherwise(1 - F.col("sim")).alias("d"))
+    far = far.groupBy("key", "node").agg(*[F.max(F.when(F.col("at") == j, F.col("d"))).alias(f"d{j}") for j in range(CENTRES[0])])
+    rows = written(open_.drop("centres").join(far, ["key", "node"], "left"), "near-open")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    some = rows.where("class != most").select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.col("node").alias("a"), F.col("class").alias("class_a"), *[F.col(f"d{j}").alias(f"a{j}") for j in range(CENTRES[0])])
+    every = rows.select("key", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"), F.col("node").alias("b"), F.col("class").alias("class_b"), *[F.col(f"d{j}").alias(f"b{j}") for j in range(CENTRES[0])])
+    most_apart = 1 - settings.similarity + 1e-9
+    near = F.col("class_a") != F.col("class_b")
+    for j in range(CENTRES[0]):
+        near &= F.coalesce(F.abs(F.col(f"a{j}") - F.col(f"b{j}")) <= most_apart, F.lit(True))
+    same = (some["key"] == every["key"]) & (some["block"] == every["block"])
+    pairs = some.join(every, same & near).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    return written(pairs.join(checked.select("u", "v"), ["u", "v"], "left_anti"), "near-pairs")
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
@@ -243,11 +290,15 @@ def near_classes(docs: DataFrame, settings: Settings = Settings(), id_col: str =
     signed = written(_signatures(base, own, settings), "near-signatures")
     # Texts with the same words become one node, named by its least id; first on the map side.
     nodes = written(signed.groupBy("c1", "c2").agg(F.min("key").alias("node"), F.min("bands").alias("bands")), "near-nodes")
-    pairs = written(candidates(nodes, settings), "near-pairs")
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct()
-    texts = written(base.join(wanted.hint("merge"), "key", "left_semi"), "near-texts")
-    links = _verified(pairs, texts, own, settings).where(F.col("sim") >= settings.similarity)
-    joined = components(links.select("u", "v"))
+    met = buckets(nodes, settings)
+    checked = _compared(written(candidates(nodes, settings, met), "near-pairs"), base, own, settings)
+    joined = written(components(_links(checked, settings)), "near-components")
+    several = signed.groupBy("key").agg((F.min(F.struct("c1", "c2")) != F.max(F.struct("c1", "c2"))).alias("several"))
+    rest = across(met, checked, joined, several.where("several").select(F.col("key").alias("id")), settings)
+    if not rest.isEmpty():
+        more = _compared(rest, base, own, settings)
+        # The components so far stand for their links.
+        joined = components(_links(more, settings).unionByName(joined.select(F.col("node").alias("u"), F.col("component").alias("v"))))
     named = _named(nodes, joined)
     found = signed.select("key", "c1", "c2").join(named, ["c1", "c2"]).select("key", "class_key")
     empty = base.where(~F.col("text").rlike(r"[^\x20\x09-\x0D]")).select("key", F.col("key").alias("class_key"))
@@ -256,6 +307,17 @@ def near_classes(docs: DataFrame, settings: Settings = Settings(), id_col: str =
     return out.select(real("key").alias("doc_id"), real("class_key").alias("class_id"), (F.col("key") == F.col("class_key")).alias("kept"))
 
 
+def _compared(pairs: DataFrame, base: DataFrame, own: Weights, settings: Settings) -> DataFrame:
+    """(u, v, sim) of ``pairs``, with the texts of ``base`` that they name."""
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct()
+    texts = written(base.join(wanted.hint("merge"), "key", "left_semi"), "near-texts")
+    return written(_verified(pairs, texts, own, settings), "near-compared")
+
+
+def _links(compared: DataFrame, settings: Settings) -> DataFrame:
+    return compared.where(F.col("sim") >= settings.similarity).select("u", "v")
+
+
 def _named(nodes: DataFrame, joined: DataFrame) -> DataFrame:
     """(c1, c2, class_key): the class of each node; without links a node is its own."""
     labels = joined.select(F.col("node").alias("l_node"), "component")

@@ -85,6 +85,29 @@ def test_a_large_group_of_near_copies_stays_together(spark):
     assert {got[i] for i in range(300)} == {0} and all(got[1000 + i] == 1000 + i for i in range(60))
 
 
+def _family(rng, copies, share=0.022, edits=0.008):
+    """Pages of one template, unlike each other by the threshold, each with one near copy."""
+    base = [f"w{k}" for k in range(400)]
+    pages = [_edited(rng, base, share) for _ in range(copies)]
+    return [(i, " ".join(page)) for i, page in enumerate(pages)] + [(copies + i, " ".join(_edited(rng, page, edits))) for i, page in enumerate(pages)]
+
+
+def test_near_copies_within_a_family_of_related_texts(spark):
+    rows, s = _family(random.Random(11), 250), neardup.Settings()
+    base = neardup._keyed(_df(spark, rows), "doc_id", "text")
+    own = neardup.weights(base, s)
+    bands = {r.key: r.bands for r in neardup._signatures(base, own, s).collect()}
+    enc = lambda texts: (np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *map(len, texts)]))
+    met = [(i, j) for i in bands for j in bands if i > j and any(x == y for x, y in zip(bands[i], bands[j], strict=True))]
+    text, alike = dict(rows), []
+    for at in range(0, len(met), 2000):
+        some = met[at : at + 2000]
+        sims = neardup.similarities(own, s.shingle, enc([text[i] for i, _ in some]), enc([text[j] for _, j in some]))
+        alike += [p for p, sim in zip(some, sims, strict=True) if sim >= s.similarity]
+    assert len(met) > 50 * len(alike) > 0
+    assert _classes(spark, rows) == _union(alike, list(text))
+
+
 def test_pairs_grow_with_rows_not_with_their_square(spark):
     def pairs(n):
         nodes = neardup._signatures(neardup._keyed(_df(spark, _group(random.Random(4), n)), "doc_id", "text"), neardup.Weights(np.ones(neardup.DF_BUCKETS)), neardup.Settings())
