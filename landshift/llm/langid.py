@@ -142,18 +142,20 @@ def mixtures(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np.nd
     even = np.full((len(open_), len(model.languages)), 1 / len(model.languages), np.float32)
     share, _ = _em(like, top, first, doc, size, even, model.rounds)
     order = np.argsort(-share, axis=1, kind="stable")
-    value = single[open_, best[open_]]
+    value, most = single[open_, best[open_]], np.add.reduceat(top, first, dtype=np.float64)
     chosen = out[some[open_]]
     for k in range(2, len(model.languages) + 1):
+        # No set of k or more can be better than each word's own best; this bound is each text's own, too.
+        hope = most - (k - 1) * price > value
+        if not hope.any():
+            break
         allowed = np.zeros_like(even)
         np.put_along_axis(allowed, order[:, :k], np.take_along_axis(share, order[:, :k], 1) + 1e-6, 1)
         allowed /= allowed.sum(1, keepdims=True)
         part, fits = _em(like, top, first, doc, size, allowed, 4)
         gain = fits - (k - 1) * price
-        better = gain > value
+        better = hope & (gain > value)
         chosen[better], value[better] = part[better], gain[better]
-        if not better.any():
-            break
     out[some[open_]] = chosen
     return out, counts
 

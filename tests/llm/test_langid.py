@@ -62,6 +62,19 @@ def test_batches_and_repeats_do_not_matter(spark):
     assert sorted(a) == sorted(b) and len(a) == 100 and len(set(a)) == 50
 
 
+def test_a_mixture_does_not_depend_on_its_neighbours():
+    # Three languages have one word each, a fourth has all three, but seldom: a text of all words gains from three, not from two.
+    log_p = np.full((langid.BUCKETS, 4), np.log(1e-6), np.float32)
+    enc = lambda *t: (np.frombuffer("".join(t).encode(), np.uint8), np.cumsum([0, *map(len, t)]))
+    for k, word in enumerate("abc"):
+        log_p[langid._grams(*enc(word))[0], k] = np.log(1e-3)
+        log_p[langid._grams(*enc(word))[0], 3] = np.log(1e-3) - 3.9
+    model = langid.Model(("a", "b", "c", "d"), log_p)
+    three, two = " ".join("abc" * 6), " ".join("ab" * 60)
+    alone, beside = langid.mixtures(model, *enc(three))[0][0], langid.mixtures(model, *enc(three, two))[0][0]
+    assert np.allclose(alone, beside, atol=1e-5) and np.allclose(alone, [1 / 3, 1 / 3, 1 / 3, 0], atol=1e-3)
+
+
 def test_nothing_learned_and_empty_table(spark):
     none = langid.learned(spark.createDataFrame([(1, "kala", None)], SCHEMA))
     assert _found(spark, none, [(1, "kala", None)])[1].lang_pred == "und"
