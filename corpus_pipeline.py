@@ -16,7 +16,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language; ``und`` and texts without a main language go."""
+    """Documents in known languages, one or more; ``und`` goes."""
     docs = docs.select(*COLUMNS)
     return langid.with_known_language(docs, langid.learned(docs))
 

@@ -195,7 +195,7 @@ def predicted(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: s
     return found.select("row.doc_id", "lang_pred", "score", *(["mixture"] if with_mixture else []))
 
 
-def with_known_language(docs: DataFrame, model: Model, least_share: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` in which one learned language holds at least ``least_share`` of the words."""
-    found = with_language(docs, model, text_col).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least_share))
+def with_known_language(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` in learned languages, one or more; only ``und`` goes."""
+    found = with_language(docs, model, text_col).where(F.col("lang_pred") != UNDETERMINED)
     return found.select(*[F.col("row")[c].alias(c) for c in docs.columns])

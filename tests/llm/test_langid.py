@@ -86,3 +86,11 @@ def test_rejection_keeps_columns(spark):
     df = spark.createDataFrame([(1, "kala maka", "x", 3.5), (2, "?!", "x", None)], "doc_id long, text string, score string, row double")
     kept = langid.with_known_language(df, model)
     assert kept.columns == df.columns and [r.doc_id for r in kept.collect()] == [1]
+
+
+def test_a_text_of_three_known_languages_stays(spark):
+    model, rng = _model(spark)
+    mixed = " ".join(_text(rng, lang, 40) for lang in WORDS)
+    df = spark.createDataFrame([(1, mixed, None)], SCHEMA)
+    assert _found(spark, model, [(1, mixed, None)])[1].score < 0.5
+    assert [r.doc_id for r in langid.with_known_language(df, model).collect()] == [1]
