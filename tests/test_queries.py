@@ -1,8 +1,12 @@
 """Every query against its SQL in DuckDB, on the smallest tables."""
 
+import ast
 import datetime
 import math
 import os
+import shutil
+import subprocess
+import sys
 
 import pytest
 
@@ -49,3 +53,14 @@ def test_entry_points(spark):
     assert set(catalogue.QUERIES) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert len(entry.entry(spark).columns) == 3
+
+
+@pytest.mark.parametrize("gone", [("landshift/llm",), ("corpus_pipeline.py",), ("landshift/llm", "corpus_pipeline.py")])
+def test_without_the_optional_part(tmp_path, gone):
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    copy = tmp_path / "copy"
+    shutil.copytree(root, copy, ignore=lambda folder, names: [n for n in names if n in (".git", "tests", "__pycache__") or os.path.relpath(os.path.join(folder, n), root) in gone])
+    code = "import __spark_entry__ as e; print(sorted(e.queries())); print(sorted(e.oracle_sql()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=copy, capture_output=True, text=True, check=True).stdout.splitlines()
+    named, held = (set(ast.literal_eval(line)) for line in out[-2:])
+    assert set(catalogue.QUERIES) <= named and set(catalogue.ORACLES) <= held and held <= named and "pipeline" not in named
