@@ -3,12 +3,12 @@
 Encoding keeps an agenda of adjacent symbol pairs, highest score first (leftmost of equals), and merges until
 no pair of neighbours is a piece; characters without a piece become bytes. As no piece has a word mark after
 another character -- checked when the vocabulary is loaded -- merges never cross the start of a word, so a
-word's pieces depend on that word alone and are remembered in a table of bounded size in each worker.
+word's pieces depend on that word alone and are remembered in a table of bounded size in each worker. Short
+words keep the agenda as a list of scores beside their symbols, which is then the faster form; longer ones as
+a heap.
 
-Every Arrow batch is held against the sentencepiece library; a difference fails the job. ``check="texts"``
-compares ids and decoded text of every whole text. ``check="units"``, the default, compares every word the
-worker has not compared yet -- which covers all texts, as words are encoded independently -- and one whole
-text of each run of texts.
+Ids and decoded text of every whole text are held against the sentencepiece library, in every Arrow batch; a
+difference fails the job.
 
 Defined results: a null text is empty, its only id is the end id; malformed UTF-8 is read as replacement
 characters; order and repeats of rows are kept; further columns are ignored.
@@ -20,7 +20,6 @@ import hashlib
 import heapq
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -29,6 +28,8 @@ from landshift.llm.texts import in_arrow
 MARK = "▁"
 REMEMBERED = 350_000
 CHECK_CHARS = 1 << 20
+SHORT = 40
+_NEVER = float("inf")
 
 
 class Vocabulary:
@@ -41,7 +42,8 @@ class Vocabulary:
         self.pieces = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
         plain = [i for i in range(len(self.pieces)) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
         self.ids = {self.pieces[i]: i for i in plain}
-        self.scores = {self.pieces[i]: sp.get_score(i) for i in plain}
+        self.costs = {self.pieces[i]: -sp.get_score(i) for i in plain}
+        self.names = [str(i) for i in range(len(self.pieces))]
         self.bytes = {int(self.pieces[i][3:5], 16): i for i in range(len(self.pieces)) if sp.is_byte(i)}
         self.end, self.unknown = sp.eos_id(), sp.unk_id()
         if any(MARK in p.lstrip(MARK) for p in self.ids):
@@ -50,11 +52,37 @@ class Vocabulary:
 
     def encode(self, symbols: str) -> list[int]:
         """Ids of a normalised string by the agenda."""
-        scores = self.scores.get
-        part: list[str] = list(symbols)
+        ids = self.ids
+        out: list[int] = []
+        for p in self._listed(list(symbols)) if len(symbols) <= SHORT else self._heaped(list(symbols)):
+            if (i := ids.get(p)) is not None:
+                out.append(i)
+            elif self.bytes:
+                out.extend(self.bytes[b] for b in p.encode())
+            else:
+                out.append(self.unknown)
+        return out
+
+    def _listed(self, part: list[str]) -> list[str]:
+        """Merged symbols; the agenda is the list of what each pair costs, its least entry the next to merge."""
+        cost = self.costs.get
+        agenda = [cost(a + b, _NEVER) for a, b in zip(part, part[1:], strict=False)]
+        while agenda and (least := min(agenda)) != _NEVER:
+            i = agenda.index(least)
+            part[i] += part.pop(i + 1)
+            del agenda[i]
+            if i < len(agenda):
+                agenda[i] = cost(part[i] + part[i + 1], _NEVER)
+            if i:
+                agenda[i - 1] = cost(part[i - 1] + part[i], _NEVER)
+        return part
+
+    def _heaped(self, part: list[str]) -> list[str]:
+        """Merged symbols; the agenda is a heap of (cost, place, place of the right neighbour, pair)."""
+        costs = self.costs.get
         n = len(part)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        agenda = [(-score, i, i + 1, pair) for i, pair in enumerate(map(str.__add__, part, part[1:])) if (score := scores(pair)) is not None]
+        agenda = [(cost, i, i + 1, pair) for i, pair in enumerate(map(str.__add__, part, part[1:])) if (cost := costs(pair)) is not None]
         heapq.heapify(agenda)
         while agenda:
             _, left, right, pair = heapq.heappop(agenda)
@@ -67,45 +95,32 @@ class Vocabulary:
             if nxt < n:
                 before[nxt] = left
                 wide = pair + part[nxt]
-                if (score := scores(wide)) is not None:
-                    heapq.heappush(agenda, (-score, left, nxt, wide))
+                if (cost := costs(wide)) is not None:
+                    heapq.heappush(agenda, (cost, left, nxt, wide))
             prev = before[left]
             if prev >= 0:
                 wide = part[prev] + pair
-                if (score := scores(wide)) is not None:
-                    heapq.heappush(agenda, (-score, prev, left, wide))
-        ids = self.ids
-        out: list[int] = []
-        for p in part:
-            if p:
-                if (i := ids.get(p)) is not None:
-                    out.append(i)
-                elif self.bytes:
-                    out.extend(self.bytes[b] for b in p.encode())
-                else:
-                    out.append(self.unknown)
-        return out
+                if (cost := costs(wide)) is not None:
+                    heapq.heappush(agenda, (cost, prev, left, wide))
+        return [p for p in part if p]
 
-    def decode(self, ids: list[int]) -> str:
-        text = b"".join([self.surface[i] for i in ids]).decode("utf-8", "replace")
-        return text[1:] if text[:1] == " " else text
+    def decode(self, ids: list[int]) -> bytes:
+        """The UTF-8 text of ids."""
+        out = b"".join(map(self.surface.__getitem__, ids))
+        return out[1:] if out[:1] == b" " else out
 
 
 class _Units(dict):
-    """Unit -> its ids as text, and the units that were not looked up before.
-
-    A unit is a word with the word marks before it, or without any after a line end.
-    """
+    """Unit -> its ids as text. A unit is a word with the word marks before it, or without any after a line end."""
 
     def __init__(self, vocabulary: Vocabulary, mark: str = ""):
-        self.vocabulary, self.mark, self.fresh = vocabulary, mark, []
+        self.vocabulary, self.mark = vocabulary, mark
         self.older: dict[str, str] = {}
 
     def __missing__(self, unit: str) -> str:
         found = self.older.get(unit)
         if found is None:
-            found = " ".join(map(str, self.vocabulary.encode(self.mark + unit)))
-            self.fresh.append((self.mark + unit, found))
+            found = " ".join(map(self.vocabulary.names.__getitem__, self.vocabulary.encode(self.mark + unit)))
         if len(unit) <= 64:
             self[unit] = found
         return found
@@ -122,7 +137,6 @@ class Codec:
         self.vocabulary = Vocabulary(path)
         # Words with one mark before them, by far the most, are kept without it.
         self.words, self.units, self.remembered = _Units(self.vocabulary, MARK), _Units(self.vocabulary), remembered
-        self.surface = {str(i): x for i, x in enumerate(self.vocabulary.surface)}
         self.apart = "\n" not in "".join(self.vocabulary.ids)  # then no merge crosses a line end either
         self.line_end = " ".join(map(str, self.vocabulary.encode("\n")))
 
@@ -163,28 +177,20 @@ class Codec:
         """All ids, the end id last, joined by one space."""
         return " ".join([*self.word_ids(text), str(self.vocabulary.end)])
 
-    def check_units(self) -> None:
-        """Hold all units encoded since the last call against the library."""
-        sp, fresh = self.vocabulary.library, self.words.fresh + self.units.fresh
-        self.words.fresh, self.units.fresh = [], []
-        if not fresh or not self.apart:  # then every text is compared, see ``encoded``
-            return
-        # The library begins each text with a mark; after a line end, whose ids are taken off, units stand as they are.
-        lead = len(sp.encode("\n"))
-        texts = ["\n" + u.replace(MARK, " ") for u, _ in fresh]
-        for (unit, mine), their in zip(fresh, sp.encode(texts, num_threads=1), strict=True):
-            if mine != " ".join(map(str, their[lead:])):
-                raise ValueError(f"ids differ from the library's for a word of {len(unit)} characters")
-
-    def check_texts(self, texts: list[str], ids: list[str], decoded: list[bytes]) -> None:
-        sp = self.vocabulary.library
-        for text, mine, their, back in zip(texts, ids, sp.encode(texts, add_eos=True, num_threads=1), decoded, strict=True):
-            if mine != " ".join(map(str, their)) or back != sp.decode(their).encode():
-                raise ValueError(f"ids or text differ from the library's for a text of {len(text)} characters")
-
-    def decode(self, ids: str) -> bytes:
-        out = b"".join(map(self.surface.__getitem__, ids.split(" ")))
-        return out[1:] if out[:1] == b" " else out
+    def checked(self, texts: list[str]) -> tuple[list[str], list[list[int]], list[bytes]]:
+        """Of each text: ids as text, ids, and the text they decode to; all as the library has them."""
+        own, sp = self.vocabulary, self.vocabulary.library
+        names = own.names.__getitem__
+        ids = [self.encode(t) for t in texts]
+        listed = sp.encode(texts, add_eos=True, num_threads=1)
+        decoded = []
+        for text, mine, their in zip(texts, ids, listed, strict=True):
+            if mine != " ".join(map(names, their)):
+                raise ValueError(f"ids differ from the library's for a text of {len(text)} characters")
+            decoded.append(own.decode(their))
+            if decoded[-1] != sp.decode(their).encode():
+                raise ValueError(f"decoded text differs from the library's for a text of {len(text)} characters")
+        return ids, listed, decoded
 
 
 _CODECS: dict[str, Codec] = {}
@@ -201,12 +207,7 @@ def _text(raw: bytes) -> str:
     return raw.decode("utf-8", "replace")
 
 
-def _lists(ids: list[str]) -> pa.ListArray:
-    flat = [np.array(x.split(" "), np.int32) for x in ids]
-    return pa.ListArray.from_arrays(np.cumsum([0, *map(len, flat)], dtype=np.int32), np.concatenate(flat))
-
-
-def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, check: str = "units") -> DataFrame:
+def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids and decoded."""
     id_type = dict(docs.dtypes)[id_col]
     schema = f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_ids else "")
@@ -222,17 +223,11 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
                     texts.append("" if raw is None else _text(raw.to_pybytes()))
                     held += len(texts[-1])
                     at += 1
-                words = [own.word_ids(t) for t in texts]
-                end = str(own.vocabulary.end)
-                ids = [" ".join([*w, end]) for w in words]
-                decoded = [own.decode(x) for x in ids]
-                own.check_units()
-                some = len(texts) if check == "texts" or not own.apart else 1
-                own.check_texts(texts[:some], ids[:some], decoded[:some])
-                columns = [batch.column(0).slice(begin, at - begin), pa.array([x.count(" ") + 1 for x in ids], pa.int64()), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in ids]), pa.array([hashlib.sha256(x).hexdigest() for x in decoded])]
+                ids, listed, decoded = own.checked(texts)
+                columns = [batch.column(0).slice(begin, at - begin), pa.array(map(len, listed), pa.int64()), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in ids]), pa.array([hashlib.sha256(x).hexdigest() for x in decoded])]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
-                    columns += [_lists(ids), pa.array([x.decode() for x in decoded])]
+                    columns += [pa.array(listed, pa.list_(pa.int32())), pa.array([x.decode() for x in decoded])]
                     names += ["ids", "decoded"]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 

@@ -23,7 +23,7 @@ def test_any_text_as_the_library(text):
     sp, own = _library(), pieces.codec(PATH)
     ids = own.encode(text)
     assert ids == " ".join(map(str, sp.encode(text, add_eos=True)))
-    assert own.decode(ids) == sp.decode(list(map(int, ids.split()))).encode()
+    assert own.vocabulary.decode(list(map(int, ids.split()))) == sp.decode(list(map(int, ids.split()))).encode()
 
 
 def test_table_against_library(spark):
@@ -31,7 +31,7 @@ def test_table_against_library(spark):
     rows = [(i, " ".join("".join(rng.choice("theandiorü") for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(0, 80))), None) for i in range(300)]
     rows += [(900, None, "x"), (901, "", None), (902, "a" * 50_000, None), (903, "  x  ", None), (904, "</s><s> \n\n", None), (906, "x ", None), (907, " ", None), (908, "a\n \n  b", None), (905, "w " * 200_000, None), (1, rows[1][1], None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids string")
-    got = pieces.encoded(df, PATH, with_ids=True, check="texts").collect()
+    got = pieces.encoded(df, PATH, with_ids=True).collect()
     assert sorted(r.doc_id for r in got) == sorted(r[0] for r in rows)
     text = dict((r[0], r[1] or "") for r in rows)
     for r in got:
@@ -43,17 +43,26 @@ def test_table_against_library(spark):
 
 def test_malformed_utf8_and_null_ids(spark):
     df = spark.sql("SELECT CAST(NULL AS BIGINT) AS doc_id, CAST(unhex('61FF62') AS STRING) AS text")
-    assert pieces.encoded(df, PATH, with_ids=True, check="texts").first().decoded == "a�b"
+    assert pieces.encoded(df, PATH, with_ids=True).first().decoded == "a�b"
 
 
-def test_a_difference_fails():
+def test_a_difference_in_any_text_fails():
     own = pieces.Codec(PATH)
+    assert own.checked(["of the", ""])[2] == [b"of the", b""]
     own.words["the"] = "1"
-    with pytest.raises(ValueError, match="differ"):
-        own.check_texts(["of the"], [own.encode("of the")], [b"of the"])
-    own.words.fresh.append((pieces.MARK + "the", "1"))
-    with pytest.raises(ValueError, match="differ"):
-        own.check_units()
+    with pytest.raises(ValueError, match="ids differ"):
+        own.checked(["fine", "of the"])
+    own = pieces.Codec(PATH)
+    own.vocabulary.surface[own.vocabulary.encode(pieces.MARK + "the")[0]] = b" thee"
+    with pytest.raises(ValueError, match="decoded text differs"):
+        own.checked(["fine", "of the"])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.sampled_from(list("aethrnisod▁é日")), min_size=1, max_size=40))
+def test_both_forms_of_the_agenda_merge_alike(word):
+    own = pieces.codec(PATH).vocabulary
+    assert own._listed(list(word)) == own._heaped(list(word))
 
 
 def test_forgetting_changes_nothing():
