@@ -1,21 +1,25 @@
 """Near-duplicate classes by improved consistent weighted sampling (ICWS) over TF-IDF word shingles.
 
-1. Document frequencies of all shingles over all documents, in ``DF_BUCKETS`` hashed buckets.
-2. Per document, weights of its distinct shingles: (1 + ln tf) * idf, in steps of 2 ** (1/16). The idf is 1 for
-   shingles in up to ``COMMON`` of all documents and falls with the logarithm of their share to 1 - ``IDF_SPAN``;
-   the span is small, so that copies stay alike where a large group of them makes their own shingles common. ICWS draws ``bands * rows`` samples; its Gamma and uniform variates come from
-   a table indexed by a hash of shingle and draw, so the value of a sample is one lookup by (weight, index).
+1. Document frequencies, exact for each frequent shingle. A shingle is frequent if it makes up at least one
+   ``FREQUENT``-th of all pairs of a document and one of its distinct shingles, so there are at most that many,
+   whatever the size of the corpus. First all shingles are counted in ``DF_BUCKETS`` hashed buckets; what lies
+   in buckets that hold enough for a frequent one is then counted by its own hash.
+2. Per document, weights of its distinct shingles: (1 + ln tf) * idf, in steps of 2 ** (1/16). The idf falls with
+   the logarithm of a shingle's share of the documents, from 1 where it is not frequent to ``LEAST_IDF`` where
+   every document has it. That least value is what keeps a copy found whose words are all boilerplate but for its
+   edits: at a plain similarity of 0.85 it is at 0.81 by these weights.
+   ICWS draws ``bands * rows`` samples (shingle, t); its Gamma and uniform variates come from a table
+   indexed by a hash of shingle and draw, so the value of a sample is one lookup by (weight, index).
 3. Texts with the same words are one node. Nodes that share a band meet in its bucket. In a bucket of at most
-   ``FEW`` nodes all are compared with each other. In a larger one -- a large group of copies -- each is
-   compared with a few centres (``CENTRES``), nodes with the least hash for that bucket, so each bucket has
-   others; then its nodes meet again in finer buckets of two, then three bands, by the same rule. Near copies
-   gather in the finest buckets, where centres are most alike; groups of copies never expand into pairs.
-4. Every pair is verified by the weighted Jaccard similarity of the whole texts.
-5. What the centres leave: nodes of a large bucket that are in different components of the links so far are
-   compared too, unless their distances to a common centre differ by more than a link may be long (1 less the
-   similarity is a metric). So any two nodes that share a band and are alike end in one class; a large bucket
-   of texts that are related but no copies takes work with its square.
-6. Classes are the components of all verified links.
+   ``FEW`` nodes all are compared with each other. In a larger one each is compared with a few centres, nodes
+   with the least hash for that bucket, so each bucket has others. Every such pair is verified by the weighted
+   Jaccard similarity of the whole texts. Groups of copies gather here without expanding into pairs.
+4. What the centres leave: nodes of a large bucket that are in different components of the links so far are
+   all compared, block by block. A task holds two blocks, bounded in texts and bytes, takes the similarities of
+   all their texts as products of matrices, and returns only the links that join components. So any two nodes
+   that share a band and are alike end in one class, no pairs are emitted, and no task holds a bucket. A large
+   bucket of texts that are related but no copies takes work with its square.
+5. Classes are the components of all verified links.
 
 Result: one row per document with class_id, the least id of its class, and kept (it is that document).
 
@@ -27,10 +31,12 @@ gives no rows; further columns are ignored.
 from __future__ import annotations
 
 import dataclasses
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,11 +44,12 @@ from landshift.operators.graph import components
 from landshift.sources.shared import written
 from landshift.llm.texts import gram_hashes, in_arrow, mix, slices, word_bounds, word_hashes
 
-DF_BUCKETS = 1 << 16
-IDF_SPAN, COMMON = 0.05, 0.05
-FEW, BLOCK = 8, 512
-CENTRES = (4, 3, 3)
-_TABLE = 1 << 13
+DF_BUCKETS, FREQUENT = 1 << 18, 1 << 16
+LEAST_IDF = 0.75
+FEW, CENTRES = 8, 4
+BLOCK, BLOCK_BYTES = 256, 2 << 20
+_BUCKET = np.uint64(64 - 18)
+_TABLE = 1 << 15
 _LEVELS, _STEPS = 72, 16
 _NULL_ID = -(1 << 63)
 
@@ -89,40 +96,64 @@ def identity(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 @dataclasses.dataclass
 class Weights:
-    """idf by bucket of a shingle's hash."""
+    """idf of the frequent shingles, sorted by hash; all others have 1. ``hot`` marks the buckets they lie in."""
 
+    hashes: np.ndarray
     idf: np.ndarray
+    hot: np.ndarray
 
     def levels(self, hashes: np.ndarray, tf: np.ndarray) -> np.ndarray:
-        weight = (1 + np.log(tf)) * self.idf[(hashes >> np.uint64(48)).astype(np.int64)]
+        weight = (1 + np.log(tf)) / LEAST_IDF  # at least 1 with the idf; similarity does not depend on the scale
+        some = np.flatnonzero(self.hot[hashes >> _BUCKET])
+        if len(some):
+            at = np.minimum(np.searchsorted(self.hashes, hashes[some]), len(self.hashes) - 1)
+            weight[some] *= np.where(self.hashes[at] == hashes[some], self.idf[at], 1.0)
         return np.clip(np.rint(_STEPS * np.log2(weight)).astype(np.int64), 0, _LEVELS - 1)
 
 
-def weights(docs: DataFrame, settings: Settings) -> Weights:
-    """Document frequencies over all rows of ``docs`` (key, text); the table has ``DF_BUCKETS`` entries at any size."""
+def _counted(docs: DataFrame, settings: Settings, hot: np.ndarray | None) -> DataFrame:
+    """(h, n): documents by bucket and, as bucket -1, all with words; or by shingle, for those in hot buckets."""
+    shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n = np.zeros(DF_BUCKETS, np.int64), 0
+        df, n, wanted = np.zeros(DF_BUCKETS, np.int64), 0, shared.value
         for batch in batches:
             for _, data, offsets in slices(batch, "text"):
                 _, h, _, words = shingles(data, offsets, settings.shingle)
-                df += np.bincount((h >> np.uint64(48)).astype(np.int64), minlength=DF_BUCKETS)
-                n += int((words > 0).sum())
-        hit = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(hit, -1)), pa.array(np.append(df[hit], n))], names=["bucket", "n"])
+                if wanted is None:
+                    df += np.bincount((h >> _BUCKET).astype(np.int64), minlength=DF_BUCKETS)
+                    n += int((words > 0).sum())
+                else:
+                    key, times = np.unique(h[wanted[h >> _BUCKET]], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(times.astype(np.int64))], names=["h", "n"])
+        if wanted is None:
+            hit = np.flatnonzero(df)
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(hit, -1)), pa.array(np.append(df[hit], n))], names=["h", "n"])
+
+    return in_arrow(docs.select("text"), count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
-    table = in_arrow(docs.select("text"), count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    bucket, n = table.column("bucket").to_numpy(), table.column("n").to_numpy()
-    total = int(n[bucket < 0].sum())
-    df = np.zeros(DF_BUCKETS)
-    df[bucket[bucket >= 0]] = n[bucket >= 0]
-    share = np.log(np.maximum(np.minimum(df, total), 1) / max(total, 1) / COMMON) / np.log(1 / COMMON)
-    idf = 1 - IDF_SPAN * np.clip(share, 0, 1)
-    return Weights(idf / (1 - IDF_SPAN))  # at least 1; similarity does not depend on the scale
+
+def weights(docs: DataFrame, settings: Settings) -> Weights:
+    """idf of the frequent shingles over all rows of ``docs`` (text); at most ``FREQUENT`` at any size."""
+    buckets = _counted(docs, settings, None).toArrow()  # DF_BUCKETS rows and one
+    at, n = buckets.column("h").to_numpy(), buckets.column("n").to_numpy()
+    documents, pairs = int(n[at < 0].sum()), int(n[at >= 0].sum())
+    least = max(2, -(-pairs // FREQUENT))
+    hot = np.zeros(DF_BUCKETS, bool)
+    hot[at[(at >= 0) & (n >= least)]] = True
+    if not hot.any():
+        return Weights(np.zeros(0, np.uint64), np.zeros(0), hot)
+    found = _counted(docs, settings, hot).where(F.col("n") >= least).toArrow()
+    h, df = found.column("h").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    order = np.argsort(h)
+    rare = np.log(min(least, documents) / documents) or -1.0
+    idf = LEAST_IDF + (1 - LEAST_IDF) * np.log(np.minimum(df, documents) / documents) / rare
+    return Weights(h[order], np.clip(idf, LEAST_IDF, 1)[order], hot)
 
 
 class Sampler:
-    """ICWS draws. For weight w: t = floor(ln w / r + b), ln a = ln c - r * (t - b + 1); the shingle with least a is drawn."""
+    """ICWS draws. For weight w: t = floor(ln w / r + b), ln a = ln c - r * (t - b + 1); the shingle with least a is
+    drawn, and the sample is (shingle, t): the rank of ln a stands for t, as no two (index, t) have the same."""
 
     def __init__(self, settings: Settings):
         rng = np.random.default_rng(settings.seed)
@@ -146,16 +177,22 @@ class Sampler:
             at = ((hashes * odd) >> np.uint64(51)).astype(np.int64)
             drawn = np.minimum.reduceat(self.table[base + at] | name, first)
             band = j // self.settings.rows
-            out[:, band] = mix(out[:, band] * np.uint64(3) + (drawn & np.uint64(0xFFFFFFFF)) + np.uint64(j + 1))
+            out[:, band] = mix(out[:, band] * np.uint64(3) + drawn + np.uint64(j + 1))
         return doc[first], out
 
 
+@functools.cache
+def _sampler(settings: Settings) -> Sampler:
+    """One per worker process."""
+    return Sampler(settings)
+
+
 def _signatures(docs: DataFrame, own: Weights, settings: Settings) -> DataFrame:
-    """(key, c1, c2, bands) of every row that has words."""
+    """(key, c1, c2, size, bands) of every row that has words; size in bytes."""
     shared = docs.sparkSession.sparkContext.broadcast(own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler = Sampler(settings)
+        sampler = _sampler(settings)
         for batch in batches:
             for rows, data, offsets in slices(batch, "text"):
                 doc, h, tf, _ = shingles(data, offsets, settings.shingle)
@@ -164,9 +201,9 @@ def _signatures(docs: DataFrame, own: Weights, settings: Settings) -> DataFrame:
                 who, bands = sampler.bands(doc, h, shared.value.levels(h, tf))
                 c1, c2 = identity(data, offsets)
                 flat = pa.ListArray.from_arrays(np.arange(len(who) + 1, dtype=np.int32) * settings.bands, bands.reshape(-1).view(np.int64))
-                yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(who)), pa.array(c1[who].view(np.int64)), pa.array(c2[who].view(np.int64)), flat], names=["key", "c1", "c2", "bands"])
+                yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(who)), pa.array(c1[who].view(np.int64)), pa.array(c2[who].view(np.int64)), pa.array(np.diff(offsets)[who]), flat], names=["key", "c1", "c2", "size", "bands"])
 
-    return in_arrow(docs, run, "key long, c1 long, c2 long, bands array<long>")
+    return in_arrow(docs, run, "key long, c1 long, c2 long, size long, bands array<long>")
 
 
 def similarities(own: Weights, size: int, left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -201,82 +238,131 @@ def _verified(pairs: DataFrame, texts: DataFrame, own: Weights, settings: Settin
     return in_arrow(both.select("u", "v", "text_u", "text_v"), run, "u long, v long, sim double")
 
 
-def _met(rows: DataFrame, centres: int) -> DataFrame:
-    """Buckets with more than one node: (node, first, key, n, centres) from (node, first, key)."""
+def buckets(nodes: DataFrame, settings: Settings) -> DataFrame:
+    """Buckets with more than one node: (key, node, size, n, centres) from (node, size, bands)."""
+    rows = nodes.select("node", "size", F.posexplode("bands").alias("band", "hash"))
+    rows = rows.select(F.xxhash64("band", "hash").alias("key"), "node", "size")
     least = lambda j: F.min(F.struct(F.xxhash64("node", "key", F.lit(j)), F.col("node").alias("node")))["node"]
-    size = rows.groupBy("key").agg(F.count("*").alias("n"), F.array(*[least(j) for j in range(centres)]).alias("centres")).where("n > 1")
-    return rows.join(size, "key")
+    met = rows.groupBy("key").agg(F.count("*").alias("n"), F.array_distinct(F.array(*[least(j) for j in range(CENTRES)])).alias("centres")).where("n > 1")
+    return written(rows.join(met, "key"), "near-buckets")
 
 
-def _pairs_of(met: DataFrame) -> DataFrame:
+def candidates(met: DataFrame) -> DataFrame:
+    """(u, v), u > v: the pairs of nodes to compare first, from ``buckets``."""
     few = met.where(F.col("n") <= FEW).select("key", "node")
     near = few.select("key", F.col("node").alias("u")).join(few.select("key", F.col("node").alias("v")), "key").where("u > v").select("u", "v")
-    star = met.where(F.col("n") > FEW).select("node", F.explode(F.array_distinct("centres")).alias("centre")).where("node != centre")
-    return near.unionByName(star.select(F.greatest("node", "centre").alias("u"), F.least("node", "centre").alias("v")))
+    star = met.where(F.col("n") > FEW).select("node", F.explode("centres").alias("centre")).where("node != centre")
+    return near.unionByName(star.select(F.greatest("node", "centre").alias("u"), F.least("node", "centre").alias("v"))).distinct()
 
 
-def _keys(settings: Settings):
-    n, bands = settings.bands, F.col("bands")
-    step = lambda first, more: bands[(first + more) % n]
+def in_steps(d: np.ndarray, h: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Weighted shingles of texts as plain features (text, feature) with weights by feature.
 
-    def keys(level: int, first, *more: int):
-        return F.struct(F.lit(first).alias("first"), F.xxhash64(F.lit(level), F.lit(first), *[step(first, m) for m in (0, *more)]).alias("key"))
+    A shingle that occurs with several weights is as many features, one per step between them, and a text has
+    those up to its own weight; so the shared weight of two texts is the sum over the features both have.
+    """
+    order = np.lexsort((level, h))
+    d, h, level = d[order], h[order], level[order]
+    new_h = np.concatenate([[True], h[1:] != h[:-1]])
+    new = new_h | np.concatenate([[True], level[1:] != level[:-1]])
+    at = np.cumsum(new) - 1
+    first = np.maximum.accumulate(np.where(new_h, at, 0))
+    weight = 2.0 ** (level[new] / _STEPS)
+    step = weight - np.where(new_h[new], 0.0, np.concatenate([[0.0], weight[:-1]]))
+    n = at - first + 1
+    inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    return np.repeat(d, n), np.repeat(first, n) + inner, step, np.bincount(d, weight[at])
+
+
+def block_similarities(own: Weights, size: int, left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray], columns: int = 2048) -> np.ndarray:
+    """Weighted Jaccard similarity of every text of one slice with every text of another."""
+    d1, h1, t1, n1 = shingles(*left, size)
+    d2, h2, t2, n2 = shingles(*right, size)
+    if not len(d1) or not len(d2):
+        return np.zeros((len(n1), len(n2)))
+    h, tf = np.concatenate([h1, h2]), np.concatenate([t1, t2])
+    doc, feature, step, total = in_steps(np.concatenate([d1, d2 + len(n1)]), h, own.levels(h, tf))
+    total = np.concatenate([total, np.zeros(len(n1) + len(n2) - len(total))])
+    mine = doc < len(n1)
+    shared = np.zeros(len(step), np.int64)
+    shared[feature[mine]] |= 1
+    shared[feature[~mine]] |= 2
+    keep = shared[feature] == 3
+    doc, feature = doc[keep], feature[keep]
+    order = np.argsort(feature, kind="stable")
+    doc, feature = doc[order], feature[order]
+    place = np.cumsum(np.concatenate([[0], feature[1:] != feature[:-1]])) if len(feature) else feature
+    both = np.zeros((len(n1), len(n2)))
+    for at in range(0, int(place[-1]) + 1 if len(place) else 0, columns):
+        part = slice(np.searchsorted(place, at), np.searchsorted(place, at + columns))
+        a, b = np.zeros((len(n1), columns)), np.zeros((len(n2), columns))
+        who, col, w = doc[part], place[part] - at, step[feature[part]]
+        ours = who < len(n1)
+        a[who[ours], col[ours]] = w[ours]
+        b[who[~ours] - len(n1), col[~ours]] = 1
+        both += a @ b.T
+    return both / np.maximum(total[: len(n1), None] + total[None, len(n1) :] - both, 1e-12)
+
+
+def _spanning(u: np.ndarray, v: np.ndarray) -> list[tuple[int, int]]:
+    """Of links, those that join what the ones before have not."""
+    top: dict[int, int] = {}
+
+    def of(x: int) -> int:
+        while (up := top.get(x, x)) != x:
+            top[x] = top.get(up, up)
+            x = up
+        return x
 
-    return keys
+    out = []
+    for a, b in zip(u.tolist(), v.tolist(), strict=True):
+        x, y = of(a), of(b)
+        if x != y:
+            top[max(x, y)] = min(x, y)
+            out.append((a, b))
+    return out
 
 
-def buckets(nodes: DataFrame, settings: Settings) -> DataFrame:
-    """The buckets of single bands, as ``_met`` gives them, from (node, bands)."""
-    keys = _keys(settings)
-    rows = nodes.select("node", F.explode(F.array(*[keys(0, i) for i in range(settings.bands)])).alias("x")).select("node", "x.*")
-    return written(_met(rows, CENTRES[0]), "near-buckets")
-
-
-def candidates(nodes: DataFrame, settings: Settings, met: DataFrame | None = None) -> DataFrame:
-    """(u, v), u > v: the pairs of nodes to compare first, from (node, bands)."""
-    n, keys = settings.bands, _keys(settings)
-    met = buckets(nodes, settings) if met is None else met
-    pairs = _pairs_of(met)
-    for level, ways in ((1, ((1,), (3,))), (2, ((1, 2), (3, 5)))):
-        large = met.where(F.col("n") > FEW).select("node", "first").distinct()
-        options = F.array(*[F.array(*[keys(10 * level + w, i, *more)["key"] for w, more in enumerate(ways)]) for i in range(n)])
-        rows = large.join(nodes.select("node", "bands"), "node").select("node", "first", F.explode(options[F.col("first")]).alias("key"))
-        met = written(_met(rows, CENTRES[level]), "near-buckets")
-        pairs = pairs.unionByName(_pairs_of(met))
-    return pairs.distinct()
-
-
-def across(met: DataFrame, checked: DataFrame, joined: DataFrame, unsure: DataFrame, settings: Settings) -> DataFrame:
-    """(u, v), u > v: pairs of large buckets in different components that are not in ``checked`` and may be links.
-
-    met: single-band buckets; checked: (u, v, sim) so far; joined: (node, component); unsure: ids of several
-    texts, which have no one distance. One of a pair is outside its bucket's largest component, so those nodes
-    meet all nodes of the bucket, block by block.
+def across(met: DataFrame, joined: DataFrame, base: DataFrame, own: Weights, settings: Settings) -> DataFrame:
+    """(u, v): links between nodes of a large bucket in different components, as few as join what they join.
+
+    met: ``buckets``; joined: (node, component). One of such a pair is outside its bucket's largest component, so
+    blocks of those nodes meet blocks of all nodes.
     """
     labels = joined.select(F.col("node").alias("l_node"), "component")
     large = met.where(F.col("n") > FEW).join(labels, F.col("node") == F.col("l_node"), "left")
-    large = large.select("key", "node", "n", "centres", F.coalesce("component", "node").alias("class"))
-    sizes = large.groupBy("key", "class").agg(F.count("*").alias("size"))
-    most = sizes.groupBy("key").agg(F.max_by("class", F.struct("size", "class")).alias("most"), F.count("*").alias("classes")).where("classes > 1")
-    open_ = written(large.join(most.select("key", "most"), "key"), "near-open")
-    # Distances to the bucket's centres: all were compared, but for a centre with itself.
-    known = checked.groupBy("u", "v").agg(F.max("sim").alias("sim"))
-    ends = open_.select("key", "node", F.posexplode("centres").alias("at", "centre"))
-    ends = ends.join(unsure.select(F.col("id").alias("centre")), "centre", "left_anti").join(unsure.select(F.col("id").alias("node")), "node", "left_anti")
-    far = ends.select("key", "node", "at", F.greatest("node", "centre").alias("u"), F.least("node", "centre").alias("v")).join(known, ["u", "v"], "left")
-    far = far.select("key", "node", "at", F.when(F.col("u") == F.col("v"), 0.0).otherwise(1 - F.col("sim")).alias("d"))
-    far = far.groupBy("key", "node").agg(*[F.max(F.when(F.col("at") == j, F.col("d"))).alias(f"d{j}") for j in range(CENTRES[0])])
-    rows = written(open_.drop("centres").join(far, ["key", "node"], "left"), "near-open")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    some = rows.where("class != most").select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.col("node").alias("a"), F.col("class").alias("class_a"), *[F.col(f"d{j}").alias(f"a{j}") for j in range(CENTRES[0])])
-    every = rows.select("key", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"), F.col("node").alias("b"), F.col("class").alias("class_b"), *[F.col(f"d{j}").alias(f"b{j}") for j in range(CENTRES[0])])
-    most_apart = 1 - settings.similarity + 1e-9
-    near = F.col("class_a") != F.col("class_b")
-    for j in range(CENTRES[0]):
-        near &= F.coalesce(F.abs(F.col(f"a{j}") - F.col(f"b{j}")) <= most_apart, F.lit(True))
-    same = (some["key"] == every["key"]) & (some["block"] == every["block"])
-    pairs = some.join(every, same & near).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    return written(pairs.join(checked.select("u", "v"), ["u", "v"], "left_anti"), "near-pairs")
+    large = large.select("key", "node", "size", F.coalesce("component", "node").alias("class"))
+    sizes = large.groupBy("key", "class").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    blocks = lambda n, size: F.greatest(F.lit(1), F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES)).cast("int")
+    most = F.max_by(F.struct("class", "n", "bytes"), F.struct("n", "class"))
+    per = sizes.groupBy("key").agg(most.alias("most"), F.count("*").alias("classes"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).where("classes > 1")
+    per = per.select("key", F.col("most.class").alias("most"), blocks(F.col("n"), F.col("bytes")).alias("every"), blocks(F.col("n") - F.col("most.n"), F.col("bytes") - F.col("most.bytes")).alias("outer"))
+    rows = written(large.join(per, "key"), "near-open")
+    block = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    to = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    outside = rows.where("class != most").select("key", "node", "class", block(F.col("outer")).alias("i"), to("every").alias("j"), F.lit(True).alias("outside"))
+    inside = rows.select("key", "node", "class", to("outer").alias("i"), block(F.col("every")).alias("j"), F.lit(False).alias("outside"))
+    texts = base.join(rows.select(F.col("node").alias("key")).distinct().hint("merge"), "key", "left_semi")
+    texts = written(texts.select(F.col("key").alias("node"), "text"), "near-texts")
+    held = written(outside.unionByName(inside), "near-blocks").join(texts.hint("merge"), "node")
+    shared = base.sparkSession.sparkContext.broadcast(own)
+
+    def compare(table: pa.Table) -> pa.Table:
+        sides = []
+        for flag in (True, False):
+            part = table.filter(pc.equal(table.column("outside"), flag)).combine_chunks()
+            batch = part.to_batches(max_chunksize=max(part.num_rows, 1))
+            node, label = (part.column(c).to_numpy() for c in ("node", "class"))
+            sides.append((node, label, next(slices(batch[0], "text", 1 << 40))[1:] if batch else None))
+        (u, cu, left), (v, cv, right) = sides
+        links = []
+        if left is not None and right is not None:
+            sim = block_similarities(shared.value, settings.shingle, left, right)
+            a, b = np.nonzero((sim >= settings.similarity) & (cu[:, None] != cv[None, :]))
+            links = _spanning(u[a], v[b])
+        return pa.table([pa.array([x for x, _ in links], pa.int64()), pa.array([x for _, x in links], pa.int64())], names=["u", "v"])
+
+    return held.groupBy("key", "i", "j").applyInArrow(compare, "u long, v long")
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -289,16 +375,12 @@ def near_classes(docs: DataFrame, settings: Settings = Settings(), id_col: str =
     own = weights(base, settings)
     signed = written(_signatures(base, own, settings), "near-signatures")
     # Texts with the same words become one node, named by its least id; first on the map side.
-    nodes = written(signed.groupBy("c1", "c2").agg(F.min("key").alias("node"), F.min("bands").alias("bands")), "near-nodes")
+    nodes = written(signed.groupBy("c1", "c2").agg(F.min("key").alias("node"), F.min("size").alias("size"), F.min("bands").alias("bands")), "near-nodes")
     met = buckets(nodes, settings)
-    checked = _compared(written(candidates(nodes, settings, met), "near-pairs"), base, own, settings)
-    joined = written(components(_links(checked, settings)), "near-components")
-    several = signed.groupBy("key").agg((F.min(F.struct("c1", "c2")) != F.max(F.struct("c1", "c2"))).alias("several"))
-    rest = across(met, checked, joined, several.where("several").select(F.col("key").alias("id")), settings)
-    if not rest.isEmpty():
-        more = _compared(rest, base, own, settings)
-        # The components so far stand for their links.
-        joined = components(_links(more, settings).unionByName(joined.select(F.col("node").alias("u"), F.col("component").alias("v"))))
+    joined = written(components(_compared(written(candidates(met), "near-pairs"), base, own, settings)), "near-components")
+    rest = written(across(met, joined, base, own, settings), "near-links")
+    # The components so far stand for their links.
+    joined = written(components(rest.unionByName(joined.select(F.col("node").alias("u"), F.col("component").alias("v")))), "near-components")
     named = _named(nodes, joined)
     found = signed.select("key", "c1", "c2").join(named, ["c1", "c2"]).select("key", "class_key")
     empty = base.where(~F.col("text").rlike(r"[^\x20\x09-\x0D]")).select("key", F.col("key").alias("class_key"))
@@ -308,14 +390,10 @@ def near_classes(docs: DataFrame, settings: Settings = Settings(), id_col: str =
 
 
 def _compared(pairs: DataFrame, base: DataFrame, own: Weights, settings: Settings) -> DataFrame:
-    """(u, v, sim) of ``pairs``, with the texts of ``base`` that they name."""
+    """(u, v) of those ``pairs`` that are links, by the texts of ``base`` that they name."""
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct()
     texts = written(base.join(wanted.hint("merge"), "key", "left_semi"), "near-texts")
-    return written(_verified(pairs, texts, own, settings), "near-compared")
-
-
-def _links(compared: DataFrame, settings: Settings) -> DataFrame:
-    return compared.where(F.col("sim") >= settings.similarity).select("u", "v")
+    return written(_verified(pairs, texts, own, settings).where(F.col("sim") >= settings.similarity).select("u", "v"), "near-links")
 
 
 def _named(nodes: DataFrame, joined: DataFrame) -> DataFrame:
@@ -328,4 +406,6 @@ def without_near_copies(docs: DataFrame, settings: Settings = Settings()) -> Dat
     """The rows of ``docs`` that stand for their class, with the columns of ``docs``."""
     gone = near_classes(docs, settings).where("NOT kept").select(F.coalesce("doc_id", F.lit(_NULL_ID)).alias("gone"))
     gone = written(gone.distinct(), "near-gone")
-    return docs.join(gone, F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)) == F.col("gone"), "left_anti")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    kept = rows.join(gone, F.coalesce(F.col("row.doc_id").cast("long"), F.lit(_NULL_ID)) == F.col("gone"), "left_anti")
+    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -7,6 +7,7 @@ Work arrays are made for a megabyte of text at a time; only a single longer text
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,6 +23,8 @@ _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
+#: Sums of powers collide for certain words of 1,024 letters and more, whatever the base.
+LONG_WORD = 512
 
 
 def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
@@ -96,7 +99,10 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     within = np.arange(total) - np.repeat(first, lengths)
     letters = data[within + np.repeat(starts, lengths)].astype(np.uint64) + np.uint64(1)
     sums = np.add.reduceat(letters * powers(_BASE, int(lengths.max()))[within], first)
-    return mix(sums + lengths.astype(np.uint64) * _STEP)
+    out = mix(sums + lengths.astype(np.uint64) * _STEP)
+    for i in np.flatnonzero(lengths >= LONG_WORD):
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
