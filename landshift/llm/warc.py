@@ -4,11 +4,16 @@
 text writer -- one gzip stream per file, committed like any table -- so archives reach every store Spark
 reaches. ``read_records`` reads WARC files (plain, one gzip stream, or a gzip member per record), framing by
 Content-Length alone, so payloads may quote WARC headers. ``assemble`` joins request, response and metadata
-records through WARC-Concurrent-To and returns one nested row per capture.
+records through WARC-Concurrent-To, however many steps away and to every capture they reach, and returns one
+nested row per capture.
 
-Defined results: a null html is an empty payload; a null url has no target; a page row repeated in full is
-the same record and comes back once; records without a capture they belong to form a capture without
-response; an empty table gives no archive and no rows; further columns are ignored.
+Archives are cut after so many records as make ``FILE_BYTES`` at the mean size of a page; a file is read by one
+task, so files of others may have 2 GB at most.
+
+Defined results: a null html is an empty payload; a null url has no target; each row of ``pages`` is a record
+and a row, also if it repeats another in full (of those with the largest id, one is the response); records
+that reach no capture form captures without response, named by what they are concurrent to, else by themselves;
+an empty table gives no archive and no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,14 +23,14 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from landshift.sources.shared import new_path, written
 from landshift.llm.texts import in_arrow
 
 REVISIT_FROM = 1000
-RECORDS_PER_FILE = 9000
+FILE_BYTES, MOST_PAGES = 32 << 20, 3000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CAPTURES = ("response", "revisit", "resource")
 
@@ -41,18 +46,33 @@ def _urn(kind: str, key: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.regexp_replace(h, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"), F.lit(">"))
 
 
-def page_records(pages: DataFrame, revisit_from: int = REVISIT_FROM, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
-    """One row per page with its payload, digests, record ids, and -- for revisits -- the response it refers to."""
+def _keyed(pages: DataFrame) -> DataFrame:
+    """Pages with payload, digests, and ``rid``, the id that a row's record has unless another row is the same."""
     rows = pages.select("page_id", F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A").alias("url"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
-    rows = rows.select("*", F.sha1("payload").alias("sha1"), F.sha2("payload", 256).alias("sha256"), F.length("payload").alias("size"))
+    rows = rows.select("*", F.sha2("payload", 256).alias("sha256"), F.length("payload").alias("size"))
     key = F.concat_ws("\n", F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.coalesce("url", F.lit("")), "sha256")
-    rows = rows.withColumn("key", key).withColumn("rid", _urn("response", F.col("key")))
-    same = rows.where(F.col("size") >= revisit_from).select("sha256", F.struct("page_id", "rid", "url").alias("top"))
+    return rows.withColumn("key", key).withColumn("rid", _urn("response", F.col("key")))
+
+
+def page_records(pages: DataFrame, known: DataFrame, revisit_from: int = REVISIT_FROM, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
+    """One row per page with its payload, record ids, and -- for revisits -- the response it refers to.
+
+    ``known``: a written table (sha256, rid, page_id, url, size, n) of the rows of ``_keyed``.
+    """
+    rows = _keyed(pages)
+    same = known.where(F.col("size") >= revisit_from).groupBy("sha256").agg(F.max(F.struct("page_id", "rid", "url")).alias("top"), F.sum("n").alias("n")).where("n > 1").drop("n")
     # Written first, so that Spark knows its size: payloads are shuffled only if repeats are too many to broadcast.
-    same = written(same.groupBy("sha256").agg(F.max("top").alias("top"), F.count("*").alias("n")).where("n > 1").drop("n"), "warc-repeats")
-    rows = rows.join(same, (rows.sha256 == same.sha256) & (rows.size >= revisit_from), "left").drop(same.sha256)
+    same = written(same, "warc-repeats")
+    rows = rows.join(same, (rows.sha256 == same.sha256) & (rows["size"] >= revisit_from), "left").drop(same.sha256)
+    double = known.where("n > 1").select("rid")
+    if not double.isEmpty():
+        # Rows that are the same in all: the first keeps the id, the others get one each.
+        again = rows.join(double, "rid", "left_semi").withColumn("turn", F.row_number().over(Window.partitionBy("rid").orderBy("size")))
+        later = F.when(F.col("turn") > 1, F.concat("key", F.lit("\n"), F.col("turn").cast("string"))).otherwise(F.col("key"))
+        again = again.withColumn("key", later).withColumn("rid", _urn("response", F.col("key"))).drop("turn")
+        rows = rows.join(double, "rid", "left_anti").unionByName(again)
     other = F.col("top").isNotNull() & (F.col("top.rid") != F.col("rid"))
-    return rows.select("page_id", "url", "payload", "sha1", "size", "key", "rid", F.when(other, F.col("top")).alias("refers"), F.lit(date).alias("date"))
+    return rows.select("page_id", "url", "payload", F.sha1("payload").alias("sha1"), "size", "key", "rid", F.when(other, F.col("top")).alias("refers"), F.lit(date).alias("date"))
 
 
 def _record(head: list[tuple[str, Column]], block: Column) -> Column:
@@ -60,9 +80,12 @@ def _record(head: list[tuple[str, Column]], block: Column) -> Column:
     return F.concat(lines, F.lit("\r\n\r\n"), block)
 
 
-def archive_pages(pages: DataFrame, path: str, revisit_from: int = REVISIT_FROM, per_file: int = RECORDS_PER_FILE) -> str:
+def archive_pages(pages: DataFrame, path: str, revisit_from: int = REVISIT_FROM, file_bytes: int = FILE_BYTES) -> str:
     """Write the archives of ``pages`` to the folder ``path`` and return it."""
-    rows = page_records(pages, revisit_from)
+    known = written(_keyed(pages).groupBy("sha256", "rid", "page_id", "url", "size").agg(F.count("*").alias("n")), "warc-keys")
+    rows = page_records(pages, known, revisit_from)
+    mean = known.agg(F.sum(F.col("size") * F.col("n")) / F.sum("n")).first()[0] or 0
+    per_file = 3 * max(1, min(MOST_PAGES, int(file_bytes // (mean + 1500))))
     revisit, rid, date = F.col("refers").isNotNull(), F.col("rid"), F.col("date")
     base = lambda kind, ident: [("WARC-Type", kind), ("WARC-Record-ID", ident), ("WARC-Date", date), ("WARC-Target-URI", F.col("url"))]
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size").cast("string"), F.lit("\r\n\r\n"))
@@ -190,15 +213,28 @@ def read_records(spark: SparkSession, path: str, with_payload: bool = True, batc
 
 
 def capture_ids(records: DataFrame) -> DataFrame:
-    """(record_id, capture_id) of every request and metadata record that reaches a capture in one or two steps."""
+    """(record_id, capture_id): each request and metadata record with every capture it reaches.
+
+    A record reaches what it is concurrent to, what names it as concurrent, and what those requests and
+    metadata records reach; each round follows the links found last by one step more, until none is new.
+    """
     anchor = F.col("record_type").isin(*CAPTURES)
     anchors = records.where(anchor).select(F.col("record_id").alias("capture_id"))
-    edges = records.where(~anchor).select("record_id", F.explode("concurrent_to").alias("target"))
+    edges = records.where(~anchor).select("record_id", F.explode("concurrent_to").alias("target")).distinct()
     back = records.where(anchor).select(F.col("record_id").alias("capture_id"), F.explode("concurrent_to").alias("record_id"))
-    first = edges.join(anchors, edges.target == anchors.capture_id).select("record_id", "capture_id").unionByName(back)
-    near = first.withColumnRenamed("record_id", "target")
-    second = edges.join(first.select("record_id"), "record_id", "left_anti").join(near, "target").select("record_id", "capture_id")
-    return first.unionByName(second).groupBy("record_id").agg(F.min("capture_id").alias("capture_id"))
+    direct = edges.join(anchors, edges.target == anchors.capture_id, "left")
+    direct = written(direct.select("record_id", "target", "capture_id"), "warc-links")
+    found = direct.where("capture_id IS NOT NULL").select("record_id", "capture_id").unionByName(back.select("record_id", "capture_id")).distinct()
+    steps = direct.where("capture_id IS NULL").select("record_id", "target")
+    if steps.isEmpty():
+        return found
+    found = last = written(found, "warc-reached")
+    while True:
+        new = steps.join(last.select(F.col("record_id").alias("target"), "capture_id"), "target").select("record_id", "capture_id").distinct()
+        new = written(new.join(found, ["record_id", "capture_id"], "left_anti"), "warc-reached")
+        if new.isEmpty():
+            return found
+        found, last = written(found.unionByName(new), "warc-reached"), new
 
 
 def assemble(records: DataFrame) -> DataFrame:
@@ -230,6 +266,9 @@ def round_trip(pages: DataFrame, path: str | None = None) -> DataFrame:
         "capture_id", F.nullif(stated, F.lit("")).cast("long").alias("page_id"), F.col("response.payload_bytes"), F.col("response.payload_digest"), F.col("response.record_type"), F.col("response.refers_to").alias("refers_id"), F.col("response.target_uri"), F.size("requests").alias("n_requests")
     )
     flat = written(flat, "warc-captures")
-    whole = flat.where("record_type != 'revisit'").select(F.col("capture_id").alias("refers_id"), F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("full_bytes"))
-    out = flat.join(whole, "refers_id", "left")
+    whole = flat.where("record_type = 'response'").select(F.col("capture_id").alias("refers_id"), F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("full_bytes"))
+    # Responses refer to nothing; they stay out of the join, where their nulls would meet in one task.
+    again = flat.where("record_type = 'revisit'").join(whole, "refers_id", "left")
+    own = flat.where("record_type != 'revisit'").withColumns({"refers_to": F.lit(None).cast("long"), "full_bytes": F.col("payload_bytes")})
+    out = again.unionByName(own)
     return out.select("page_id", F.coalesce("payload_bytes", "full_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to", "target_uri", F.col("n_requests").cast("long").alias("n_requests"), "capture_id")

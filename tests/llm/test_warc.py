@@ -21,12 +21,20 @@ def test_round_trip_with_quoted_headers_nulls_and_repeats(spark):
 
 
 def test_repeated_and_null_ids_and_empty_table(spark):
-    rows = [(1, "u", "x" * 2000, None)] * 2 + [(1, "v", "x" * 2000, None), (None, "w", "y", None)]
-    got = warc.round_trip(spark.createDataFrame(rows, SCHEMA)).collect()
-    assert len(got) == 3 and sorted(r.record_type for r in got) == ["response", "response", "revisit"]
+    rows = [(1, "u", "x" * 2000, None)] * 3 + [(1, "v", "x" * 2000, None), (None, "w", "y", None), (None, "w", "y", "z")]
+    got = warc.round_trip(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    assert sorted((str(r.page_id), r.record_type, r.refers_to) for r in got) == [("1", "response", None)] + [("1", "revisit", 1)] * 3 + [("None", "response", None)] * 2
+    assert all(r.payload_bytes == (2000 if r.page_id else 1) and r.n_requests == 1 for r in got) and len({r.capture_id for r in got}) == 6
     assert warc.round_trip(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_archives_are_cut_by_size(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u", f"{i} " * 2000, None) for i in range(40)], SCHEMA).repartition(1)
+    warc.archive_pages(pages, str(tmp_path / "w"), file_bytes=40_000)
+    assert len(list((tmp_path / "w").glob("*.gz"))) > 4
+    assert warc.read_records(spark, str(tmp_path / "w")).count() == 120
+
+
 def _record(kind, ident, block, *more):
     head = [f"WARC-Type: {kind}", f"WARC-Record-ID: {ident}", *more, f"Content-Length: {len(block)}"]
     return ("WARC/1.0\r\n" + "\r\n".join(head) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
@@ -60,3 +68,13 @@ def test_damaged_archives_fail(spark, tmp_path):
     (tmp_path / "a.warc").write_bytes(RECORDS[1][:-20])
     with pytest.raises(Exception, match="cut short"):
         warc.read_records(spark, str(tmp_path)).count()
+
+
+def test_every_link_however_many_steps_away(spark):
+    schema = "record_type string, record_id string, concurrent_to array<string>, capture_id string"
+    rows = [("response", "r1", []), ("response", "r2", []), ("resource", "r3", ["m9"]), ("request", "q", ["r1", "r2"])]
+    rows += [("metadata", "m1", ["q"]), ("metadata", "m2", ["m1"]), ("metadata", "m3", ["m2", "m4"]), ("metadata", "m4", ["m3"])]  # a chain, and a circle at its end
+    rows += [("metadata", "m9", []), ("metadata", "m8", ["m9"]), ("request", "lost", ["gone"]), ("metadata", "far", ["lost"]), ("request", "q", ["r1", "r2"])]
+    got = warc.capture_ids(spark.createDataFrame([(*r, "x") for r in rows], schema).drop("capture_id")).collect()
+    want = {(m, r) for m in ("q", "m1", "m2", "m3", "m4") for r in ("r1", "r2")} | {("m9", "r3"), ("m8", "r3")}
+    assert sorted(map(tuple, got)) == sorted(want)
