@@ -5,22 +5,26 @@ on their own; they are reported where an access identifier and the other part li
 same block of text (no blank line between) and within ``max_gap`` code points of the identifier. Positions
 are code points, ends exclusive.
 
-Positions of all matches follow from two arrays: the matches, and the text between them; both come from the
-same pattern, so their lengths alternate through the text. No pattern crosses a line end.
+Texts are read once: each gives, per pattern, the lengths of its matches and of what lies between them, which
+alternate through the text; both come from the same pattern. Running sums of these lengths over the matches of
+a text, as rows, are the positions, and a running count of its blank lines is the number of the scope, so work
+is in proportion to the matches. Texts without a match take no part in it. No pattern crosses a line end.
 
 Linking is an interval join: identifiers are laid into buckets as wide as ``max_gap`` (their own and both
 neighbours), candidates into one bucket, and a left semi join on (document, scope, bucket) checks the
 distance, so pairs are never emitted. Only documents with an identifier and a candidate enter it.
 
-Defined results: a null text is empty; rows with the same id keep their own rows and share linked spans with
-their equal texts; an empty table gives an empty table; further columns are ignored.
+Defined results: a null text is empty; every row, repeats too, is a document of its own; an empty table gives
+an empty table; further columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from landshift.sources.shared import written
+
 ASSIGN = (
     r"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
     r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -31,55 +35,56 @@ BARE_KEY = r"[A-Za-z0-9+/]{40,}"
 ENDPOINT = r"https?://[A-Za-z0-9.-]+|[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.amazonaws\.com|[0-9]{1,3}(?:\.[0-9]{1,3}){3}"
 KINDS = ("assign", "access", "hex", "key", "endpoint")
 MAX_GAP = 400
+BLANK_LINE, SCOPE = r"\n[\x20\t\r]*\n", 5
+_PARTS = "array<struct<kind:int,parts:array<struct<gap:int,len:int,keep:boolean>>>>"
 
 
-def _spans(text: Column, pattern: str, kind: int, keep) -> Column:
-    """Spans of the matches that ``keep`` (of match, index) accepts, as array<struct<start,end,kind>>."""
+def _parts(text: Column, pattern: str, kind: int, keep=lambda m: F.lit(True)) -> Column:
+    """The matches of a pattern, with the length of the text before each and whether it counts; an empty array without."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    both = F.zip_with(gaps, hits, lambda g, h: F.struct(F.length(g).alias("g"), F.length(h).alias("h"), h.alias("m")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,kind:int>>").alias("out"))
-
-    def step(acc, x):
-        begin = acc["at"] + x["g"]
-        span = F.struct(begin.alias("start"), (begin + x["h"]).alias("end"), F.lit(kind).alias("kind"))
-        return F.struct((begin + F.coalesce(x["h"], F.lit(0))).alias("at"), F.when(x["m"].isNotNull() & keep(x["m"]), F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
-
-    empty = F.array().cast("array<struct<start:int,end:int,kind:int>>")
-    return F.when(F.size(hits) > 0, F.aggregate(both, start, step, lambda a: a["out"])).otherwise(empty)
+    parts = F.zip_with(hits, gaps, lambda m, g: F.struct(F.length(g).alias("gap"), F.length(m).alias("len"), keep(m).alias("keep")))
+    parts = F.filter(parts, lambda p: p["len"].isNotNull())  # the text after the last match
+    one = F.array(F.struct(F.lit(kind).alias("kind"), parts.alias("parts")))
+    return F.when(F.size(hits) > 0, one).otherwise(F.array()).cast(_PARTS)
 
 
-def found_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, text, base (sorted spans of the strong kinds), weak (spans of the weak kinds)."""
-    long_value = lambda m: F.length(F.regexp_extract(m, "^" + ASSIGN, 2)) >= 6
+def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: row (a number), doc_id and found, the matches by kind. Weak kinds and blank
+    lines are sought only beside an access identifier."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
-    rows = rows.select(
-        "doc_id",
-        "text",
-        _spans(F.col("text"), ASSIGN, 0, long_value).alias("assign"),
-        _spans(F.col("text"), ACCESS, 1, lambda m: F.length(m) >= 20).alias("access"),
-        _spans(F.col("text"), HEX, 2, lambda m: F.lit(True)).alias("hexes"),
-    )
-    nothing = F.array().cast("array<struct<start:int,end:int,kind:int>>")
-    weak = F.concat(_spans(F.col("text"), BARE_KEY, 3, lambda m: m.rlike("[a-z]") & m.rlike("[A-Z]") & m.rlike("[0-9]")), _spans(F.col("text"), ENDPOINT, 4, lambda m: F.lit(True)))
-    return rows.select("*", F.array_sort(F.concat("assign", "access", "hexes")).alias("base"), F.when(F.size("access") > 0, weak).otherwise(nothing).alias("weak"))
-
-
-def linked(found: DataFrame, max_gap: int = MAX_GAP) -> DataFrame:
-    """(key, start, end, kind) of weak candidates whose complementary parts co-occur with an access identifier."""
-    rows = found.where((F.size("weak") > 0) & (F.size("access") > 0)).withColumn("key", F.struct("doc_id", F.xxhash64("text").alias("h")))
-    # A scope is a block between blank lines; its number is the count of blank lines before a span.
-    block = lambda s: F.size(F.split(F.substring(F.col("text"), F.lit(1), s["start"]), r"\n[\x20\t\r]*\n", -1))
-    spans = rows.select("key", "text", F.explode(F.concat("base", "weak")).alias("s")).select("key", block(F.col("s")).alias("scope"), "s.start", "s.end", "s.kind").distinct()
+    long_value = lambda m: F.length(F.regexp_extract(m, "^" + ASSIGN, 2)) >= 6
+    mixed = lambda m: m.rlike("[a-z]") & m.rlike("[A-Z]") & m.rlike("[0-9]")
+    t = F.col("text")
+    base = F.concat(_parts(t, ASSIGN, 0, long_value), _parts(t, HEX, 2))
+    rows = rows.select("doc_id", "text", base.alias("base"), _parts(t, ACCESS, 1, lambda m: F.length(m) >= 20).alias("access"))
+    weak = F.concat(_parts(t, BARE_KEY, 3, mixed), _parts(t, ENDPOINT, 4), _parts(t, BLANK_LINE, SCOPE))
+    known = F.exists(F.flatten(F.col("access")["parts"]), lambda p: p["keep"])
+    found = F.concat("base", "access", F.when(known, weak).otherwise(F.array().cast(_PARTS)))
+    return rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", found.alias("found"))
+
+
+def placed(found: DataFrame) -> DataFrame:
+    """(row, doc_id, kind, start, end, keep, scope) of every match in ``matches``."""
+    one = found.select("row", "doc_id", F.explode("found").alias("m")).select("row", "doc_id", "m.kind", F.posexplode("m.parts").alias("i", "p"))
+    upto = F.sum(F.col("p.gap") + F.col("p.len")).over(Window.partitionBy("row", "kind").orderBy("i")).cast("int")
+    spans = one.select("row", "doc_id", "kind", (upto - F.col("p.len")).alias("start"), upto.alias("end"), "p.keep")
+    before = Window.partitionBy("row").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    return spans.select("*", F.count_if(F.col("kind") == SCOPE).over(before).alias("scope"))
+
+
+def linked(spans: DataFrame, max_gap: int = MAX_GAP) -> DataFrame:
+    """(row, start, end, kind) of weak candidates whose complementary parts co-occur with an access identifier."""
+    spans = spans.where(F.col("keep") & (F.col("kind") != SCOPE))
     bucket = F.floor(F.col("start") / max_gap)
-    ids = spans.where("kind = 1").select("key", "scope", F.col("start").alias("id_start"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("bucket"))
+    ids = spans.where("kind = 1").select("row", "scope", F.col("start").alias("id_start"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("bucket"))
     parts = spans.where("kind != 1").withColumn("bucket", bucket)
     near = (F.abs(F.col("start") - F.col("id_start")) <= max_gap)
-    beside = parts.join(ids, (parts.key == ids.key) & (parts.scope == ids.scope) & (parts.bucket == ids.bucket) & near, "left_semi")
-    scopes = beside.groupBy("key", "scope").agg(F.max((F.col("kind") != 4).cast("int")).alias("has_secret"), F.max((F.col("kind") == 4).cast("int")).alias("has_endpoint"))
+    beside = parts.join(ids, (parts.row == ids.row) & (parts.scope == ids.scope) & (parts.bucket == ids.bucket) & near, "left_semi")
+    scopes = beside.groupBy("row", "scope").agg(F.max((F.col("kind") != 4).cast("int")).alias("has_secret"))
     # A bare key needs its identifier alone; an endpoint also needs a secret of any kind beside the identifier.
-    return beside.where("kind >= 3").join(scopes, ["key", "scope"]).where("kind = 3 OR has_secret = 1").select("key", "start", "end", "kind")
+    return beside.where("kind >= 3").join(scopes, ["row", "scope"]).where("kind = 3 OR has_secret = 1").select("row", "start", "end", "kind")
 
 
 def _line(spans: Column) -> Column:
@@ -94,22 +99,19 @@ def _in_order(spans: Column) -> Column:
 
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_gap: int = MAX_GAP) -> DataFrame:
     """One row per row of ``docs``: doc_id, base spans, all spans (base and linked), and counts per strong kind."""
-    found = found_spans(docs, id_col, text_col)
-    extra = linked(found, max_gap).groupBy("key").agg(F.collect_list(F.struct("start", "end", "kind")).alias("extra"))
-    # Documents without an identifier need no join; the others are few.
-    plain = found.withColumn("h", F.xxhash64("text")).drop("text")
-    cold = plain.where((F.size("weak") == 0) | (F.size("access") == 0)).withColumn("extra", F.array().cast("array<struct<start:int,end:int,kind:int>>"))
-    hot = plain.where((F.size("weak") > 0) & (F.size("access") > 0))
-    hot = hot.join(extra, F.struct("doc_id", "h").eqNullSafe(F.col("key")), "left").drop("key").withColumn("extra", F.coalesce("extra", F.array().cast("array<struct<start:int,end:int,kind:int>>")))
-    both = cold.unionByName(hot)
-    return both.select(
-        "doc_id",
-        F.size("assign").cast("long").alias("n_assign"),
-        F.size("access").cast("long").alias("n_access"),
-        F.size("hexes").cast("long").alias("n_hex"),
-        _in_order(F.col("base")).alias("base"),
-        _in_order(F.concat("base", "extra")).alias("all"),
-    )
+    found = written(matches(docs, id_col, text_col), "secret-matches")
+    spans = written(placed(found.where(F.size("found") > 0)), "secret-spans")
+    strong = spans.where(F.col("kind") <= 2).select("row", "doc_id", "start", "end", "kind", "keep")
+    extra = linked(spans, max_gap).select("row", F.lit(None).cast(dict(found.dtypes)["doc_id"]).alias("doc_id"), "start", "end", "kind", F.lit(True).alias("keep"))
+    span = F.struct("start", "end", "kind")
+    of = lambda test: F.collect_list(F.when(F.col("keep") & test, span))
+    n = lambda kind: F.count_if(F.col("keep") & (F.col("kind") == kind))
+    # Linked spans are of texts with strong ones, whose rows carry the id.
+    some = strong.unionByName(extra).groupBy("row").agg(F.first("doc_id", ignorenulls=True).alias("doc_id"), n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), of(F.col("kind") <= 2).alias("base"), of(F.lit(True)).alias("all"))
+    some = some.select("doc_id", "n_assign", "n_access", "n_hex", _in_order(F.col("base")).alias("base"), _in_order(F.col("all")).alias("all"))
+    zero, nothing = F.lit(0).cast("long"), F.array().cast("array<struct<start:int,end:int,kind:int>>")
+    none = found.where(F.size("found") == 0).select("doc_id", zero.alias("n_assign"), zero.alias("n_access"), zero.alias("n_hex"), nothing.alias("base"), nothing.alias("all"))
+    return none.unionByName(some)
 
 
 def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_gap: int = MAX_GAP) -> DataFrame:

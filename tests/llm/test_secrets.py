@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from landshift.llm import secrets
 
@@ -60,3 +61,32 @@ def test_repeated_rows_and_empty_table(spark):
     assert secrets.secret_report(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     plan = df._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def _linked(text, gap=secrets.MAX_GAP):
+    """Weak spans by plain loops."""
+    base = [(m.start(), m.end(), k) for k, p in ((0, ASSIGN), (1, ACCESS), (2, HEX)) for m in p.finditer(text) if (len(m[2]) >= 6 if k == 0 else len(m[0]) >= (20, 24)[k - 1])]
+    weak = [(m.start(), m.end(), 3) for m in re.finditer(secrets.BARE_KEY, text) if all(re.search(c, m[0]) for c in ("[a-z]", "[A-Z]", "[0-9]"))]
+    weak += [(m.start(), m.end(), 4) for m in re.finditer(secrets.ENDPOINT, text)]
+    scope = lambda s: len(re.findall(secrets.BLANK_LINE, text[: s[0]]))
+    ids = [s for s in base if s[2] == 1]
+    beside = [s for s in base + weak if s[2] != 1 and any(scope(s) == scope(i) and abs(s[0] - i[0]) <= gap for i in ids)]
+    return sorted(s for s in beside if s[2] == 3 or s[2] == 4 and any(o[2] != 4 and scope(o) == scope(s) for o in beside))
+
+
+def test_links_as_by_loops(spark):
+    rng = random.Random(9)
+    bits = [KEY, BARE, "http://a.example.org/x", "10.0.0.1", "s3.amazonaws.com", "password=hunter22", "\n\n", "\n \t\n", "\n", " ", "é " * 150, "x " * 90]
+    rows = [(i, " ".join(rng.choice(bits) for _ in range(rng.randint(0, 25))), None) for i in range(150)]
+    got = _report(spark, rows)
+    for i, text, _ in rows:
+        spans = [s for s in got[i].spans.split(",") if s.startswith(("key", "endpoint"))]
+        assert spans == [f"{secrets.KINDS[k]}:{a}:{b}" for a, b, k in _linked(text)], text
+
+
+def test_work_is_in_proportion_to_the_matches(spark):
+    text = " ".join(f"token={n:08d} {KEY} {BARE}" + ("\n\n" if n % 3 == 0 else "") for n in range(20_000))
+    start = time.time()
+    got = _report(spark, [(1, text, None)])[1]
+    assert (got.n_assign, got.n_access) == (20_000, 20_000) and got.spans.count("key:") == 20_000
+    assert time.time() - start < 120
