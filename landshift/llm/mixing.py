@@ -11,9 +11,10 @@
    there. A quota is the target over the source's mean block length; as no target exceeds ``max_repeats``
    times its source's size, no block is taken more often than that.
 
-Stream offsets are prefix sums in two levels (chunks of a source, rows of a chunk), so a source with a third
-of all rows is spread over many tasks. Only the directory of sources, checked to be at most ``MAX_SOURCES``
-rows, is collected and broadcast.
+Stream offsets are prefix sums in three levels (groups of chunks, chunks, rows), and a source has a chunk for
+every ``chunk_rows`` of its rows, so chunks are alike and a source with a third of all rows is spread over many
+tasks. Slots are numbered likewise over shards and groups of them, and dealt out by shard before each becomes a
+row. Only the directory of sources, checked to be at most ``MAX_SOURCES`` rows, is collected and broadcast.
 
 Defined results: a null text has no words; a null source is a source of its own, last in order; each repeated
 row is mixed as a row of its own; an empty table gives no rows; further columns are ignored.
@@ -33,6 +34,7 @@ from landshift.sources.shared import written
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_SOURCES = 100_000
+GROUP = 1024
 
 
 @dataclasses.dataclass(frozen=True)
@@ -44,7 +46,7 @@ class Mixture:
     max_repeats: int = 2
     block_words: int = 64
     shard_slots: int = 4096
-    chunk_rows: int = 4_000
+    chunk_rows: int = 500
     seed: int = 17
 
 
@@ -62,7 +64,8 @@ def targets(sizes: list[int], weights: list[float], share: float, most: float) -
         for i in full:
             out[i] = float(most * sizes[i])
             left -= out[i]
-        open_ = [i for i in open_ if i not in set(full)]
+        gone = set(full)
+        open_ = [i for i in open_ if i not in gone]
     return out
 
 
@@ -101,7 +104,7 @@ class Plan:
 
 
 def _directory(spark: SparkSession, slim: DataFrame, mixture: Mixture) -> tuple[DataFrame, list[tuple]]:
-    found = slim.groupBy("source").agg(F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()
+    found = slim.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources: group them before mixing")
     found.sort(key=lambda r: (r.source is None, r.source or ""))
@@ -111,11 +114,22 @@ def _directory(spark: SparkSession, slim: DataFrame, mixture: Mixture) -> tuple[
     for i, (r, aim) in enumerate(zip(found, aims, strict=True)):
         blocks = -(-r["size"] // mixture.block_words)
         quota = min(mixture.max_repeats * blocks, round(aim * blocks / r["size"])) if blocks else 0
-        rows.append((i, r.source, r["size"], aim, blocks, quota))
-    schema = "source_no int, source string, source_size long, target double, blocks long, quota long"
+        rows.append((i, r.source, r["size"], aim, blocks, quota, -(-r["n"] // mixture.chunk_rows)))
+    schema = "source_no int, source string, source_size long, target double, blocks long, quota long, chunks long"
     return spark.createDataFrame(rows, schema), rows
 
 
+def _before(sums: DataFrame, order: str, value: str, name: str) -> DataFrame:
+    """(source_no, order, name): the sum of ``value`` over the rows of a source before each, in two levels;
+    ``sums`` has one row per source and place in the order."""
+    grouped = sums.withColumn("group", F.floor(F.col(order) / GROUP))
+    line = Window.partitionBy("source_no").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
+    groups = grouped.groupBy("source_no", "group").agg(F.sum(value).alias("n")).select("source_no", "group", F.coalesce(F.sum("n").over(line), F.lit(0)).alias("group_from"))
+    inside = Window.partitionBy("source_no", "group").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = grouped.withColumn("inside", F.coalesce(F.sum(value).over(inside), F.lit(0))).join(groups, ["source_no", "group"])
+    return rows.select("source_no", order, (F.col("group_from") + F.col("inside")).alias(name))
+
+
 def _slots(spark: SparkSession, rows: list[tuple], mixture: Mixture) -> DataFrame:
     """(shard, source_no, slot, block, pass): every slot that takes a block."""
     quotas = np.array([r[5] for r in rows], float)
@@ -137,9 +151,11 @@ def _slots(spark: SparkSession, rows: list[tuple], mixture: Mixture) -> DataFram
     counts = spark.range(shards).mapInPandas(drawn, "shard long, source_no int, n long")
     # The balancing shard comes last; it asks for the whole quota, of which what is not yet drawn remains.
     last = sources.select(F.lit(shards).cast("long").alias("shard"), "source_no", F.col("quota").alias("n"))
-    before = Window.partitionBy("source_no").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    runs = counts.unionByName(last).withColumn("from", F.coalesce(F.sum("n").over(before), F.lit(0))).join(sources, "source_no")
+    runs = counts.unionByName(last)
+    runs = runs.join(_before(runs, "shard", "n", "from"), ["source_no", "shard"]).join(sources, "source_no")
     runs = runs.withColumn("to", F.least("quota", F.col("from") + F.col("n"))).where("from < to")
+    # Dealt out by shard while it is a row per shard and source, before each slot becomes one.
+    runs = runs.repartition("shard", "source_no")
     slots = runs.select("shard", "source_no", "blocks", F.explode(F.sequence(F.col("from"), F.col("to") - 1)).alias("slot"))
 
     @F.pandas_udf("long")
@@ -156,11 +172,8 @@ def planned(docs: DataFrame, mixture: Mixture = Mixture(), id_col: str = "doc_id
     slim = written(_sized(docs, id_col, text_col, source_col), "mix-sizes")
     sources, rows = _directory(spark, slim, mixture)
     numbered = slim.join(F.broadcast(sources), slim.source.eqNullSafe(sources.source)).drop(sources.source)
-    chunks = max(1, -(-slim.count() // mixture.chunk_rows))
-    numbered = numbered.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)))
-    by_chunk = numbered.groupBy("source_no", "chunk").agg(F.sum("size").alias("words"))
-    earlier = Window.partitionBy("source_no").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    by_chunk = by_chunk.select("source_no", "chunk", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("chunk_from"))
+    numbered = numbered.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "h"), F.col("chunks")))
+    by_chunk = _before(numbered.groupBy("source_no", "chunk").agg(F.sum("size").alias("words")), "chunk", "words", "chunk_from")
     inside = Window.partitionBy("source_no", "chunk").orderBy("doc_id", "h").rowsBetween(Window.unboundedPreceding, -1)
     placed = numbered.withColumn("row_from", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(by_chunk, ["source_no", "chunk"])
     placed = placed.select("doc_id", "h", "source", "source_no", "size", "source_size", "target", (F.col("chunk_from") + F.col("row_from")).alias("offset"))

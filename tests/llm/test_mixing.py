@@ -63,6 +63,57 @@ def test_permutations(size):
         assert list(a) != list(b) and list(a) != list(index)
 
 
+M64 = (1 << 64) - 1
+
+
+def _mix(x):
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & M64
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & M64
+    return x ^ (x >> 31)
+
+
+def _place(i, n, key):
+    """The permutation by plain whole numbers."""
+    half = 1
+    while 1 << (2 * half) < n:
+        half += 1
+    mask = (1 << half) - 1
+    while True:
+        left, right = i >> half, i & mask
+        for turn in range(4):
+            left, right = right, left ^ (_mix((right + _mix((key + turn) & M64)) & M64) & mask)
+        i = (left << half) | right
+        if i < n:
+            return i
+
+
+def test_the_draw_as_by_loops(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "GROUP", 4)
+    mixture, rows = SMALL, _corpus()
+    plan = mixing.planned(_docs(spark, rows), mixture)
+    placed = sorted(map(tuple, plan.placed.where("size > 0").select("source_no", "offset", "size", "doc_id").collect()))
+    sources = {r.source_no: r for r in plan.sources.collect()}
+    blocks, at = {}, Counter()
+    for s, offset, size, doc in placed:  # streams without a gap, cut into blocks
+        assert offset == at[s]
+        at[s] += size
+        for w in range(offset, offset + size):
+            blocks.setdefault((s, w // mixture.block_words), Counter())[doc] += 1
+    assert at == Counter({s: r.source_size for s, r in sources.items() if r.source_size})
+    quota = np.array([sources[s].quota for s in sorted(sources)], float)
+    drawn, taken = Counter(), Counter()
+    for shard in range(int(quota.sum()) // mixture.shard_slots + 1):
+        last = shard == int(quota.sum()) // mixture.shard_slots
+        counts = quota.astype(int) if last else np.random.default_rng([mixture.seed, shard]).multinomial(mixture.shard_slots, quota / quota.sum())
+        for s, n in enumerate(counts):
+            for _ in range(int(min(n, quota[s] - drawn[s]))):
+                turn, r = divmod(drawn[s], sources[s].blocks)
+                taken += blocks[s, _place(r, sources[s].blocks, ((mixture.seed << 40) ^ (s << 8) ^ turn) & M64)]
+                drawn[s] += 1
+    got = {r.doc_id: r.taken for r in mixing.taken_words(_docs(spark, rows).repartition(5), mixture).collect()}
+    assert {i: n for i, n in got.items() if n} == dict(taken)
+
+
 def test_blocks_hold_the_taken_words(spark):
     rows = _corpus()[:200]
     docs = _docs(spark, rows)
