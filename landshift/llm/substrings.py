@@ -14,7 +14,8 @@ Copies that continue each other are merged greedily into factors, which are at l
 under factors are removed. "Earlier" is a smaller id, or the same document and an earlier start.
 
 Keys are 128 bits of hash (anchor and content). Groups are counted or reduced to their first occurrence on
-the map side before any shuffle; the way back joins on the key, whose long side AQE may split.
+the map side before any shuffle. On the way back, keys that hold at least one ``HOT_KEYS``-th of all rows -- so
+there are at most that many -- are broadcast and their rows stay where they are; the others are joined by key.
 
 Defined results: a null text has no words; rows that share an id are one document; a null id sorts before
 all others; texts shorter than a window lose nothing; an empty table gives no rows; further columns are ignored.
@@ -35,6 +36,7 @@ from landshift.llm.texts import gram_hashes, in_arrow, mix, powers, slices, word
 
 WINDOW = 20
 ANCHOR = 6
+HOT_KEYS = 4096
 _Q = np.uint64(0xD6E8FEB86659FD93)
 _Q_BACK = np.uint64(pow(int(_Q), -1, 1 << 64))
 _PLACE = np.uint64((1 << 24) - 1)
@@ -129,6 +131,19 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(key.alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def _repeats(rows: DataFrame, firsts: DataFrame, n) -> DataFrame:
+    """Rows (anchor, content, key, at, n) whose key has an earlier row; ``firsts``: a written table (anchor, content, ref, times)."""
+    total = firsts.agg(F.sum("times")).first()[0] or 0
+    least = max(2, -(-total // HOT_KEYS))
+    again = firsts.where("times > 1").select("anchor", "content", "ref", (F.col("times") >= least).alias("hot"))
+    hot = F.broadcast(again.where("hot").select("anchor", "content", F.col("ref").alias("hot_ref")))
+    seen = rows.join(hot, ["anchor", "content"], "left")
+    near = seen.where("hot_ref IS NOT NULL").select("key", "at", n.alias("n"), F.col("hot_ref").alias("ref"))
+    far = seen.where("hot_ref IS NULL").drop("hot_ref").join(again.where("NOT hot").drop("hot"), ["anchor", "content"]).select("key", "at", n.alias("n"), "ref")
+    out = near.unionByName(far).where("key != ref.key OR at != ref.at")
+    return out.select("key", "at", "n", F.col("ref.key").alias("ref_key"), F.col("ref.at").alias("ref_at"))
+
+
 def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """(key, at, n, ref_key, ref_at): n consecutive windows from ``at`` that stand earlier, at the reference."""
     base = _keyed(docs, id_col, text_col)
@@ -137,14 +152,13 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
     blocks = written(_blocks(base, window, anchor).join(shared, "anchor", "left_semi"), "rlz-blocks")
     place = F.struct("key", "at")
     firsts = written(blocks.groupBy("anchor", "content").agg(F.min(place).alias("ref"), F.first("n").alias("n"), F.count("*").alias("times")), "rlz-firsts")
-    again = firsts.where("times > 1").select("anchor", "content", "ref")
-    whole = blocks.join(again, ["anchor", "content"]).where("key != ref.key OR at != ref.at").select("key", "at", "n", F.col("ref.key").alias("ref_key"), F.col("ref.at").alias("ref_at"))
+    whole = _repeats(blocks, firsts, F.col("n"))
     meet = firsts.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor")
     edge = firsts.join(meet, "anchor", "left_semi").select(F.col("ref.key").alias("key"), F.struct(F.col("ref.at").alias("at"), "n", "anchor").alias("part"))
     asked = edge.groupBy("key").agg(F.collect_list("part").alias("ask"))
     single = written(_windows(base.join(asked, "key"), window), "rlz-edges")
-    lead = single.groupBy("anchor", "content").agg(F.min(place).alias("ref"), F.count("*").alias("times")).where("times > 1").drop("times")
-    part = single.join(lead, ["anchor", "content"]).where("key != ref.key OR at != ref.at").select("key", "at", F.lit(1).alias("n"), F.col("ref.key").alias("ref_key"), F.col("ref.at").alias("ref_at"))
+    lead = written(single.groupBy("anchor", "content").agg(F.min(place).alias("ref"), F.count("*").alias("times")).where("times > 1"), "rlz-leads")
+    part = _repeats(single, lead, F.lit(1))
     return whole.unionByName(part)
 
 

@@ -30,8 +30,9 @@ def _got(spark, rows, window, **how):
     return {r.doc_id: tuple(r)[1:] for r in substrings.deduplicated(df, window=window, with_text=True, **how).collect()}
 
 
-@pytest.mark.parametrize("window,anchor", [(20, 6), (8, 3)])
-def test_as_by_brute_force(spark, window, anchor):
+@pytest.mark.parametrize("window,anchor,hot", [(20, 6, 4096), (8, 3, 40), (8, 3, 1)])
+def test_as_by_brute_force(spark, monkeypatch, window, anchor, hot):
+    monkeypatch.setattr(substrings, "HOT_KEYS", hot)
     rng = random.Random(window)
     word = lambda: rng.choice(["an", "of", "x", "é", "the", "9"]) + str(rng.randint(0, 30))
     passages = [[word() for _ in range(rng.randint(5, 60))] for _ in range(12)]
