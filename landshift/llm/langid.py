@@ -57,13 +57,20 @@ def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return bucket, words, np.searchsorted(letters[words], begins)
 
 
+def _lowered_one(text: pa.Array) -> pa.Array:
+    try:
+        return pc.utf8_lower(text)
+    except pa.ArrowInvalid:
+        return text
+
+
 def _lowered(batch: pa.RecordBatch) -> pa.RecordBatch:
     at = batch.schema.get_field_index("text")
     text = pc.fill_null(batch.column(at), "")
     try:
         text = pc.utf8_lower(text)
     except pa.ArrowInvalid:  # malformed UTF-8: its bytes are counted as they are; ASCII letters fold anyway
-        pass
+        text = pa.chunked_array([_lowered_one(text.slice(i, 1)) for i in range(len(text))]).combine_chunks()
     return batch.set_column(at, "text", text)
 
 
