@@ -41,12 +41,18 @@ def from_epoch_ms(ms: Column) -> Column:
     return F.timestamp_millis(ms.cast("long"))
 
 
+def _utc(moment: Column) -> Column:
+    """The clock in UTC, whatever the session's zone; a moment without a zone is in UTC already."""
+    zone = F.when(F.typeof(moment) == "timestamp", F.current_timezone()).otherwise("UTC")
+    return F.convert_timezone(zone, F.lit("UTC"), moment.cast("timestamp_ntz"))
+
+
 def utc_date(moment: Column) -> Column:
-    return F.date_format(moment, "yyyy-MM-dd")
+    return F.date_format(_utc(moment), "yyyy-MM-dd")
 
 
 def stamp(moment: Column) -> Column:
-    return F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return F.date_format(_utc(moment), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
 def days_between(earlier: Column, later: Column) -> Column:

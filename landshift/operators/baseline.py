@@ -7,7 +7,7 @@ of its own instant, so the join is by number and gives n rows per scene, however
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BASELINE = 5
@@ -24,10 +24,18 @@ def trailing(scenes: DataFrame, n: int = BASELINE, same: tuple[str, ...] = ("aoi
     return wanted.join(prior, [*same, "number"]).select("scene_id", "baseline_id", "place")
 
 
+def _middle(values: Column) -> Column:
+    """The median of a few numbers, the mean of the middle two if they are even; null of none."""
+    ordered, n = F.array_sort(values), F.size(values)
+    at = lambda i: F.get(ordered, i.cast("int"))
+    return F.when(n > 0, (at(F.floor((n - 1) / 2)) + at(F.floor(n / 2))) / 2)
+
+
 def medians(pairs: DataFrame, pixels: DataFrame, *values: str) -> DataFrame:
     """Median of each value over the baseline scenes, per scene and pixel; masked pixels are left out."""
     rows = pairs.join(pixels, pairs.baseline_id == pixels.observation_id)
-    return rows.groupBy("scene_id", "pixel").agg(*[F.median(v).alias(f"base_{v}") for v in values])
+    listed = rows.groupBy("scene_id", "pixel").agg(*[F.collect_list(v).alias(v) for v in values])
+    return listed.select("scene_id", "pixel", *[_middle(F.col(v)).alias(f"base_{v}") for v in values])
 
 
 def deltas(scenes: DataFrame, pixels: DataFrame, *values: str, n: int = BASELINE, same: tuple[str, ...] = ("aoi_id",)) -> DataFrame:

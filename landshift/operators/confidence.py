@@ -5,7 +5,7 @@ Factors lie between 0 and 1; a missing one is null, leaves the weighted mean, an
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from landshift.functions.text import clamped
@@ -63,15 +63,13 @@ def own_kinds(links: DataFrame, candidates: DataFrame, observations: DataFrame,
 def agreement(events: DataFrame, kinds: DataFrame, observations: DataFrame, candidates: DataFrame, days: int = AGREEMENT_DAYS) -> DataFrame:
     """(event_id, other_observations, matches, agreement, basis): what the other kind of sensor saw around an event.
 
-    ``observations`` and ``candidates`` carry the sensor kind. Looks of the other kind are counted by day per
-    area before the interval join, so it meets days, not looks; candidates meet events by place, then time.
+    ``observations`` and ``candidates`` carry the sensor kind. Looks of the other kind are counted up to each day of
+    an area; an event meets only the days its span begins and ends on. Candidates meet events by place, then time.
     """
     known = events.join(kinds.where(F.size("kinds") == 1).select(F.col("event_id").alias("id"), F.col("kinds")[0].alias("own_kind")), "id", "left")
     known = known.withColumn("other_kind", F.when(F.col("own_kind") == "optical", "radar").when(F.col("own_kind").isNotNull(), "optical"))
     span = known.withColumns({"from_at": F.col("first_detected_at") - F.expr(f"INTERVAL {days} DAYS"), "to_at": F.col("last_detected_at") + F.expr(f"INTERVAL {days} DAYS")})
-    looks = observations.groupBy(F.col("aoi_id").alias("o_aoi"), F.col("kind").alias("o_kind"), F.col("acquired_at").alias("o_at")).agg(F.count("*").alias("n"))
-    seen = span.join(looks, (F.col("aoi_id") == F.col("o_aoi")) & (F.col("other_kind") == F.col("o_kind")) & F.col("o_at").between(F.col("from_at"), F.col("to_at")))
-    seen = seen.groupBy("id").agg(F.sum("n").alias("other_observations"))
+    seen = _looks_within(span.select("id", "aoi_id", F.col("other_kind").alias("kind"), "from_at", "to_at"), observations)
     boxes = span.select("id", "aoi_id", "other_kind", "from_at", "to_at", "x0", "y0", "x1", "y1").withColumnRenamed("other_kind", "kind")
     met = near_pairs(boxes, candidates.select("id", "aoi_id", "kind", "detected_at", "x0", "y0", "x1", "y1"), ("aoi_id", "kind"))
     met = met.where(F.col("r_detected_at").between(F.col("l_from_at"), F.col("l_to_at"))).groupBy(F.col("l_id").alias("id")).agg(F.count("*").alias("matches"))
@@ -82,6 +80,25 @@ def agreement(events: DataFrame, kinds: DataFrame, observations: DataFrame, cand
     return out.select(F.col("id").alias("event_id"), "other_observations", "matches", score.cast("double").alias("agreement"), basis.alias("basis"))
 
 
+def _looks_within(spans: DataFrame, observations: DataFrame) -> DataFrame:
+    """(id, other_observations): looks (aoi_id, kind, acquired_at) from ``from_at`` to ``to_at``, both included."""
+    by_day = observations.groupBy("aoi_id", "kind", F.to_date("acquired_at").alias("day")).agg(F.collect_list("acquired_at").alias("times"))
+    last = Window.partitionBy("aoi_id", "kind").orderBy("day")
+    by_day = by_day.select("*", F.coalesce(F.sum(F.size("times")).over(last.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.lead("day").over(last).alias("next"))
+    # A row for each day up to the next one with looks; the one before the first stands for all days before it.
+    days = by_day.select("aoi_id", "kind", "day", "times", "before", F.explode(F.sequence(F.col("day"), F.coalesce(F.date_sub("next", 1), F.col("day")))).alias("at_day"))
+    bounds = by_day.groupBy("aoi_id", "kind").agg(F.min("day").alias("first"), F.max("day").alias("last"))
+    held = spans.join(bounds, ["aoi_id", "kind"])
+
+    def upto(moment: str, test) -> DataFrame:
+        at = held.select("id", "aoi_id", "kind", F.col(moment).alias("m"), F.greatest("first", F.least("last", F.to_date(moment))).alias("at_day"))
+        met = at.join(days, ["aoi_id", "kind", "at_day"])
+        return met.select("id", (F.col("before") + F.size(F.filter("times", lambda t: test(t, F.col("m"))))).alias(moment))
+
+    both = upto("from_at", lambda t, m: t < m).join(upto("to_at", lambda t, m: t <= m), "id")
+    return both.select("id", (F.col("to_at") - F.col("from_at")).alias("other_observations"))
+
+
 def moved(assessed: DataFrame, history: DataFrame, rule: str, digits: int = 2) -> DataFrame:
     """New assessments to append: events without one under this rule, or whose level or rounded score changed."""
     last = history.where(F.col("rule_version") == rule).groupBy("event_id").agg(F.max_by(F.struct("level", "score"), "id").alias("last"))

@@ -3,50 +3,81 @@
 Candidates of one area and methodology are taken in the order of detection. Each joins the earliest event that
 a candidate before it, which it touches, belongs to; otherwise it starts one. Bridging never merges events. As
 a footprint touches a candidate exactly if one of its members does, geometry is needed only for the links
-between candidates, which is a spatial join in Spark. The order-bound part sees ids and times, one connected
-group of links at a time: candidates of different groups never meet.
+between candidates, which is a spatial join in Spark.
+
+Taken one by one, a candidate's event is the least of the events of its earlier neighbours. So it is the
+earliest starter among all candidates that a path of links, each to an earlier one, leads to -- and that needs
+no order of work: all candidates take the least event their earlier neighbours have, and then the event that its
+name has in turn, until nothing changes. Every round is two joins; no group of candidates is ever gathered.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from landshift.operators.boxes import near_pairs
-from landshift.operators.graph import components
-from landshift.sources.shared import written
+from landshift.sources.shared import removed, written
 
 RESOLVE_DAYS, CLEAR_FLOOR = 90, 0.5
-_MEMBERS = "group long, id long, detected_at timestamp_ntz, near array<long>"
 
 
-def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Event of each candidate of one group; an event is named by the candidate that started it."""
-    pdf = pdf.sort_values(["detected_at", "id"])
-    event: dict[int, int] = {}
-    first: dict[int, tuple] = {}
-    for row in pdf.itertuples(index=False):
-        at = (row.detected_at, row.id)
-        met = {event[n] for n in row.near if n in event}
-        chosen = min(met, key=lambda e: first[e]) if met else row.id
-        event[row.id] = chosen
-        first.setdefault(chosen, at)
-    return pd.DataFrame({"candidate_id": list(event), "event_id": list(event.values())})
+def _settled(state: DataFrame, edges: DataFrame, named: bool) -> DataFrame:
+    """``state`` (id, label) when each id has the least label that links (u, v), from u on to v, lead to.
+
+    ``named``: labels are structs whose field ``id`` is an id of ``state`` with a label not above its own.
+    """
+    state, seen = written(state, "tracked"), None
+    while True:
+        now = state.agg(F.count("label").alias("n"), F.sum(F.xxhash64("id", "label").cast("decimal(20,0)")).alias("h")).first()
+        if now == seen:
+            return state
+        seen = now
+        near = edges.join(state.select(F.col("id").alias("v"), "label"), "v").groupBy(F.col("u").alias("id")).agg(F.min("label").alias("near"))
+        after = state.join(near, "id", "left").select("id", F.least("label", "near").alias("label"))
+        if named:
+            after = written(after, "tracked")
+            onward = after.select(F.col("id").alias("at"), F.col("label").alias("onward"))
+            after = after.join(onward, F.col("label.id") == F.col("at")).select("id", F.col("onward").alias("label"))
+        after = written(after, "tracked")
+        removed(state)
+        state = after
+
+
+def _order(side: str):
+    return F.struct(F.col(f"{side}_detected_at"), F.col(f"{side}_id"))
 
 
 def tracked(candidates: DataFrame) -> DataFrame:
-    """(candidate_id, event_id) for candidates (id, aoi_id, methodology_id, detected_at, x0, y0, x1, y1)."""
-    slim = candidates.select("id", "aoi_id", "methodology_id", "x0", "y0", "x1", "y1")
-    pairs = near_pairs(slim, slim, ("aoi_id", "methodology_id")).where("l_id != r_id").select(F.col("l_id").alias("u"), F.col("r_id").alias("v"))
-    pairs = written(pairs, "touching")
-    group = components(pairs)
-    near = pairs.groupBy("u").agg(F.collect_list("v").alias("near"))
-    rows = candidates.select("id", F.col("detected_at").cast("timestamp_ntz").alias("detected_at"))
-    rows = rows.join(group, rows.id == group.node).join(near, rows.id == near.u).select(F.col("component").alias("group"), "id", "detected_at", "near")
-    found = rows.groupBy("group").applyInPandas(_greedy, "candidate_id long, event_id long")
-    alone = candidates.join(group, candidates.id == group.node, "left_anti").select(F.col("id").alias("candidate_id"), F.col("id").alias("event_id"))
-    return found.unionByName(alone)
+    """(candidate_id, event_id) for candidates (id, aoi_id, methodology_id, detected_at, x0, y0, x1, y1); an event
+    is named by the candidate that started it."""
+    slim = candidates.select("id", "aoi_id", "methodology_id", "detected_at", "x0", "y0", "x1", "y1")
+    pairs = near_pairs(slim, slim, ("aoi_id", "methodology_id")).where(_order("l") > _order("r"))
+    edges = written(pairs.select(F.col("l_id").alias("u"), F.col("r_id").alias("v")), "touching")
+    own = candidates.select("id", F.struct(F.col("detected_at").alias("at"), "id").alias("label"))
+    return _settled(own, edges, named=True).select(F.col("id").alias("candidate_id"), F.col("label.id").alias("event_id"))
+
+
+def extended(candidates: DataFrame, members: DataFrame, new: DataFrame) -> DataFrame:
+    """(candidate_id, event_id) for the candidates ``new``, beside events that have members already.
+
+    members: (event_id, candidate_id) of ``candidates``, which stay as they are. New candidates come after them
+    whatever their dates, so a late one may move the first detection of the event it joins to before; among
+    events it touches it takes the earliest, by the dates that they had before these candidates came.
+    """
+    columns = ("id", "aoi_id", "methodology_id", "detected_at", "x0", "y0", "x1", "y1")
+    held = candidates.select(*columns).join(members.select(F.col("candidate_id").alias("id"), "event_id"), "id")
+    first = held.groupBy("event_id").agg(F.min("detected_at").alias("at"))
+    held = held.join(first, "event_id").withColumn("label", F.struct("at", F.col("event_id").alias("id"))).withColumn("old", F.lit(1)).select(*columns, "old", "label")
+    fresh = new.select(*columns, F.lit(0).alias("old"), F.struct(F.col("detected_at").alias("at"), "id").alias("label"))
+    every = held.unionByName(fresh)
+    pairs = near_pairs(fresh.drop("label"), every.drop("label"), ("aoi_id", "methodology_id")).where((F.col("r_old") == 1) | (_order("l") > _order("r")))
+    edges = written(pairs.select(F.col("l_id").alias("u"), F.col("r_id").alias("v")), "touching")
+    # Who touches something before it has no event until that one has.
+    moved = edges.select(F.col("u").alias("m_id")).distinct()
+    state = every.join(moved, F.col("id") == F.col("m_id"), "left").select("id", F.when(F.col("m_id").isNull(), F.col("label")).alias("label"))
+    out = _settled(state, edges, named=False).select(F.col("id").alias("candidate_id"), F.col("label.id").alias("event_id"))
+    return out.join(new.select(F.col("id").alias("candidate_id")), "candidate_id", "left_semi")
 
 
 def untracked(candidates: DataFrame, links: DataFrame) -> DataFrame:

@@ -31,8 +31,8 @@ VIEWS = {
         SELECT CAST(p_partkey AS BIGINT) AS pixel, CAST(p_size * 2 AS DOUBLE) AS treecover2000, CASE WHEN p_partkey % 3 = 0 THEN CAST(p_partkey % 4 AS INT) END AS lossyear,
                CAST(p_partkey % 6 * 5 AS INT) AS landcover FROM part""",
     "cell": """
-        SELECT l_suppkey % 20 AS scene, l_partkey % 48 AS row, l_orderkey % 48 AS col, min(l_discount) - 0.3 AS delta
-        FROM lineitem WHERE l_linenumber < 4 GROUP BY l_suppkey % 20, l_partkey % 48, l_orderkey % 48""",
+        SELECT l_suppkey AS scene, l_partkey % 24 AS row, l_orderkey % 24 AS col, avg(l_discount) - 0.3 AS delta
+        FROM lineitem GROUP BY l_suppkey, l_partkey % 24, l_orderkey % 24""",
     "candidate": """
         SELECT id, aoi_id, 1 + id % 2 AS methodology_id, id AS change_raster_id, acquired_at AS detected_at,
                id * 37 % 400 AS x0, id * 91 % 400 AS y0, id * 37 % 400 + 1 + id % 9 AS x1, id * 91 % 400 + 1 + id * 5 % 11 AS y1,
@@ -106,14 +106,24 @@ def oracle(sql: str) -> str:
 
 
 class Domain:
-    """Views as DataFrames: ``Domain(spark, sf_dir).observation``."""
+    """Views as DataFrames: ``Domain(spark, sf_dir).observation``. A table is read when a view first asks for it."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark = spark
-        for t in TABLES:
-            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+        self.spark, self.sf_dir = spark, sf_dir
+        self._read: dict[str, DataFrame] = {}
+
+    def table(self, name: str) -> DataFrame:
+        if name not in self._read:
+            self._read[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._read[name]
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in VIEWS:
             raise AttributeError(name)
-        return self.spark.sql(oracle(f"SELECT * FROM {name}"))
+        sql = oracle(f"SELECT * FROM {name}")
+        used = [t for t in TABLES if re.search(rf"\b(?:FROM|JOIN|,)\s+{t}\b", sql)]
+        if not used:
+            return self.spark.sql(sql)
+        tables = ", ".join(f"{t} AS (SELECT * FROM {{{t}}})" for t in used)
+        rest = sql.removeprefix("WITH ").replace("{", "{{").replace("}", "}}")
+        return self.spark.sql(f"WITH {tables}, {rest}", **{t: self.table(t) for t in used})

@@ -56,28 +56,50 @@ def earliest_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracking.earliest_touching(d.candidate, d.event)
 
 
-@query()
+_TRACK = f"""
+    edge AS MATERIALIZED (SELECT a.id AS u, b.id AS v FROM candidate a JOIN candidate b ON a.aoi_id = b.aoi_id AND a.methodology_id = b.methodology_id AND (a.detected_at, a.id) > (b.detected_at, b.id) AND {_MEET}),
+    walk AS (SELECT id, id AS seen FROM candidate UNION SELECT w.id, e.v FROM walk w JOIN edge e ON e.u = w.seen),
+    track AS (SELECT w.id AS candidate_id, arg_min(c.id, (c.detected_at, c.id)) AS event_id FROM walk w JOIN candidate c ON c.id = w.seen GROUP BY w.id)"""
+
+
+@query(f"WITH RECURSIVE {_TRACK} SELECT candidate_id, event_id, aoi_id, methodology_id FROM track JOIN candidate ON id = candidate_id")
 def tracked_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy tracking of all candidates; it depends on order, so tests hold it against a plain loop."""
+    """Greedy tracking of all candidates; tests also hold it against a plain loop."""
     d = Domain(spark, sf_dir)
     members = tracking.tracked(d.candidate)
     return members.join(d.candidate.select(F.col("id").alias("candidate_id"), "aoi_id", "methodology_id"), "candidate_id")
 
 
+@query(f"""
+    WITH RECURSIVE held AS (SELECT e.event_id, c.*, min(c.detected_at) OVER (PARTITION BY e.event_id) AS first_at FROM event_observation e JOIN candidate c ON c.id = e.candidate_id),
+    fresh AS (SELECT * FROM candidate WHERE id % 12 = 0),
+    edge AS MATERIALIZED (SELECT a.id AS u, b.id AS v FROM fresh a JOIN fresh b ON a.aoi_id = b.aoi_id AND a.methodology_id = b.methodology_id AND (a.detected_at, a.id) > (b.detected_at, b.id) AND {_MEET}
+             UNION ALL SELECT a.id, b.id FROM fresh a JOIN held b ON a.aoi_id = b.aoi_id AND a.methodology_id = b.methodology_id AND {_MEET}),
+    walk AS (SELECT id, id AS seen FROM fresh UNION SELECT w.id, e.v FROM walk w JOIN edge e ON e.u = w.seen),
+    source AS (SELECT id, event_id, first_at AS at FROM held UNION ALL SELECT id, id, detected_at FROM fresh WHERE id NOT IN (SELECT u FROM edge))
+    SELECT w.id AS candidate_id, arg_min(s.event_id, (s.at, s.event_id)) AS event_id FROM walk w JOIN source s ON s.id = w.seen GROUP BY w.id""")
+def late_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates that no event has yet, of any date, beside the events there are."""
+    d = Domain(spark, sf_dir)
+    return tracking.extended(d.candidate, d.event_observation.select("event_id", "candidate_id"), d.candidate.where("id % 12 = 0"))
+
+
 @query("""
-    WITH cells AS (SELECT c.id AS candidate_id, x AS col, y AS row FROM candidate c, range(0, 420) r(x), range(0, 420) s(y) WHERE c.id % 20 = 1 AND x >= x0 AND x < x1 AND y >= y0 AND y < y1),
-    m AS (SELECT event_id, candidate_id, row_number() OVER (PARTITION BY event_id ORDER BY observed_at, candidate_id) AS place FROM event_observation WHERE candidate_id % 20 = 1),
-    f AS (SELECT event_id, row, col, min(place) AS place FROM m JOIN cells USING (candidate_id) GROUP BY event_id, row, col)
-    SELECT m.event_id, m.candidate_id, CASE WHEN m.place > 1 THEN 900.0E0 * (SELECT count(*) FROM f WHERE f.event_id = m.event_id AND f.place = m.place) END AS growth_m2 FROM m""".replace(
-    "FROM candidate c, range(0, 420) r(x), range(0, 420) s(y) WHERE c.id % 20 = 1 AND x >= x0 AND x < x1 AND y >= y0 AND y < y1", "FROM (SELECT id, y0, y1, unnest(range(x0, x1)) AS x FROM candidate WHERE id % 20 = 1) c, LATERAL (SELECT unnest(range(c.y0, c.y1)) AS y) t"))
+    WITH cells AS (SELECT c.id AS candidate_id, x AS col, y AS row FROM (SELECT id, y0, y1, unnest(range(x0, x1)) AS x FROM candidate) c, LATERAL (SELECT unnest(range(c.y0, c.y1)) AS y) t),
+    m AS (SELECT event_id, candidate_id, row_number() OVER (PARTITION BY event_id ORDER BY observed_at, candidate_id) AS place FROM event_observation),
+    f AS (SELECT event_id, place, count(*) AS n FROM (SELECT event_id, row, col, min(place) AS place FROM m JOIN cells USING (candidate_id) GROUP BY event_id, row, col) q GROUP BY event_id, place)
+    SELECT m.event_id, m.candidate_id, CASE WHEN m.place > 1 THEN 900.0E0 * coalesce(f.n, 0) END AS growth_m2 FROM m LEFT JOIN f ON f.event_id = m.event_id AND f.place = m.place""")
 def footprint_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Area each measurement adds to its event's footprint, for the candidates of one registry class."""
+    """Area each measurement adds to its event's footprint."""
     d = Domain(spark, sf_dir)
-    some = d.candidate.where("id % 20 = 1")
-    rows = some.select(F.col("id").alias("candidate_id"), "y0", "y1", F.explode(F.sequence(F.col("x0"), F.col("x1") - 1)).alias("col"))
-    cells = rows.select("candidate_id", "col", F.explode(F.sequence(F.col("y0"), F.col("y1") - 1)).alias("row"))
-    members = d.event_observation.where("candidate_id % 20 = 1").select("event_id", "candidate_id", F.col("observed_at").alias("detected_at"))
-    return tracking.growth(members, cells, 900.0)
+    members = d.event_observation.select("event_id", "candidate_id", F.col("observed_at").alias("detected_at"))
+    return tracking.growth(members, _cells(d), 900.0)
+
+
+def _cells(d: Domain) -> DataFrame:
+    """(candidate_id, row, col): the cells of each candidate's box."""
+    rows = d.candidate.select(F.col("id").alias("candidate_id"), "y0", "y1", F.explode(F.sequence(F.col("x0"), F.col("x1") - 1)).alias("col"))
+    return rows.select("candidate_id", "col", F.explode(F.sequence(F.col("y0"), F.col("y1") - 1)).alias("row"))
 
 
 @query("""

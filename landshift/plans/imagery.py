@@ -140,17 +140,17 @@ def forest_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
     WITH m AS (SELECT pixel % 12 AS m_row, (pixel - pixel % 12) / 12 % 12 AS m_col, bool_or(treecover2000 >= 30 AND coalesce(lossyear, 0) = 0) AS keep FROM forest_pixel GROUP BY 1, 2)
-    SELECT scene, count(*) AS hits, round(avg(delta), 6) AS delta_mean FROM cell JOIN m ON m_row = (row - row % 4) / 4 AND m_col = (col - col % 4) / 4 AND keep WHERE delta < -0.25 GROUP BY scene""".replace("(pixel - pixel % 12) / 12 % 12", "((pixel - pixel % 12) // 12) % 12"))
+    SELECT scene, count(*) AS hits, round(avg(delta), 6) AS delta_mean FROM cell JOIN m ON m_row = (row - row % 2) / 2 AND m_col = (col - col % 2) / 2 AND keep WHERE delta < -0.2541 GROUP BY scene""".replace("(pixel - pixel % 12) / 12 % 12", "((pixel - pixel % 12) // 12) % 12"))
 def hits_in_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Threshold hits under a mask on a coarser grid, joined by computed cell."""
     d = Domain(spark, sf_dir)
     mask = d.forest_pixel.groupBy((F.col("pixel") % 12).alias("row"), (F.floor(F.col("pixel") / 12) % 12).alias("col")).agg(F.bool_or(raster.forest("hansen")).alias("keep"))
-    hits = raster.hits(raster.aligned(d.cell, mask, 4), "delta")
+    hits = raster.hits(raster.aligned(d.cell, mask, 2), "delta", -0.2541)
     return hits.groupBy("scene").agg(F.count("*").alias("hits"), F.round(F.avg("delta"), 6).alias("delta_mean"))
 
 
 @query("""
-    WITH RECURSIVE hit AS MATERIALIZED (SELECT scene, row, col, delta, row * 1000 + col AS c FROM cell WHERE delta < -0.295),
+    WITH RECURSIVE hit AS MATERIALIZED (SELECT scene, row, col, delta, row * 1000 + col AS c FROM cell WHERE delta < -0.2541),
     edge AS MATERIALIZED (SELECT a.scene, a.c AS u, b.c AS v FROM hit a JOIN hit b ON a.scene = b.scene AND abs(a.row - b.row) + abs(a.col - b.col) = 1),
     walk AS (SELECT scene, c, c AS seen FROM hit UNION SELECT w.scene, w.c, e.v FROM walk w JOIN edge e ON e.scene = w.scene AND e.u = w.seen),
     label AS (SELECT scene, c, min(seen) AS patch FROM walk GROUP BY scene, c)
@@ -158,7 +158,7 @@ def hits_in_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM hit h JOIN label l ON l.scene = h.scene AND l.c = h.c GROUP BY h.scene, patch HAVING count(*) * 900.0 >= 1800""".replace("900.0 AS", "900.0E0 AS"))
 def patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """4-connected patches of hits with their statistics; tiles are small here so that patches cross them."""
-    hits = raster.hits(Domain(spark, sf_dir).cell, "delta", -0.295)
+    hits = raster.hits(Domain(spark, sf_dir).cell, "delta", -0.2541)
     out = components.patch_table(hits, "delta", 900.0, 1800.0, tile=16)
     return out.select("scene", "cells", "area_m2", F.round("delta_mean", 6).alias("delta_mean"), F.round("delta_min", 6).alias("delta_min"), "row_from", "row_to", "col_from", "col_to")
 

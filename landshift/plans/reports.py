@@ -105,8 +105,7 @@ def content_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parameters are named by the hash of their canonical JSON; the first of a kind mints it, the others find it."""
     from pyspark.sql import Window
 
-    Domain(spark, sf_dir)
-    rows = spark.table("events").select("event_id", F.create_map(F.lit("u"), F.col("user_id"), F.lit("k"), F.get_json_object("props", "$.k").cast("long")).alias("parameters"))
+    rows = Domain(spark, sf_dir).table("events").select("event_id", F.create_map(F.lit("u"), F.col("user_id"), F.lit("k"), F.get_json_object("props", "$.k").cast("long")).alias("parameters"))
     version = F.concat(F.lit("auto-"), hashes.short_hash(hashes.canonical(F.col("parameters")), 10))
     rows = rows.select(F.col("event_id").alias("id"), version.alias("version"))
     return rows.withColumn("minted", F.row_number().over(Window.partitionBy("version").orderBy("id")) == 1)
@@ -216,8 +215,7 @@ def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
            CASE WHEN c_custkey % 6 = 0 OR c_custkey = 0 THEN 7 ELSE c_custkey END AS positive, greatest(0, least(1, c_acctbal / 10000)) AS share FROM customer""")
 def name_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text functions over names: keys, segments, kinds, blanks, credentials, numbers."""
-    Domain(spark, sf_dir)
-    c = spark.table("customer")
+    c = Domain(spark, sf_dir).table("customer")
     key, text = F.col("c_custkey"), F.col("c_custkey").cast("string")
     stem = F.when(key % 3 > 0, F.concat(F.lit("k"), (key % 4).cast("string"), F.lit("--a--b"))).otherwise(F.lit("nothing"))
     return c.select(
@@ -252,9 +250,9 @@ def layered_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM (SELECT event_id, regexp_extract(props, '([0-9]+)', 1) AS ka FROM events) a JOIN (SELECT event_id - 1 AS event_id, regexp_extract(props, '([0-9]+)', 1) AS kb FROM events) b ON a.event_id = b.event_id""")
 def parameter_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys in which two sets of parameters differ."""
-    Domain(spark, sf_dir)
+    events = Domain(spark, sf_dir).table("events")
     k = F.get_json_object("props", "$.k").cast("long")
-    old = spark.table("events").select("event_id", F.when(F.col("event_id") % 2 == 0, F.create_map(F.lit("k"), k, F.lit("u"), F.lit(1).cast("long"))).otherwise(F.create_map(F.lit("k"), k)).alias("a"))
-    new = spark.table("events").select((F.col("event_id") - 1).alias("event_id"), F.create_map(F.lit("k"), k, F.lit("v"), F.lit(2).cast("long")).alias("b"))
+    old = events.select("event_id", F.when(F.col("event_id") % 2 == 0, F.create_map(F.lit("k"), k, F.lit("u"), F.lit(1).cast("long"))).otherwise(F.create_map(F.lit("k"), k)).alias("a"))
+    new = events.select((F.col("event_id") - 1).alias("event_id"), F.create_map(F.lit("k"), k, F.lit("v"), F.lit(2).cast("long")).alias("b"))
     rows = old.join(new, "event_id")
     return rows.select(F.col("event_id").alias("id"), F.array_join(catalog.parameter_changes(F.col("a"), F.col("b")), ",").alias("changed"))

@@ -61,6 +61,6 @@ def test_without_the_optional_part(tmp_path, gone):
     copy = tmp_path / "copy"
     shutil.copytree(root, copy, ignore=lambda folder, names: [n for n in names if n in (".git", "tests", "__pycache__") or os.path.relpath(os.path.join(folder, n), root) in gone])
     code = "import __spark_entry__ as e; print(sorted(e.queries())); print(sorted(e.oracle_sql()))"
-    out = subprocess.run([sys.executable, "-c", code], cwd=copy, capture_output=True, text=True, check=True).stdout.splitlines()
+    out = subprocess.run([sys.executable, "-c", code], cwd=copy, env={**os.environ, "PYTHONPATH": str(copy)}, capture_output=True, text=True, check=True).stdout.splitlines()
     named, held = (set(ast.literal_eval(line)) for line in out[-2:])
     assert set(catalogue.QUERIES) <= named and set(catalogue.ORACLES) <= held and held <= named and "pipeline" not in named
