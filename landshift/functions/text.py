@@ -81,3 +81,21 @@ def resolved(*layers: tuple[str, Column]) -> Column:
     value = F.coalesce(*[c for _, c in layers])
     source = F.coalesce(*[F.when(c.isNotNull(), F.lit(name)) for name, c in layers])
     return F.struct(value.alias("value"), source.alias("source"))
+
+
+def full_match(text: Column, pattern: str) -> Column:
+    """Whether the whole text has the form."""
+    return text.rlike(f"^(?:{pattern})\\z")
+
+
+def canonical_path(path: Column) -> Column:
+    """A path without repeated slashes, ``.`` parts and ``name/..`` pairs (one level of them)."""
+    out = F.regexp_replace(F.trim(path), r"/+", "/")
+    out = F.regexp_replace(out, r"(^|/)(?:\./)+", "$1")
+    return F.regexp_replace(out, r"(^|/)(?!\.\./)[^/]+/\.\./", "$1")
+
+
+def known_orbit(direction: Column) -> Column:
+    """The direction of a pass; anything but the two is an error, null stays null."""
+    wrong = F.raise_error(F.concat(F.lit("unknown orbit direction "), direction))
+    return F.when(direction.isNull() | direction.isin("ASCENDING", "DESCENDING"), direction).otherwise(wrong)

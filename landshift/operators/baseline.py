@@ -43,3 +43,15 @@ def deltas(scenes: DataFrame, pixels: DataFrame, *values: str, n: int = BASELINE
     base = medians(trailing(scenes, n, same), pixels, *values)
     now = pixels.withColumnRenamed("observation_id", "scene_id")
     return now.join(base, ["scene_id", "pixel"]).select("scene_id", "pixel", *[(F.col(v) - F.col(f"base_{v}")).alias(f"delta_{v}") for v in values])
+
+
+def rebuilt(rasters: DataFrame, sources: DataFrame, pixels: DataFrame, *values: str) -> DataFrame:
+    """Deltas of ``rasters`` (id, observation_id) against the baseline that was recorded for each, not today's.
+
+    sources: (change_raster_id, observation_id) as recorded, the raster's own scene among them. A raster without
+    a recorded baseline has no rows.
+    """
+    own = rasters.select(F.col("id").alias("change_raster_id"), F.col("observation_id").alias("scene_id"))
+    pairs = sources.join(own, "change_raster_id").where("observation_id != scene_id").select("scene_id", F.col("observation_id").alias("baseline_id"))
+    now = pixels.withColumnRenamed("observation_id", "scene_id").join(own.select("scene_id"), "scene_id", "left_semi")
+    return now.join(medians(pairs, pixels, *values), ["scene_id", "pixel"]).select("scene_id", "pixel", *[(F.col(v) - F.col(f"base_{v}")).alias(f"delta_{v}") for v in values])

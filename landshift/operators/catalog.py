@@ -63,3 +63,66 @@ def plan_rasters(wanted: DataFrame, frozen: DataFrame, stored: DataFrame) -> Dat
     f, s = (df.select("raster_id").distinct().withColumn(n, F.lit(True)) for df, n in ((frozen, "is_frozen"), (stored, "is_stored")))
     out = wanted.join(f, "raster_id", "left").join(s, "raster_id", "left")
     return out.select("raster_id", F.when(F.col("is_frozen"), "frozen").when(F.col("is_stored"), "reused").otherwise("computed").alias("action"))
+
+
+def marked(extractions: DataFrame, scope: DataFrame) -> DataFrame:
+    """The markers (change_raster_id, methodology_id) after ``scope`` was extracted; a raster without candidates has one, too."""
+    key = ("change_raster_id", "methodology_id")
+    return extractions.select(*key).unionByName(scope.select(*key)).distinct()
+
+
+def extraction_state(rasters: DataFrame, methodologies: DataFrame, markers: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Per raster and methodology: whether it was extracted, and how many candidates it has."""
+    key = ["change_raster_id", "methodology_id"]
+    # The methodologies in use are a registry of a few rows.
+    pairs = rasters.select(F.col("id").alias("change_raster_id")).join(F.broadcast(methodologies.select(F.col("id").alias("methodology_id"))))
+    counts = candidates.groupBy(*key).agg(F.count("*").alias("candidates"))
+    out = pairs.join(markers.select(*key, F.lit(True).alias("extracted")), key, "left").join(counts, key, "left")
+    return out.select(*key, F.coalesce("extracted", F.lit(False)).alias("extracted"), F.coalesce("candidates", F.lit(0).cast("long")).alias("candidates"))
+
+
+def extraction_plan(state: DataFrame, stored: DataFrame, masks: DataFrame, sources: DataFrame) -> DataFrame:
+    """How to have each pair's candidates: counted, from the stored raster under a mask that is there, rebuilt
+    from recorded sources, or refused. ``stored`` and ``sources``: change_raster_id; ``masks``: methodology_id."""
+    flag = lambda df, key, name: df.select(key).distinct().withColumn(name, F.lit(True))
+    out = state.join(flag(stored, "change_raster_id", "is_stored"), "change_raster_id", "left").join(flag(masks, "methodology_id", "has_mask"), "methodology_id", "left")
+    out = out.join(flag(sources, "change_raster_id", "has_source"), "change_raster_id", "left")
+    way = F.when(F.col("extracted"), "counted").when(F.col("is_stored") & F.col("has_mask"), "local").when(F.col("has_source"), "rebuilt").otherwise("refused")
+    return out.select("change_raster_id", "methodology_id", way.alias("way"))
+
+
+def areas_stored(existing: DataFrame, loaded: DataFrame, first_id: int) -> DataFrame:
+    """Next state of areas (id, name, geometry, differs): a stored geometry wins, and it is told if the loaded one is another."""
+    theirs = loaded.groupBy("name").agg(F.min("geometry").alias("new_geometry"))
+    kept = existing.join(theirs, "name", "left").select("id", "name", "geometry", F.coalesce(F.col("new_geometry") != F.col("geometry"), F.lit(False)).alias("differs"))
+    fresh = theirs.join(existing.select("name"), "name", "left_anti")
+    numbered = fresh.select((F.row_number().over(Window.orderBy("name")) + (first_id - 1)).cast("long").alias("id"), "name", F.col("new_geometry").alias("geometry"), F.lit(False).alias("differs"))
+    return kept.unionByName(numbered)
+
+
+def run_started(runs: DataFrame, log: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Headers and log after runs (id, aoi_id, started_at, methodology_id, geometry_hash) begin: stale ones of the area
+    are interrupted, and a changed methodology or footprint is a warning in the log (run_id, stage, outcome, message)."""
+    begun = new.withColumn("status", F.lit("running"))
+    every = with_previous(runs.unionByName(begun.select(*runs.columns)))
+    headers = every.select(*[F.col("status_now").alias("status") if c == "status" else F.col(c) for c in runs.columns])
+    told = every.join(new.select("id"), "id", "left_semi").select("id", F.explode(F.array_compact(F.array(F.when(F.col("methodology_changed"), "methodology changed"), F.when(F.col("geometry_changed"), "area geometry changed")))).alias("message"))
+    warned = told.select(F.col("id").alias("run_id"), F.lit("run").alias("stage"), F.lit("warning").alias("outcome"), "message")
+    return headers, log.unionByName(warned)
+
+
+def run_finished(runs: DataFrame, ended: DataFrame) -> DataFrame:
+    """Headers after runs (id, status) came to an end."""
+    out = runs.join(ended.select("id", F.col("status").alias("end_status")), "id", "left")
+    return out.withColumn("status", F.coalesce("end_status", "status")).drop("end_status").select(*runs.columns)
+
+
+def reproducible(rasters: DataFrame, sources: DataFrame, lineages: DataFrame, script: str, force: bool = False) -> DataFrame:
+    """What stands against making each raster (id, path, derived_path, lineage_id) again; null if nothing does."""
+    known = sources.select(F.col("change_raster_id").alias("id")).distinct().withColumn("has_source", F.lit(True))
+    rows = rasters.join(lineages.select(F.col("id").alias("lineage_id"), "script"), "lineage_id", "left").join(known, "id", "left")
+    problem = (
+        F.when(F.col("script").isNull(), "no lineage").when((F.col("script") != script) & F.lit(not force), "another script version")
+        .when(F.col("has_source").isNull(), "no recorded baseline").when(F.col("derived_path") != F.col("path"), "another path")
+    )
+    return rows.select("id", "path", problem.alias("problem"))

@@ -62,6 +62,13 @@ def forest(kind: str, canopy_percent: float = 30.0) -> Column:
     raise ValueError(f"unknown forest mask {kind!r}")
 
 
+def forest_of(source: Column, canopy_percent: Column) -> Column:
+    """``forest`` for a mask that each row names; an unknown one is an error."""
+    tree = (F.col("treecover2000") >= canopy_percent) & (F.coalesce(F.col("lossyear"), F.lit(0)) == 0)
+    wrong = F.raise_error(F.concat(F.lit("unknown forest mask "), source)).cast("boolean")
+    return F.when(source == "hansen", tree).when(source == "worldcover", forest("worldcover")).when(source.isNull() | (source == "none"), F.lit(True)).otherwise(wrong)
+
+
 def hits(df: DataFrame, value: str, threshold: float = THRESHOLD) -> DataFrame:
     return df.where(F.col(value) < threshold)
 

@@ -38,11 +38,12 @@ def event_features(events: DataFrame, measurements: DataFrame, reviews: DataFram
     return out.withColumn("measurements", F.coalesce("measurements", F.lit(0).cast("long"))).orderBy("event_id")
 
 
-def recent_runs(runs: DataFrame, log: DataFrame, n: int = RECENT_RUNS) -> DataFrame:
-    """The newest runs and when each last said something; only the newest meet the log."""
+def recent_runs(runs: DataFrame, log: DataFrame, methodologies: DataFrame, n: int = RECENT_RUNS) -> DataFrame:
+    """The newest runs, their methodology's name, and when each last said something; only the newest meet the log."""
     top = runs.orderBy(F.desc("started_at"), F.desc("id")).limit(n)
     said = log.groupBy("run_id").agg(F.max("occurred_at").alias("last_event_at"))
-    return top.join(said, top.id == said.run_id, "left").drop("run_id").orderBy(F.desc("started_at"), F.desc("id"))
+    out = top.join(said, top.id == said.run_id, "left").drop("run_id").join(methodologies.select(F.col("id").alias("methodology_id"), F.col("name").alias("methodology")), "methodology_id", "left")
+    return out.orderBy(F.desc("started_at"), F.desc("id"))
 
 
 def run_progress(log: DataFrame) -> DataFrame:
@@ -90,11 +91,47 @@ def timeline(measurements: DataFrame, candidates: DataFrame, rasters: DataFrame)
     return rows.select("event_id", "candidate_id", "observed_at", "growth_m2", "area_m2", "delta_mean", "path")
 
 
-def inventory(areas: DataFrame, observations: DataFrame, candidates: DataFrame, events: DataFrame, rasters: DataFrame, runs: DataFrame) -> DataFrame:
-    """What hangs on each area, counted per table before any join."""
-    counts = [observations.groupBy("aoi_id").agg(F.count("*").alias("observations")), candidates.groupBy("aoi_id").agg(F.count("*").alias("candidates")), events.groupBy("aoi_id").agg(F.count("*").alias("events")), runs.groupBy("aoi_id").agg(F.count("*").alias("runs"))]
-    of = rasters.join(observations.select(F.col("id").alias("observation_id"), "aoi_id"), "observation_id").groupBy("aoi_id").agg(F.count("*").alias("rasters"))
+def inventory(areas: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """What hangs on each area, counted per table (with aoi_id) before any join."""
     out = areas.select(F.col("id").alias("aoi_id"), "name")
-    for c in (*counts, of):
-        out = out.join(c, "aoi_id", "left")
-    return out.na.fill(0, ["observations", "candidates", "events", "runs", "rasters"])
+    for name, table in tables.items():
+        out = out.join(table.groupBy("aoi_id").agg(F.count("*").alias(name)), "aoi_id", "left")
+    return out.na.fill(0, list(tables))
+
+
+def box_geometry(x0: str = "x0", y0: str = "y0", x1: str = "x1", y1: str = "y1"):
+    """A box as GeoJSON geometry."""
+    a, b, c, d = (F.col(x).cast("double") for x in (x0, y0, x1, y1))
+    ring = F.array(F.array(a, b), F.array(c, b), F.array(c, d), F.array(a, d), F.array(a, b))
+    return F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates"))
+
+
+def run_detail(runs: DataFrame, log: DataFrame, areas: DataFrame, methodologies: DataFrame) -> DataFrame:
+    """One row per run: its header with names, and its progress."""
+    out = runs.join(areas.select(F.col("id").alias("aoi_id"), F.col("name").alias("area")), "aoi_id", "left")
+    out = out.join(methodologies.select(F.col("id").alias("methodology_id"), F.col("name").alias("methodology")), "methodology_id", "left")
+    progress = run_progress(log).withColumnRenamed("run_id", "id")
+    lines = log.groupBy(F.col("run_id").alias("id")).agg(F.count("*").alias("lines"))
+    return out.join(progress, "id", "left").join(lines, "id", "left").na.fill(0, ["exported", "failed", "lines"])
+
+
+def event_detail(features: DataFrame, context: DataFrame, lines: DataFrame, reviews: DataFrame) -> DataFrame:
+    """One row per event: its feature, and its context, timeline and reviews as ordered lists."""
+    near = context.groupBy("event_id").agg(F.sort_array(F.collect_list(F.struct("place", "relation", "layer", "name"))).alias("context"))
+    time = lines.groupBy("event_id").agg(F.sort_array(F.collect_list(F.struct("observed_at", "candidate_id", "path"))).alias("timeline"))
+    said = reviews.groupBy("event_id").agg(F.sort_array(F.collect_list(F.struct("id", "opinion")), asc=False).alias("reviews"))
+    out = features
+    for table in (near, time, said):
+        out = out.join(table, "event_id", "left")
+    return out
+
+
+def lineage_looks(events: DataFrame, observations: DataFrame, rasters: DataFrame, methodologies: DataFrame, index: str = "NBR") -> DataFrame:
+    """Per event, the rasters of one index and of its own lineage over its area, in order of time.
+
+    Rasters meet events by area and lineage; ``methodologies`` (id, lineage_id) is a small registry.
+    """
+    own = events.select(F.col("id").alias("event_id"), "aoi_id", "methodology_id").join(F.broadcast(methodologies.select(F.col("id").alias("methodology_id"), "lineage_id")), "methodology_id")
+    looks = rasters.where(F.col("index_type") == index).select("observation_id", "lineage_id").join(observations.select(F.col("id").alias("observation_id"), "aoi_id", "acquired_at"), "observation_id")
+    line = looks.groupBy("aoi_id", "lineage_id").agg(F.sort_array(F.collect_list(F.struct("acquired_at", "observation_id"))).alias("looks"))
+    return own.join(line, ["aoi_id", "lineage_id"], "left").select("event_id", "looks")

@@ -79,6 +79,7 @@ VIEWS = {
         SELECT id, id AS observation_id, CAST(1 + id % 2 AS BIGINT) AS lineage_id,
                concat(CAST(aoi_id AS VARCHAR(20)), '-area/delta_nbr/', CAST(CAST(acquired_at AS DATE) AS VARCHAR(10)), '/', source_scene_id, '.tif') AS path
         FROM optical WHERE id % 4 > 0""",
+    "extraction": "SELECT id AS change_raster_id, CAST(1 + id % 2 AS BIGINT) AS methodology_id FROM change_raster WHERE id % 6 > 0",
     "raster_file": "SELECT path, 1000 + observation_id % 977 AS bytes FROM (SELECT path, observation_id FROM index_raster UNION ALL SELECT path, observation_id FROM change_raster) AS u WHERE observation_id % 5 > 0",
 }
 

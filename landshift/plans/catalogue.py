@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from landshift.plans import events, imagery, reports
+from landshift.plans import events, imagery, reports, upkeep
 
-QUERIES: dict = {**imagery.QUERIES, **events.QUERIES, **reports.QUERIES}
-ORACLES: dict = {**imagery.ORACLES, **events.ORACLES, **reports.ORACLES}
+QUERIES: dict = {**imagery.QUERIES, **events.QUERIES, **reports.QUERIES, **upkeep.QUERIES}
+ORACLES: dict = {**imagery.ORACLES, **events.ORACLES, **reports.ORACLES, **upkeep.ORACLES}

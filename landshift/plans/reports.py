@@ -57,11 +57,11 @@ def event_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    SELECT r.id, r.aoi_id, r.started_at, r.status, r.methodology_id, r.geometry_hash, (SELECT max(occurred_at) FROM run_event e WHERE e.run_id = r.id) AS last_event_at
-    FROM run r ORDER BY started_at DESC, r.id DESC LIMIT 20""")
+    SELECT r.id, r.aoi_id, r.started_at, r.status, r.methodology_id, r.geometry_hash, (SELECT max(occurred_at) FROM run_event e WHERE e.run_id = r.id) AS last_event_at, m.name AS methodology
+    FROM run r LEFT JOIN methodology m ON m.id = r.methodology_id ORDER BY started_at DESC, r.id DESC LIMIT 20""")
 def recent_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = Domain(spark, sf_dir)
-    return views.recent_runs(d.run, d.run_event)
+    return views.recent_runs(d.run, d.run_event, d.methodology)
 
 
 @query("""
@@ -158,10 +158,17 @@ def latest_opinions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
     SELECT a.id AS aoi_id, a.name, (SELECT count(*) FROM observation o WHERE o.aoi_id = a.id) AS observations, (SELECT count(*) FROM candidate c WHERE c.aoi_id = a.id) AS candidates,
            (SELECT count(*) FROM event e WHERE e.aoi_id = a.id) AS events, (SELECT count(*) FROM run r WHERE r.aoi_id = a.id) AS runs,
-           (SELECT count(*) FROM index_raster i JOIN observation o ON o.id = i.observation_id WHERE o.aoi_id = a.id) AS rasters FROM aoi a""")
+           (SELECT count(*) FROM index_raster i JOIN observation o ON o.id = i.observation_id WHERE o.aoi_id = a.id) AS rasters,
+           (SELECT count(*) FROM change_raster i JOIN observation o ON o.id = i.observation_id WHERE o.aoi_id = a.id) AS changes,
+           (SELECT count(*) FROM event_observation m JOIN event e ON e.id = m.event_id WHERE e.aoi_id = a.id) AS measurements,
+           (SELECT count(*) FROM assessment m JOIN event e ON e.id = m.event_id WHERE e.aoi_id = a.id) AS assessments,
+           (SELECT count(*) FROM review m JOIN event e ON e.id = m.event_id WHERE e.aoi_id = a.id) AS reviews FROM aoi a""")
 def area_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = Domain(spark, sf_dir)
-    return views.inventory(d.aoi, d.observation, d.candidate, d.event, d.index_raster, d.run)
+    place, of = d.observation.select(F.col("id").alias("observation_id"), "aoi_id"), d.event.select(F.col("id").alias("event_id"), "aoi_id")
+    rasters, changes = (t.select("observation_id").join(place, "observation_id") for t in (d.index_raster, d.change_raster))
+    hanging = {n: t.select("event_id").join(of, "event_id") for n, t in (("measurements", d.event_observation), ("assessments", d.assessment), ("reviews", d.review))}
+    return views.inventory(d.aoi, {"observations": d.observation, "candidates": d.candidate, "events": d.event, "runs": d.run, "rasters": rasters, "changes": changes, **hanging})
 
 
 @query("""

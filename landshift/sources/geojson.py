@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from landshift.functions.geometry import polygon_problem
 from landshift.functions.text import kind_and_name, last_segment
 
 KINDS = ("concession", "plantation", "road", "river", "mill", "settlement", "protected_area", "other")
@@ -20,7 +23,8 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """One row per feature: path, geometry_type, coordinates (JSON), properties (map), problem (null if none)."""
+    """One row per feature: path, geometry_type, coordinates (JSON), properties (map), problem (null if none); polygons
+    are looked over for open rings and crossings."""
     doc = docs.withColumn("doc", F.from_json("text", _DOCUMENT))
     one = F.when(F.col("doc.type") == "Feature", F.array(F.col("text"))).when(F.col("doc.type") == "FeatureCollection", F.col("doc.features"))
     rows = doc.select("path", F.col("doc.crs").alias("crs"), F.col("doc.type").alias("kind"), F.posexplode_outer(one).alias("place", "feature"))
@@ -32,6 +36,8 @@ def features(docs: DataFrame) -> DataFrame:
         .when(F.col("crs").isNotNull() & ~F.coalesce(name.isin(*WORLD), F.lit(False)), "not in WGS84")
         .when(F.col("g.type").isNull() | F.col("g.coordinates").isNull() | F.regexp_replace("g.coordinates", r"[\[\]\s,]", "").eqNullSafe(""), "no geometry")
     )
+    shape = F.when(problem.isNull() & F.col("g.type").isin("Polygon", "MultiPolygon"), F.col("g.coordinates"))
+    problem = F.coalesce(problem, F.when(shape.isNotNull(), polygon_problem(shape)))
     return rows.select("path", F.col("place").cast("long").alias("place"), F.col("g.type").alias("geometry_type"), F.col("g.coordinates").alias("coordinates"), F.from_json("f.properties", "map<string,string>").alias("properties"), problem.alias("problem"))
 
 
@@ -53,7 +59,7 @@ def harvested(docs: DataFrame) -> DataFrame:
     ok = F.coalesce(F.col("layer.kind").isin(*KINDS), F.lit(False))
     found = features(named.where(ok)).join(named.where(ok).select(F.col("path").alias("l_path"), "layer"), F.col("path") == F.col("l_path")).drop("l_path")
     bad = named.where(~ok).select("path", F.lit(None).cast("long").alias("place"), F.lit(None).cast("string").alias("geometry_type"), F.lit(None).cast("string").alias("coordinates"), F.lit(None).cast("map<string,string>").alias("properties"), F.lit("file name").alias("problem"), "layer")
-    return found.unionByName(bad).select("path", F.col("layer.kind").alias("kind"), F.col("layer.name").alias("name"), "place", "geometry_type", "coordinates", "properties", "problem")
+    return found.unionByName(bad).select("path", F.col("layer.kind").alias("kind"), F.col("layer.name").alias("name"), "place", "geometry_type", "coordinates", "properties", "problem").orderBy("path", "place")
 
 
 def points(rows: DataFrame, coordinates: str = "coordinates") -> DataFrame:
@@ -66,3 +72,19 @@ def points(rows: DataFrame, coordinates: str = "coordinates") -> DataFrame:
 def feature_json(geometry, properties):
     """A GeoJSON feature as text, from a struct or JSON geometry column and a map or struct of properties."""
     return F.to_json(F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), properties.alias("properties")))
+
+
+def feature_collection(features: DataFrame, feature: str = "feature", *order: str) -> DataFrame:
+    """One row: the features (JSON texts) as a collection, in the given order. For what a report shows, not for whole tables."""
+    listed = F.transform(F.sort_array(F.collect_list(F.struct(*order, feature))), lambda x: x[feature])
+    return features.agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(listed, ","), F.lit("]}")).alias("collection"))
+
+
+def area_from_bounds(west: float, south: float, east: float, north: float, name: str) -> str:
+    """A GeoJSON feature of a named box; bounds out of range or the wrong way round are errors."""
+    if not name.strip():
+        raise ValueError("an area needs a name")
+    if not (-180 <= west < east <= 180 and -90 <= south < north <= 90):
+        raise ValueError("bounds must be west < east and south < north, in degrees")
+    ring = [[west, south], [east, south], [east, north], [west, north], [west, south]]
+    return json.dumps({"type": "Feature", "properties": {"name": name.strip()}, "geometry": {"type": "Polygon", "coordinates": [ring]}})

@@ -29,8 +29,13 @@ def eligible_radar(listing: DataFrame) -> DataFrame:
     return listing.where((F.try_element_at("properties", F.lit("instrumentMode")) == "IW") & F.coalesce(F.array_contains("polarisations", "VV"), F.lit(False)))
 
 
-def discovered(existing: DataFrame, scenes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """New rows to record, and one row of counts: discovered, recorded, skipped."""
+def by_id(scenes: DataFrame, *names: str) -> DataFrame:
+    """The scenes of these names; the names reach the scan."""
+    return scenes.where(F.col("source_scene_id").isin(*names))
+
+
+def discovered(existing: DataFrame, scenes: DataFrame, listing: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """New rows to record, and one row of counts: discovered (in the listing, eligible or not), recorded, skipped."""
     new = inserted(existing, scenes, "aoi_id", "source_scene_id")
-    counts = scenes.agg(F.count("*").alias("discovered")).crossJoin(new.agg(F.count("*").alias("recorded")))
+    counts = (scenes if listing is None else listing).agg(F.count("*").alias("discovered")).crossJoin(new.agg(F.count("*").alias("recorded")))
     return new, counts.withColumn("skipped", F.col("discovered") - F.col("recorded"))
