@@ -59,8 +59,12 @@ def patches(cells: DataFrame, tile: int = TILE) -> DataFrame:
 
 def patch_table(cells: DataFrame, value: str, cell_area_m2: float, min_area_m2: float = 0.0, tile: int = TILE) -> DataFrame:
     """One row per patch of at least the least area: scene, patch, cells, area, mean and least value, bounds."""
-    rows = patches(cells, tile).groupBy("scene", "patch")
-    out = rows.agg(
+    return patch_stats(patches(cells, tile), value, cell_area_m2, min_area_m2)
+
+
+def patch_stats(labelled: DataFrame, value: str, cell_area_m2: float, min_area_m2: float = 0.0) -> DataFrame:
+    """``patch_table`` of cells that have their patch."""
+    out = labelled.groupBy("scene", "patch").agg(
         F.count("*").alias("cells"), (F.count("*") * F.lit(cell_area_m2)).alias("area_m2"), F.avg(value).alias("delta_mean"), F.min(value).alias("delta_min"),
         F.min("row").alias("row_from"), F.max("row").alias("row_to"), F.min("col").alias("col_from"), F.max("col").alias("col_to"),
     )

@@ -402,3 +402,77 @@ def nearby_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     dx, dy = gap("x0", "x1"), gap("y0", "y1")
     arc = 30.0 * F.sqrt(F.pow(dx * F.cos(F.radians((F.col("l_y0") + F.col("l_y1")) / 7200.0)), 2) + F.pow(dy.cast("double"), 2))
     return pairs.where((dx <= 10) & (dy <= 10)).select(F.col("l_id").alias("event_id"), F.col("r_id").alias("feature_id"), F.round(arc, 3).alias("arc_seconds"))
+
+
+_RUN = """
+    every AS (SELECT * FROM observation WHERE acquired_at < TIMESTAMP '1998-01-01'),
+    ok AS (SELECT * FROM every WHERE id % 50 <> 7),
+    wanted AS (SELECT * FROM ok WHERE acquired_at >= TIMESTAMP '1997-01-01'),
+    opt AS (SELECT * FROM ok WHERE sensor <> 'S1GRD'), rad AS (SELECT * FROM ok WHERE sensor = 'S1GRD'),
+    looked AS (SELECT observation_id, pixel, b_nir, b_swir2, (fmask & 2) = 0 AND (fmask & 8) = 0 AND (fmask & 16) = 0 AND ((fmask >> 6) & 3) <> 3 AS clear FROM raw_pixel JOIN opt ON id = observation_id),
+    quality AS (SELECT observation_id, avg(CAST(clear AS INT)) AS fraction FROM looked GROUP BY observation_id),
+    nbr AS (SELECT observation_id, pixel, CASE WHEN clear AND b_nir + b_swir2 <> 0 THEN (b_nir - b_swir2) / (b_nir + b_swir2) END AS v FROM looked),
+    trail AS (SELECT a.id AS scene_id, b.id AS baseline_id, row_number() OVER (PARTITION BY a.id ORDER BY b.acquired_at DESC, b.id DESC) AS place
+              FROM opt a JOIN opt b ON a.aoi_id = b.aoi_id AND b.acquired_at < a.acquired_at WHERE a.acquired_at >= TIMESTAMP '1997-01-01' QUALIFY place <= 5),
+    echo AS (SELECT a.id AS scene_id, b.id AS baseline_id, row_number() OVER (PARTITION BY a.id ORDER BY b.acquired_at DESC, b.id DESC) AS place
+             FROM rad a JOIN rad b ON a.aoi_id = b.aoi_id AND a.orbit_direction = b.orbit_direction AND b.acquired_at < a.acquired_at WHERE a.acquired_at >= TIMESTAMP '1997-01-01' QUALIFY place <= 5),
+    base AS (SELECT scene_id, pixel, median(v) AS v FROM trail JOIN nbr ON observation_id = baseline_id GROUP BY scene_id, pixel),
+    rbase AS (SELECT scene_id, pixel, median(vv) AS v FROM echo JOIN raw_pixel ON observation_id = baseline_id GROUP BY scene_id, pixel),
+    hit AS MATERIALIZED (
+        SELECT 1 AS m, b.scene_id AS scene, (b.pixel - b.pixel % 4) // 4 AS row, b.pixel % 4 AS col FROM base b JOIN nbr n ON n.observation_id = b.scene_id AND n.pixel = b.pixel
+        JOIN forest_pixel f ON f.pixel = b.pixel AND treecover2000 >= 30 AND coalesce(lossyear, 0) = 0 WHERE n.v - b.v < -0.1
+        UNION ALL SELECT 2, b.scene_id, (b.pixel - b.pixel % 4) // 4, b.pixel % 4 FROM rbase b JOIN raw_pixel p ON p.observation_id = b.scene_id AND p.pixel = b.pixel WHERE p.vv - b.v < -0.45),
+    meet AS MATERIALIZED (SELECT a.scene, a.row * 4 + a.col AS u, b.row * 4 + b.col AS v FROM hit a JOIN hit b ON a.scene = b.scene AND abs(a.row - b.row) + abs(a.col - b.col) = 1),
+    spread AS (SELECT scene, row * 4 + col AS c, row * 4 + col AS seen FROM hit UNION SELECT w.scene, w.c, e.v FROM spread w JOIN meet e ON e.scene = w.scene AND e.u = w.seen),
+    label AS (SELECT scene, c, min(seen) AS patch FROM spread GROUP BY scene, c),
+    cand AS MATERIALIZED (SELECT h.scene * 1099511627776 + (patch - patch % 4) // 4 * 1048576 + patch % 4 AS id, m, o.aoi_id, h.scene, o.acquired_at AS seen_at, min(col) AS x0, min(row) AS y0, max(col) + 1 AS x1, max(row) + 1 AS y1
+             FROM hit h JOIN label l ON l.scene = h.scene AND l.c = h.row * 4 + h.col JOIN ok o ON o.id = h.scene GROUP BY ALL),
+    edge AS MATERIALIZED (SELECT a.id AS u, b.id AS v FROM cand a JOIN cand b ON a.aoi_id = b.aoi_id AND a.m = b.m AND (a.seen_at, a.id) > (b.seen_at, b.id) AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1),
+    walk AS (SELECT id, id AS seen FROM cand UNION SELECT w.id, e.v FROM walk w JOIN edge e ON e.u = w.seen),
+    track AS (SELECT w.id, arg_min(c.id, (c.seen_at, c.id)) AS event_id FROM walk w JOIN cand c ON c.id = w.seen GROUP BY w.id),
+    ev AS (SELECT event_id AS id, any_value(aoi_id) AS aoi_id, CAST(any_value(m) AS BIGINT) AS methodology_id, count(*) AS members, min(seen_at) AS first_detected_at, max(seen_at) AS last_detected_at, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1
+           FROM track t JOIN cand c ON c.id = t.id GROUP BY event_id),
+    state AS (SELECT *, CASE WHEN members = 1 THEN 'new' WHEN last_detected_at < TIMESTAMP '1998-01-15' - INTERVAL 90 DAY
+                AND EXISTS (SELECT 1 FROM opt o JOIN quality q ON q.observation_id = o.id WHERE o.aoi_id = ev.aoi_id AND o.acquired_at > ev.last_detected_at AND fraction >= 0.5) THEN 'resolved' ELSE 'ongoing' END AS status FROM ev)"""
+
+
+def _whole_run(spark: SparkSession, sf_dir: str):
+    """A year of scenes, with what earlier runs left: scenes known, rasters stored; some exports fail."""
+    from landshift.plans import run
+
+    d = Domain(spark, sf_dir)
+    since, until = datetime.datetime(1997, 1, 1), datetime.datetime(1998, 1, 1)
+    at = F.col("acquired_at")
+    every = d.observation.select("id", "aoi_id", "sensor", "orbit_direction", "acquired_at", "source_scene_id").where(at < F.lit(until))
+    grid = (F.floor(F.col("pixel") / 4).cast("long").alias("row"), (F.col("pixel") % 4).alias("col"))
+    pixels = d.raw_pixel.select("observation_id", *grid, F.col("b_red").alias("red"), F.col("b_nir").alias("nir"), F.col("b_swir2").alias("swir2"), "fmask", "vv")
+    forest = d.forest_pixel.where("pixel < 8").select(*grid, "treecover2000", "lossyear", "landcover")
+    files = d.raster_file.select("path")
+    stored = d.index_raster.join(files, "path", "left_semi").select("observation_id", F.col("index_type").alias("product"))
+    stored = stored.unionByName(d.change_raster.join(files, "path", "left_semi").select("observation_id", F.lit("delta_nbr").alias("product")))
+    stored = stored.unionByName(d.radar.where("id % 3 = 0").select(F.col("id").alias("observation_id"), F.lit("delta_vv_db").alias("product")))
+    features = d.context_feature.join(d.context_layer.select(F.col("id").alias("layer"), "kind"), F.col("layer_id") == F.col("layer")).select("id", "kind", "x0", "y0", "x1", "y1")
+    given = run.Inputs(every, every.where((at < F.lit(since)) | (F.col("id") % 9 == 0)), pixels, forest, stored, every.where("id % 50 = 7").select(F.col("id").alias("observation_id")), features)
+    p = run.Parameters(threshold=-0.1, vv_threshold=-0.45, min_area_m2=900.0, mask="hansen", context_m=600.0)
+    return run.run(given, since, until, F.lit(datetime.datetime(1998, 1, 15)), p)
+
+
+@query(f"""
+    WITH RECURSIVE {_RUN}, changed AS (SELECT DISTINCT scene_id FROM trail), echoed AS (SELECT DISTINCT scene_id FROM echo), seen AS (SELECT * FROM every WHERE acquired_at >= TIMESTAMP '1997-01-01'),
+    pair AS (SELECT a.id AS event_id, b.id AS feature_id, l.kind, sqrt(power(greatest(0, a.x0 - b.x1, b.x0 - a.x1), 2) + power(greatest(0, a.y0 - b.y1, b.y0 - a.y1), 2)) * 30 AS distance FROM ev a JOIN context_feature b ON true JOIN context_layer l ON l.id = b.layer_id)
+    SELECT (SELECT count(*) FROM seen) AS observations_discovered, (SELECT count(*) FROM seen WHERE id % 9 > 0) AS observations_recorded, (SELECT count(*) FROM seen WHERE id % 9 = 0) AS observations_skipped,
+           (SELECT 2 * count(*) FROM wanted WHERE sensor <> 'S1GRD') AS index_rasters, (SELECT count(*) FROM wanted w JOIN index_raster i ON i.observation_id = w.id JOIN raster_file f ON f.path = i.path) AS index_rasters_reused,
+           (SELECT 2 * count(*) FROM changed) AS change_rasters, (SELECT count(*) FROM changed w JOIN change_raster i ON i.observation_id = w.scene_id JOIN raster_file f ON f.path = i.path) AS change_rasters_reused,
+           (SELECT count(*) FROM echoed) AS radar_change_rasters, (SELECT count(*) FROM echoed WHERE scene_id % 3 = 0) AS radar_change_rasters_reused,
+           (SELECT count(*) FROM cand WHERE m = 1) AS candidates, (SELECT count(*) FROM cand WHERE m = 2) AS radar_candidates, (SELECT count(*) FROM ev) AS events_created, (SELECT count(*) FROM track) AS event_observations,
+           (SELECT count(*) FROM seen WHERE id % 50 = 7) AS export_failures, (SELECT count(*) FROM state WHERE status = 'resolved') AS events_resolved, (SELECT count(*) FROM ev) AS confidence_assessments,
+           (SELECT count(*) FROM pair WHERE distance = 0) + (SELECT count(*) FROM (SELECT DISTINCT event_id, kind FROM pair WHERE distance > 0 AND distance <= 600) q) AS context_relations""")
+def full_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counters of a whole run."""
+    return _whole_run(spark, sf_dir).summary
+
+
+@query(f"WITH RECURSIVE {_RUN} SELECT id, aoi_id, methodology_id, status, members, first_detected_at, last_detected_at, CAST(x0 AS BIGINT) AS x0, CAST(y0 AS BIGINT) AS y0, CAST(x1 AS BIGINT) AS x1, CAST(y1 AS BIGINT) AS y1 FROM state")
+def full_run_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of a whole run."""
+    return _whole_run(spark, sf_dir).events.select("id", "aoi_id", "methodology_id", "status", "members", "first_detected_at", "last_detected_at", "x0", "y0", "x1", "y1")

@@ -1,3 +1,4 @@
+import dataclasses
 import datetime
 
 import pytest
@@ -49,11 +50,24 @@ def test_a_whole_run(spark):
                 burnt = i >= 6 and 3 <= r < 7 and 3 <= c < 7
                 cloud = 2 if i == 5 and r < 2 else 0
                 pixels.append((i, r, c, 0.1, 0.2 if burnt else 0.6, 0.5 if burnt else 0.2, cloud))
-    scenes.append((99, 1, "S1GRD", day(1)))
-    s = spark.createDataFrame(scenes, "id long, aoi_id long, sensor string, acquired_at timestamp")
-    p = spark.createDataFrame(pixels, "observation_id long, row long, col long, red double, nir double, swir2 double, fmask int")
-    out = runs.run(s, p, day(25), day(60), F.lit(day(36)))
-    assert out.summary.first().asDict() == {"scenes": 3, "hits": 32, "candidates": 2, "events": 1, "resolved": 0}
-    event = out.events.first()
-    assert (event.status, event.members, event.x0, event.x1, event.missing) == ("ongoing", 2, 3, 7, "agreement,stability")
+    for i in range(3):
+        scenes.append((90 + i, 1, "S1GRD", day(20 + i * 5)))
+        pixels += [(90 + i, r, c, None, None, None, None, -14.0 if i == 2 and 3 <= r < 7 and 3 <= c < 7 else -9.0) for r in range(12) for c in range(12)]
+    pixels = [x if len(x) == 8 else (*x, None) for x in pixels]
+    listing = [(i, a, s, "ASCENDING" if s == "S1GRD" else None, t, f"s{i}") for i, a, s, t in scenes]
+    df = spark.createDataFrame(listing, "id long, aoi_id long, sensor string, orbit_direction string, acquired_at timestamp, source_scene_id string")
+    p = spark.createDataFrame(pixels, "observation_id long, row long, col long, red double, nir double, swir2 double, fmask int, vv double")
+    given = runs.Inputs(df, df.where("id < 5 OR id = 90"), p, failed=df.where("id = 5").select(df.id.alias("observation_id")), features=spark.createDataFrame([(1, "road", 0, 0, 3, 9), (2, "mill", 50, 50, 60, 60)], "id long, kind string, x0 long, y0 long, x1 long, y1 long"))
+    out = runs.run(given, day(25), day(60), F.lit(day(36)))
+    got = out.summary.first().asDict()
+    assert got == {
+        "observations_discovered": 5, "observations_recorded": 5, "observations_skipped": 0, "index_rasters": 4, "index_rasters_reused": 0, "change_rasters": 4, "change_rasters_reused": 0, "radar_change_rasters": 2,
+        "radar_change_rasters_reused": 0, "candidates": 2, "radar_candidates": 1, "events_created": 2, "event_observations": 3, "export_failures": 1, "events_resolved": 0, "confidence_assessments": 2, "context_relations": 4,
+    }
+    event = out.events.where("methodology_id = 1").first()
+    assert (event.status, event.members, event.x0, event.x1, event.agreement, event.state, event.missing) == ("ongoing", 2, 3, 7, 1.0, "persistent", "")
     assert {r.area_m2 for r in out.candidates.collect()} == {14400.0}
+    assert sorted(tuple(r) for r in out.markers.collect()) == [(6, 1), (7, 1), (91, 2), (92, 2)]
+    again = runs.run(dataclasses.replace(given, known=df, stored=out.rasters.select("observation_id", "product"), history=out.assessments.select(F.col("event_id").alias("id"), "event_id", F.lit("v3").alias("rule_version"), "level", "score")), day(25), day(60), F.lit(day(36)))
+    second = again.summary.first().asDict()
+    assert (second["observations_recorded"], second["index_rasters_reused"], second["change_rasters_reused"], second["radar_change_rasters_reused"], second["confidence_assessments"]) == (0, 4, 4, 2, 0)
