@@ -154,13 +154,13 @@ def hits_in_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     edge AS MATERIALIZED (SELECT a.scene, a.c AS u, b.c AS v FROM hit a JOIN hit b ON a.scene = b.scene AND abs(a.row - b.row) + abs(a.col - b.col) = 1),
     walk AS (SELECT scene, c, c AS seen FROM hit UNION SELECT w.scene, w.c, e.v FROM walk w JOIN edge e ON e.scene = w.scene AND e.u = w.seen),
     label AS (SELECT scene, c, min(seen) AS patch FROM walk GROUP BY scene, c)
-    SELECT h.scene, count(*) AS cells, count(*) * 900.0 AS area_m2, round(avg(delta), 6) AS delta_mean, round(min(delta), 6) AS delta_min, min(row) AS row_from, max(row) AS row_to, min(col) AS col_from, max(col) AS col_to
+    SELECT h.scene, count(*) AS cells, count(*) * 900.0 AS area_m2, round(avg(delta), 9) AS delta_mean, round(min(delta), 6) AS delta_min, min(row) AS row_from, max(row) AS row_to, min(col) AS col_from, max(col) AS col_to
     FROM hit h JOIN label l ON l.scene = h.scene AND l.c = h.c GROUP BY h.scene, patch HAVING count(*) * 900.0 >= 1800""".replace("900.0 AS", "900.0E0 AS"))
 def patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """4-connected patches of hits with their statistics; tiles are small here so that patches cross them."""
     hits = raster.hits(Domain(spark, sf_dir).cell, "delta", -0.2541)
     out = components.patch_table(hits, "delta", 900.0, 1800.0, tile=16)
-    return out.select("scene", "cells", "area_m2", F.round("delta_mean", 6).alias("delta_mean"), F.round("delta_min", 6).alias("delta_min"), "row_from", "row_to", "col_from", "col_to")
+    return out.select("scene", "cells", "area_m2", F.round("delta_mean", 9).alias("delta_mean"), F.round("delta_min", 6).alias("delta_min"), "row_from", "row_to", "col_from", "col_to")
 
 
 @query("""
