@@ -146,6 +146,8 @@ def weights(docs: DataFrame, settings: Settings) -> Weights:
     found = _counted(docs, settings, hot).where(F.col("n") >= least).toArrow()
     h, df = found.column("h").to_numpy().view(np.uint64), found.column("n").to_numpy()
     order = np.argsort(h)
+    hot = np.zeros(DF_BUCKETS, bool)
+    hot[h >> _BUCKET] = True
     rare = np.log(min(least, documents) / documents) or -1.0
     idf = LEAST_IDF + (1 - LEAST_IDF) * np.log(np.minimum(df, documents) / documents) / rare
     return Weights(h[order], np.clip(idf, LEAST_IDF, 1)[order], hot)

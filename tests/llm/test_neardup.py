@@ -171,6 +171,13 @@ def test_weights_and_similarities_by_definition(spark):
     assert not neardup.block_similarities(own, 5, _enc("", " "), _enc("a b")).any()
 
 
+def test_full_buckets_without_a_frequent_shingle(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "FREQUENT", 2)
+    own = neardup.weights(_df(spark, [(1, "a b c d e"), (2, "f g h i j"), (3, "k l m n o")]), neardup.Settings())
+    assert not len(own.hashes) and not own.hot.any()
+    assert list(own.levels(np.array([5, 1 << 60], np.uint64), np.array([1, 1]))) == [7, 7]
+
+
 def test_words_that_sums_of_powers_confuse():
     turn = "a"
     while len(turn) < 4096:
