@@ -37,18 +37,23 @@ def _remainder(n: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
 
 
+def _held_out(n: int, at: int):
+    """Whether a row was not learned from; one without an id never is."""
+    return F.coalesce(_remainder(n) == at, F.lit(True)).alias("held_out")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = langid.learned(docs.where(_remainder(3) != 1).select("text", "lang"))
     found = langid.predicted(docs.select("doc_id", "text"), model)
-    return found.select("doc_id", (_remainder(3) == 1).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", _held_out(3, 1), "lang_pred", "score")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = _table(spark, sf_dir, "labels").where(_remainder(5) != 0)
     found = quality.scored(docs, quality.learned(docs, labels))
-    return found.select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return found.select("doc_id", _held_out(5, 0), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,7 +116,8 @@ _OP4_SQL = (
 )
 
 _OP10_SQL = r"""
-    WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS words FROM documents),
+    WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS words FROM documents),
     win AS (SELECT doc_id, p, array_to_string(words[p:p+19], ' ') AS k FROM d, LATERAL (SELECT unnest(range(1, len(words) - 18)) AS p) q),
     again AS (SELECT doc_id, p FROM win QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, p) > 1),
     gone AS (SELECT DISTINCT doc_id, p + i AS p FROM again, range(0, 20) r(i)),

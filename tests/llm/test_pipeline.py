@@ -70,3 +70,15 @@ def test_tokens_of_the_whole_run(spark, tables):
 def test_an_empty_table_runs_through(spark, tables, tmp_path):
     spark.read.parquet(f"{tables[0]}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_long_texts_shared_and_missing_ids(spark, tmp_path):
+    rng = random.Random(2)
+    say = lambda n, lang="en": " ".join(rng.choice(WORDS[lang]) + str(rng.randint(0, 9999)) for _ in range(n))
+    same = say(60)
+    rows = [(1, say(120_000), "en", "a"), (2, say(50), "en", "a"), (2, say(50), "fr", None), (None, say(50), "en", "b"), (None, same, "en", "b"), (7, same, "en", "a"), (8, "x" * 300_000, "en", "a"), *((10 + i, say(40), "en", "a") for i in range(20))]
+    spark.createDataFrame([(i, t, lang, s, len(t)) for i, t, lang, s in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kept = corpus_pipeline.exact_dedup(spark, docs, str(tmp_path))
+    assert kept.count() == len(rows) - 1 and sum(r.text == same for r in kept.collect()) == 1
+    assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} <= {r[0] for r in rows}
