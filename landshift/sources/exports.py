@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from landshift.sources.shared import _delete, folders
+
 MARGIN_DAYS = 14
 
 
@@ -35,6 +39,19 @@ def prune_report(listing: DataFrame, cutoff) -> DataFrame:
     return rows.agg(F.count_if(old).alias("pruned"), F.coalesce(F.sum(F.when(old, F.col("bytes"))), F.lit(0)).alias("pruned_bytes"), F.count_if(~old).alias("kept"), F.count_if(day.isNull()).alias("unrecognized"))
 
 
+def pruned(spark: SparkSession, path: str, before) -> list[str]:
+    """Drop the partitions of ``write_rasters`` that are older than a date; those without a date stay. Returns what went.
+
+    Only names of partitions pass through the driver, never rows."""
+    gone = []
+    for folder in folders(spark, f"{path}/aoi=*/product=*/date=*"):
+        day = folder.rsplit("date=", 1)[1]
+        if re.fullmatch(r"\d{4}-\d{2}-\d{2}", day) and day < str(before):
+            _delete(spark, folder)
+            gone.append(folder)
+    return gone
+
+
 def missing_report(cataloged: DataFrame, listing: DataFrame, warn_at: float = 0.5) -> DataFrame:
     """One row: cataloged paths, those without a file, their share, and whether that is a wholesale miss."""
     gone = cataloged.join(listing.select("path").distinct(), "path", "left_anti").agg(F.count("*").alias("missing"))

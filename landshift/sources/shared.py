@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; where that is unset (tests, one machine), a new one."""
+    """The folder named in ``spark.checkpoint.dir``; where that is unset on one machine, a new one. On a cluster, whose
+    executors would not see such a folder, that is an error."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         place = tempfile.mkdtemp(prefix="landshift-")
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")
@@ -29,10 +33,58 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def resumed(make: Callable[[], DataFrame], path: str, spark: SparkSession) -> DataFrame:
+    """The table at ``path``; made and written first unless an earlier run has finished it. So a run that was cut off
+    goes on after its last finished stage."""
+    if not _exists(spark, f"{path}/_SUCCESS"):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def published(df: DataFrame, path: str, keep: int = 2) -> DataFrame:
+    """``df`` as the next state of the catalog table at ``path``, which may be what ``df`` reads: a version of its own is
+    written beside those before, the oldest go. ``current`` reads the newest that is whole."""
+    spark = df.sparkSession
+    held = _versions(spark, path)
+    to = f"{path}/version={(held[-1] + 1) if held else 1:08d}"
+    df.write.mode("overwrite").parquet(to)
+    for old in held[: max(0, len(held) + 1 - keep)]:
+        _delete(spark, f"{path}/version={old:08d}")
+    return spark.read.schema(df.schema).parquet(to)
+
+
+def current(spark: SparkSession, path: str) -> DataFrame | None:
+    """The newest finished state of a catalog table, or None before the first."""
+    held = _versions(spark, path)
+    return spark.read.parquet(f"{path}/version={held[-1]:08d}") if held else None
+
+
+def _system(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    system, where = _system(spark, path)
+    return system.exists(where)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    system, where = _system(spark, path)
+    system.delete(where, True)
+
+
+def folders(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match a pattern, in order; none if there are none."""
+    system, where = _system(spark, pattern)
+    return sorted(s.getPath().toString() for s in system.globStatus(where) or [])
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    return [int(p.rsplit("/", 2)[1].removeprefix("version=")) for p in folders(spark, f"{path}/version=*/_SUCCESS")]
+
+
 def removed(df: DataFrame) -> None:
     """Delete the files behind a table of ``written`` that no later plan reads."""
-    spark = df.sparkSession
-    jvm = spark._jvm
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, folder)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from landshift.operators.catalog import inserted
+from landshift.sources.shared import folders
 
 
 def recorded_once(scenes: DataFrame, late: str = "30 days") -> DataFrame:
@@ -21,14 +22,10 @@ def into_catalog(scenes: DataFrame, path: str, checkpoint: str, then: Callable[[
 
     def record(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        kept = batch
-        try:
+        kept = batch.dropDuplicates(["aoi_id", "source_scene_id"])
+        if folders(spark, f"{path}/batch=*"):
             known = spark.read.parquet(path).where(f"batch < {number}").drop("batch")
             kept = inserted(known, batch, "aoi_id", "source_scene_id")
-        except Exception as e:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            kept = batch.dropDuplicates(["aoi_id", "source_scene_id"])
         kept.write.mode("overwrite").parquet(f"{path}/batch={number}")
         if then:
             then(spark.read.parquet(path), number)

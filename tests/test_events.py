@@ -52,6 +52,42 @@ def test_tracking_as_by_a_plain_loop(spark, seed):
     assert _tracked(spark, rows) == _brute(rows)
 
 
+@pytest.mark.parametrize("seed", [3, 4])
+def test_late_candidates_as_by_a_plain_loop(spark, seed):
+    """Existing members stay; new ones come after them in the order of detection, late ones among them."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(260):
+        x, y = rng.randint(0, 250), rng.randint(0, 250)
+        rows.append((i, 1, rng.randint(1, 2), DAY(rng.randint(0, 30)), x, y, x + rng.randint(1, 25), y + rng.randint(1, 25)))
+    old, new = rows[:200], rows[200:]
+    event = _brute(old)
+    first = {e: min(r[3] for r in old if event[r[0]] == e) for e in set(event.values())}
+    key, held = {e: (at, e) for e, at in first.items()}, [(r, event[r[0]]) for r in old]
+    want = {}
+    for c in sorted(new, key=lambda r: (r[3], r[0])):
+        met = {e for m, e in held if _touch(c, m)}
+        want[c[0]] = min(met, key=key.get) if met else c[0]
+        key.setdefault(want[c[0]], (c[3], c[0]))
+        held.append((c, want[c[0]]))
+    members = spark.createDataFrame([(e, c) for c, e in event.items()], "event_id long, candidate_id long")
+    got = tracking.extended(spark.createDataFrame(old, SCHEMA), members, spark.createDataFrame(new, SCHEMA))
+    assert {r.candidate_id: r.event_id for r in got.collect()} == want
+
+
+def test_a_long_chain_is_one_event(spark):
+    rows = [(i, 1, 1, DAY(i), i * 10, 0, i * 10 + 10, 5) for i in range(60)]
+    assert set(_tracked(spark, rows).values()) == {0}
+
+
+def test_looks_are_counted_to_the_instant(spark):
+    at = lambda d, h: DAY(d) + datetime.timedelta(hours=h)
+    looks = [(1, "radar", at(d, h)) for d, h in ((3, 1), (3, 9), (3, 9), (8, 0), (20, 12))]
+    spans = [(1, at(3, 1), at(3, 9)), (2, at(3, 2), at(8, 0)), (3, at(4, 0), at(7, 23)), (4, at(-9, 0), at(90, 0)), (5, at(30, 0), at(40, 0)), (6, at(-9, 0), at(-8, 0)), (7, at(20, 13), at(21, 0))]
+    got = confidence._looks_within(spark.createDataFrame([(i, 1, "radar", a, b) for i, a, b in spans], "id long, aoi_id long, kind string, from_at timestamp_ntz, to_at timestamp_ntz"), spark.createDataFrame(looks, "aoi_id long, kind string, acquired_at timestamp_ntz"))
+    assert {r.id: r.other_observations for r in got.collect()} == {i: sum(a <= t <= b for _, _, t in looks) for i, a, b in spans}
+
+
 def test_box_pairs_as_by_brute_force(spark):
     rng = random.Random(5)
     rows = [(i, rng.randint(0, 1), x, y, x + rng.randint(0, 200), y + rng.randint(0, 90)) for i, (x, y) in enumerate((rng.randint(-500, 500), rng.randint(-500, 500)) for _ in range(150))]

@@ -1,12 +1,14 @@
 import datetime
+import hashlib
 import json
+import struct
 
 import pytest
 from pyspark.sql import functions as F
 
-from landshift.functions import hashes
+from landshift.functions import hashes, text
 from landshift.operators import catalog
-from landshift.sources import exports, geojson, overrides, scenes
+from landshift.sources import exports, geojson, overrides, scenes, shared
 from landshift.streaming import ingest
 
 
@@ -134,3 +136,77 @@ def test_streamed_scenes_are_recorded_once(spark, tmp_path):
         stream = ingest.recorded_once(spark.readStream.schema(schema).parquet(source))
         ingest.into_catalog(stream, out, check).awaitTermination()
     assert sorted((r.aoi_id, r.source_scene_id) for r in spark.read.parquet(out).collect()) == [(1, "a"), (1, "b"), (2, "a")]
+
+
+def test_partitions_are_pruned_by_date(spark, tmp_path):
+    path = str(tmp_path / "rasters")
+    exports.write_rasters(spark.createDataFrame([("a", "nbr", d, 1.0) for d in ("2026-01-01", "2026-02-01", "soon")], "aoi string, product string, date string, value double"), path)
+    assert [p.rsplit("/", 1)[1] for p in exports.pruned(spark, path, datetime.date(2026, 1, 15))] == ["date=2026-01-01"]
+    assert sorted(r.date for r in spark.read.option("inferSchema", False).parquet(path).select(F.col("date").cast("string")).collect()) == ["2026-02-01", "soon"]
+
+
+def test_a_catalog_table_is_read_and_replaced(spark, tmp_path):
+    path = str(tmp_path / "table")
+    assert shared.current(spark, path) is None
+    shared.published(spark.range(3), path)
+    for _ in range(3):  # what is written may be what is read
+        shared.published(shared.current(spark, path).withColumn("id", F.col("id") + 1), path)
+    assert sorted(r.id for r in shared.current(spark, path).collect()) == [3, 4, 5]
+    assert len(shared.folders(spark, f"{path}/version=*")) == 2
+
+
+def test_a_stage_that_was_finished_is_not_made_again(spark, tmp_path):
+    made = []
+
+    def make():
+        made.append(1)
+        return spark.range(2)
+
+    path = str(tmp_path / "stage")
+    assert shared.resumed(make, path, spark).count() == shared.resumed(make, path, spark).count() == 2 and len(made) == 1
+    (tmp_path / "stage" / "_SUCCESS").unlink()  # cut off while it was written
+    assert shared.resumed(make, path, spark).count() == 2 and len(made) == 2
+
+
+def test_dates_are_utc_in_any_zone(spark):
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Pacific/Guadalcanal")
+        row = spark.sql("SELECT TIMESTAMP '2026-01-02 03:00:00 UTC' AS z, TIMESTAMP_NTZ '2026-01-02 03:00:00' AS n").select(text.utc_date(F.col("z")), text.stamp(F.col("z")), text.stamp(F.col("n"))).first()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert row[:] == ("2026-01-02", "2026-01-02T03:00:00Z", "2026-01-02T03:00:00Z")
+
+
+def test_paths_forms_orbits_and_settings(spark):
+    rows = [("./a//b/./c", "a/b/c"), ("x/../a/b", "a/b"), ("/a/b", "/a/b"), ("../a", "../a")]
+    got = spark.createDataFrame(rows, "path string, want string").select(text.canonical_path(F.col("path")).alias("got"), "want").collect()
+    assert all(r.got == r.want for r in got), got
+    assert spark.range(1).select(text.known_orbit(F.lit("ASCENDING")), text.known_orbit(F.lit(None).cast("string"))).first()[:] == ("ASCENDING", None)
+    with pytest.raises(Exception, match="unknown orbit direction"):
+        spark.range(1).select(text.known_orbit(F.concat(F.lit("SIDE"), F.col("id").cast("string")))).collect()
+    overrides.in_order({"LOW": "1", "HIGH": "2"}, "LOW", "HIGH")
+    with pytest.raises(ValueError, match="LOW must not be above HIGH"):
+        overrides.in_order({"LOW": "3", "HIGH": "2"}, "LOW", "HIGH")
+
+
+def test_geometry_hashes_and_shapes(spark):
+    square, turned, other = "[[[0,0],[1,0],[1,1],[0,1],[0,0]]]", "[[[1,1],[1,0],[0,0],[0,1],[1,1]]]", "[[[0,0],[2,0],[2,1],[0,1],[0,0]]]"
+    df = spark.createDataFrame([(square,), (f"[{square}]",), (turned,), (other,), (None,)], "c string").coalesce(1)
+    rows = df.select(hashes.geometry_hash("c"), hashes.canonical_shape("c")).collect()
+    ring = b"".join(struct.pack("<dd", *p) for p in ((0, 0), (1, 0), (1, 1), (0, 1), (0, 0)))
+    wkb = struct.pack("<BIIBIII", 1, 6, 1, 1, 3, 1, 5) + ring
+    assert rows[0][0] == rows[1][0] == hashlib.sha256(wkb).hexdigest()[:12] != rows[2][0]
+    assert rows[0][1] == rows[1][1] == rows[2][1] != rows[3][1] and rows[4][:] == (None, None)
+
+
+def test_area_from_bounds():
+    doc = json.loads(geojson.area_from_bounds(159, -10, 160.5, -9, " north "))
+    assert doc["properties"]["name"] == "north" and doc["geometry"]["coordinates"][0][2] == [160.5, -9]
+    for bad in ((160, -10, 159, -9, "x"), (159, -10, 160, -10, "x"), (159, -91, 160, -9, "x"), (159, -10, 160, -9, " ")):
+        with pytest.raises(ValueError):
+            geojson.area_from_bounds(*bad)
+
+
+def test_crossing_areas_are_told(spark, tmp_path):
+    (tmp_path / "a.geojson").write_text(json.dumps({"type": "Feature", "properties": {"name": "x"}, "geometry": {"type": "Polygon", "coordinates": [[[0, 0], [1, 1], [1, 0], [0, 1], [0, 0]]]}}))
+    assert geojson.areas(geojson.documents(spark, str(tmp_path))).first().problem == "crosses itself"
