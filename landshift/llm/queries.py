@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landshift.llm import divergence, exactdup, images, langid, mixing, neardup, pieces, quality, secrets, substrings, warc
+from landshift.llm import alignment, divergence, exactdup, images, langid, mixing, neardup, pieces, quality, secrets, substrings, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,7 +73,12 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergences(_table(spark, sf_dir, "documents"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
+    "op12_alignment": op12_alignment,
     "op11_divergence": op11_divergence,
     "op6_image_copies": op6_image_copies,
     "op3_near_dedup": op3_near_dedup,
