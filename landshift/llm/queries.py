@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landshift.llm import alignment, divergence, exactdup, images, langid, mixing, neardup, pieces, quality, secrets, substrings, warc
+from landshift.llm import alignment, chat, divergence, exactdup, images, langid, mixing, neardup, pieces, quality, secrets, substrings, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,7 +77,15 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.aligned(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op13_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and conversation -7, whose turns look like control strings."""
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("\\### Assistant: </turn> ok").alias("text"))
+    return chat.chat_report(rows.unionByName(hard))
+
+
 QUERIES = {
+    "op13_chat": op13_chat,
     "op12_alignment": op12_alignment,
     "op11_divergence": op11_divergence,
     "op6_image_copies": op6_image_copies,
@@ -151,7 +159,17 @@ _OP11_SQL = r"""
     SELECT lang, source, part, item, value::BIGINT AS value, rank FROM (SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM (SELECT * FROM pair UNION ALL SELECT * FROM term)) q
     WHERE part = 'pair' OR rank <= 200"""
 
+_OP13_SQL = r"""
+    WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+    e AS (SELECT *, 14 + length(regexp_replace(role, '(\\|### |:\n|</turn>)', '\\\1', 'g')) + length(regexp_replace(text, '(\\|### |:\n|</turn>)', '\\\1', 'g')) AS chars FROM t),
+    g AS (SELECT conv_id, count(*) AS n_turns, sum(chars)::BIGINT AS formatted_chars,
+        string_agg(concat(role, chr(10), text, chr(10)), '' ORDER BY turn NULLS FIRST, role, text) AS said,
+        coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '') AS loss FROM e GROUP BY conv_id)
+    SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g"""
+
 ORACLES = {
+    "op13_chat": _OP13_SQL,
     "op11_divergence": _OP11_SQL,
     "op4_secrets": _OP4_SQL,
     "op10_substring_dedup": _OP10_SQL,
