@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from landshift.functions.text import clamped
 from landshift.operators.boxes import near_pairs
+from landshift.operators.footprints import touching
 
 # Fixed values of the rule.
 WEIGHTS = {"magnitude": 0.25, "persistence": 0.20, "coverage": 0.10, "currency": 0.10, "agreement": 0.15, "stability": 0.20}
@@ -60,19 +61,24 @@ def own_kinds(links: DataFrame, candidates: DataFrame, observations: DataFrame,
     return rows.groupBy("event_id").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
 
 
-def agreement(events: DataFrame, kinds: DataFrame, observations: DataFrame, candidates: DataFrame, days: int = AGREEMENT_DAYS) -> DataFrame:
+def agreement(events: DataFrame, kinds: DataFrame, observations: DataFrame, candidates: DataFrame, days: int = AGREEMENT_DAYS, footprints: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(event_id, other_observations, matches, agreement, basis): what the other kind of sensor saw around an event.
 
     ``observations`` and ``candidates`` carry the sensor kind. Looks of the other kind are counted up to each day of
-    an area; an event meets only the days its span begins and ends on. Candidates meet events by place, then time.
+    an area; an event meets only the days its span begins and ends on. Candidates meet events by place, then time:
+    by their boxes, or by ``footprints``, runs (id, row, c0, c1) of the events and of the candidates.
     """
     known = events.join(kinds.where(F.size("kinds") == 1).select(F.col("event_id").alias("id"), F.col("kinds")[0].alias("own_kind")), "id", "left")
     known = known.withColumn("other_kind", F.when(F.col("own_kind") == "optical", "radar").when(F.col("own_kind").isNotNull(), "optical"))
     span = known.withColumns({"from_at": F.col("first_detected_at") - F.expr(f"INTERVAL {days} DAYS"), "to_at": F.col("last_detected_at") + F.expr(f"INTERVAL {days} DAYS")})
     seen = _looks_within(span.select("id", "aoi_id", F.col("other_kind").alias("kind"), "from_at", "to_at"), observations)
-    boxes = span.select("id", "aoi_id", "other_kind", "from_at", "to_at", "x0", "y0", "x1", "y1").withColumnRenamed("other_kind", "kind")
-    met = near_pairs(boxes, candidates.select("id", "aoi_id", "kind", "detected_at", "x0", "y0", "x1", "y1"), ("aoi_id", "kind"))
-    met = met.where(F.col("r_detected_at").between(F.col("l_from_at"), F.col("l_to_at"))).groupBy(F.col("l_id").alias("id")).agg(F.count("*").alias("matches"))
+    theirs = span.select("id", "aoi_id", F.col("other_kind").alias("kind"), "from_at", "to_at", *[c for c in ("x0", "y0", "x1", "y1") if footprints is None])
+    in_time = F.col("r_detected_at").between(F.col("l_from_at"), F.col("l_to_at"))
+    if footprints is None:
+        met = near_pairs(theirs, candidates.select("id", "aoi_id", "kind", "detected_at", "x0", "y0", "x1", "y1"), ("aoi_id", "kind")).where(in_time)
+    else:
+        met = touching(footprints[0].join(theirs, "id"), footprints[1].join(candidates.select("id", "aoi_id", "kind", "detected_at"), "id"), ("aoi_id", "kind"), in_time)
+    met = met.groupBy(F.col("l_id").alias("id")).agg(F.count("*").alias("matches"))
     out = known.select("id", "own_kind").join(seen, "id", "left").join(met, "id", "left").na.fill(0, ["other_observations", "matches"])
     own = F.col("own_kind").isNotNull()
     score = F.when(~own, None).when(F.col("matches") > 0, 1.0).when(F.col("other_observations") > 0, 0.0)

@@ -7,77 +7,102 @@ between candidates, which is a spatial join in Spark.
 
 Taken one by one, a candidate's event is the least of the events of its earlier neighbours. So it is the
 earliest starter among all candidates that a path of links, each to an earlier one, leads to -- and that needs
-no order of work: all candidates take the least event their earlier neighbours have, and then the event that its
-name has in turn, until nothing changes. Every round is two joins; no group of candidates is ever gathered.
+no order of work: all candidates take the least event their earlier neighbours have, and then what the earliest
+candidate they know of has, until nothing changes. Every round is two joins; no group of candidates is ever gathered.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from landshift.operators.boxes import near_pairs
+from landshift.operators.footprints import linked_before, points, touching, united
 from landshift.sources.shared import removed, written
 
 RESOLVE_DAYS, CLEAR_FLOOR = 90, 0.5
 
 
-def _settled(state: DataFrame, edges: DataFrame, named: bool) -> DataFrame:
-    """``state`` (id, label) when each id has the least label that links (u, v), from u on to v, lead to.
+def _settled(state: DataFrame, edges: DataFrame) -> DataFrame:
+    """``state`` (id, label, jump) when each id has the least label of all that links (u, v), from u on to v, lead to.
 
-    ``named``: labels are structs whose field ``id`` is an id of ``state`` with a label not above its own.
+    label: null where an id has none of its own. jump: struct (at, id) of the earliest id seen along the links, at first
+    the own one; as what is seen from there is seen from here, a chain is run through in rounds of the logarithm of
+    its length.
     """
     state, seen = written(state, "tracked"), None
     while True:
-        now = state.agg(F.count("label").alias("n"), F.sum(F.xxhash64("id", "label").cast("decimal(20,0)")).alias("h")).first()
+        now = state.agg(F.count("label").alias("n"), F.sum(F.xxhash64("id", "label", "jump").cast("decimal(20,0)")).alias("h")).first()
         if now == seen:
             return state
         seen = now
-        near = edges.join(state.select(F.col("id").alias("v"), "label"), "v").groupBy(F.col("u").alias("id")).agg(F.min("label").alias("near"))
-        after = state.join(near, "id", "left").select("id", F.least("label", "near").alias("label"))
-        if named:
-            after = written(after, "tracked")
-            onward = after.select(F.col("id").alias("at"), F.col("label").alias("onward"))
-            after = after.join(onward, F.col("label.id") == F.col("at")).select("id", F.col("onward").alias("label"))
-        after = written(after, "tracked")
-        removed(state)
-        state = after
+        near = edges.join(state.select(F.col("id").alias("v"), "label", "jump"), "v").groupBy(F.col("u").alias("id")).agg(F.min("label").alias("near"), F.min("jump").alias("far"))
+        after = written(state.join(near, "id", "left").select("id", F.least("label", "near").alias("label"), F.least("jump", "far").alias("jump")), "tracked")
+        onward = after.select(F.col("id").alias("at"), F.col("label").alias("onward"), F.col("jump").alias("farther"))
+        jumped = after.join(onward, F.col("jump.id") == F.col("at")).select("id", F.least("label", "onward").alias("label"), F.least("jump", "farther").alias("jump"))
+        last, state = state, written(jumped, "tracked")
+        removed(last)
+        removed(after)
 
 
 def _order(side: str):
     return F.struct(F.col(f"{side}_detected_at"), F.col(f"{side}_id"))
 
 
-def tracked(candidates: DataFrame) -> DataFrame:
+_PLACE = ("id", "aoi_id", "methodology_id", "detected_at")
+_SAME = ("aoi_id", "methodology_id")
+
+
+def _placed(candidates: DataFrame, footprints: DataFrame) -> DataFrame:
+    """Runs of the candidates' footprints with what orders and separates them."""
+    return footprints.withColumnRenamed("candidate_id", "id").join(candidates.select(*_PLACE), "id")
+
+
+def tracked(candidates: DataFrame, footprints: DataFrame | None = None) -> DataFrame:
     """(candidate_id, event_id) for candidates (id, aoi_id, methodology_id, detected_at, x0, y0, x1, y1); an event
-    is named by the candidate that started it."""
-    slim = candidates.select("id", "aoi_id", "methodology_id", "detected_at", "x0", "y0", "x1", "y1")
-    pairs = near_pairs(slim, slim, ("aoi_id", "methodology_id")).where(_order("l") > _order("r"))
-    edges = written(pairs.select(F.col("l_id").alias("u"), F.col("r_id").alias("v")), "touching")
-    own = candidates.select("id", F.struct(F.col("detected_at").alias("at"), "id").alias("label"))
-    return _settled(own, edges, named=True).select(F.col("id").alias("candidate_id"), F.col("label.id").alias("event_id"))
+    is named by the candidate that started it.
 
+    footprints: runs (candidate_id, row, c0, c1). Without them a candidate is its box."""
+    if footprints is not None:
+        edges = linked_before(_placed(candidates, footprints), ("detected_at", "id"), _SAME)
+    else:
+        slim = candidates.select(*_PLACE, "x0", "y0", "x1", "y1")
+        pairs = near_pairs(slim, slim, _SAME).where(_order("l") > _order("r"))
+        edges = pairs.select(F.col("l_id").alias("u"), F.col("r_id").alias("v"))
+    own = F.struct(F.col("detected_at").alias("at"), "id")
+    state = _settled(candidates.select("id", own.alias("label"), own.alias("jump")), written(edges, "touching"))
+    return state.select(F.col("id").alias("candidate_id"), F.col("label.id").alias("event_id"))
 
-def extended(candidates: DataFrame, members: DataFrame, new: DataFrame) -> DataFrame:
+
+def extended(candidates: DataFrame, members: DataFrame, new: DataFrame, footprints: DataFrame | None = None) -> DataFrame:
     """(candidate_id, event_id) for the candidates ``new``, beside events that have members already.
 
     members: (event_id, candidate_id) of ``candidates``, which stay as they are. New candidates come after them
     whatever their dates, so a late one may move the first detection of the event it joins to before; among
     events it touches it takes the earliest, by the dates that they had before these candidates came.
+    footprints: runs (candidate_id, row, c0, c1) of both. Without them a candidate is its box.
     """
-    columns = ("id", "aoi_id", "methodology_id", "detected_at", "x0", "y0", "x1", "y1")
-    held = candidates.select(*columns).join(members.select(F.col("candidate_id").alias("id"), "event_id"), "id")
+    held = candidates.join(members.select(F.col("candidate_id").alias("id"), "event_id"), "id")
     first = held.groupBy("event_id").agg(F.min("detected_at").alias("at"))
-    held = held.join(first, "event_id").withColumn("label", F.struct("at", F.col("event_id").alias("id"))).withColumn("old", F.lit(1)).select(*columns, "old", "label")
-    fresh = new.select(*columns, F.lit(0).alias("old"), F.struct(F.col("detected_at").alias("at"), "id").alias("label"))
-    every = held.unionByName(fresh)
-    pairs = near_pairs(fresh.drop("label"), every.drop("label"), ("aoi_id", "methodology_id")).where((F.col("r_old") == 1) | (_order("l") > _order("r")))
-    edges = written(pairs.select(F.col("l_id").alias("u"), F.col("r_id").alias("v")), "touching")
-    # Who touches something before it has no event until that one has.
+    held = held.join(first, "event_id").withColumn("label", F.struct("at", F.col("event_id").alias("id")))
+    if footprints is not None:
+        fresh = _placed(new, footprints)
+        edges = written(linked_before(fresh, ("detected_at", "id"), _SAME), "touching")
+        # Of the events at a grid point only the earliest counts.
+        of_event = points(_placed(held, footprints).join(held.select("id", "label"), "id"), *_SAME, "label").groupBy(*_SAME, "p_row", "p_col").agg(F.min("label").alias("label"))
+        old = points(fresh, "id", *_SAME).join(of_event, [*_SAME, "p_row", "p_col"]).groupBy("id").agg(F.min("label").alias("old"))
+    else:
+        columns = (*_PLACE, "x0", "y0", "x1", "y1")
+        pairs = near_pairs(new.select(*columns), new.select(*columns), _SAME).where(_order("l") > _order("r"))
+        edges = written(pairs.select(F.col("l_id").alias("u"), F.col("r_id").alias("v")), "touching")
+        met = near_pairs(new.select(*columns), held.select(*columns, "label"), _SAME)
+        old = met.groupBy(F.col("l_id").alias("id")).agg(F.min("r_label").alias("old"))
+    # Who touches something before it has no event of its own.
     moved = edges.select(F.col("u").alias("m_id")).distinct()
-    state = every.join(moved, F.col("id") == F.col("m_id"), "left").select("id", F.when(F.col("m_id").isNull(), F.col("label")).alias("label"))
-    out = _settled(state, edges, named=False).select(F.col("id").alias("candidate_id"), F.col("label.id").alias("event_id"))
-    return out.join(new.select(F.col("id").alias("candidate_id")), "candidate_id", "left_semi")
+    own = F.struct(F.col("detected_at").alias("at"), "id")
+    state = new.select("id", own.alias("jump")).join(moved, F.col("id") == F.col("m_id"), "left").join(old, "id", "left")
+    state = state.select("id", F.coalesce("old", F.when(F.col("m_id").isNull(), F.col("jump"))).alias("label"), "jump")
+    return _settled(state, edges).select(F.col("id").alias("candidate_id"), F.col("label.id").alias("event_id"))
 
 
 def untracked(candidates: DataFrame, links: DataFrame) -> DataFrame:
@@ -85,25 +110,38 @@ def untracked(candidates: DataFrame, links: DataFrame) -> DataFrame:
     return candidates.join(links.select("candidate_id"), candidates.id == F.col("candidate_id"), "left_anti")
 
 
-def earliest_touching(candidates: DataFrame, events: DataFrame) -> DataFrame:
-    """(candidate_id, event_id): the event of the same area and methodology, earliest by first detection and id."""
-    pairs = near_pairs(candidates, events, ("aoi_id", "methodology_id"))
-    best = F.min(F.struct("r_first_detected_at", "r_id"))
-    return pairs.groupBy(F.col("l_id").alias("candidate_id")).agg(best["r_id"].alias("event_id"))
+def earliest_touching(candidates: DataFrame, events: DataFrame, footprints: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(candidate_id, event_id): the event of the same area and methodology, earliest by first detection and id; by boxes,
+    or by ``footprints``, runs (id, row, c0, c1) of the candidates and of the events."""
+    if footprints is None:
+        pairs = near_pairs(candidates, events, _SAME)
+        best = F.min(F.struct("r_first_detected_at", "r_id"))["r_id"]
+    else:
+        pairs = touching(footprints[0].join(candidates.select("id", *_SAME), "id"), footprints[1].join(events.select("id", *_SAME), "id"), _SAME)
+        pairs = pairs.join(events.select(F.col("id").alias("r_id"), "first_detected_at"), "r_id")
+        best = F.min(F.struct("first_detected_at", "r_id"))["r_id"]
+    return pairs.groupBy(F.col("l_id").alias("candidate_id")).agg(best.alias("event_id"))
 
 
-def growth(members: DataFrame, cells: DataFrame, cell_area_m2: float) -> DataFrame:
+def growth(members: DataFrame, cells: DataFrame, cell_area_m2: float | Column) -> DataFrame:
     """(event_id, candidate_id, growth_m2): area that each member adds to the footprint of those before it.
 
-    A cell counts for the first member that has it; the first member of an event has null.
+    A cell counts for the first member that has it; the first member of an event has null. The area of a cell is a
+    number, or an expression of its row where cells shrink towards the poles.
     """
     order = Window.partitionBy("event_id").orderBy("detected_at", "candidate_id")
     placed = members.withColumn("place", F.row_number().over(order))
     rows = placed.join(cells, "candidate_id")
     first = rows.groupBy("event_id", "row", "col").agg(F.min("place").alias("place"))
-    added = first.groupBy("event_id", "place").agg(F.count("*").alias("cells"))
+    area = cell_area_m2 if isinstance(cell_area_m2, Column) else F.lit(cell_area_m2)
+    added = first.groupBy("event_id", "place", "row").agg(F.count("*").alias("n")).groupBy("event_id", "place").agg(F.sum(F.col("n") * area).alias("area"))
     out = placed.join(added, ["event_id", "place"], "left")
-    return out.select("event_id", "candidate_id", F.when(F.col("place") > 1, F.coalesce("cells", F.lit(0)) * F.lit(cell_area_m2)).alias("growth_m2"))
+    return out.select("event_id", "candidate_id", F.when(F.col("place") > 1, F.coalesce("area", F.lit(0.0))).alias("growth_m2"))
+
+
+def event_footprints(links: DataFrame, footprints: DataFrame) -> DataFrame:
+    """(id, row, c0, c1): the union of the footprints of each event's members, as runs."""
+    return united(links.join(footprints, "candidate_id").select(F.col("event_id").alias("id"), "row", "c0", "c1"), "id")
 
 
 def summarised(members: DataFrame) -> DataFrame:

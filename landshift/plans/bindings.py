@@ -39,6 +39,12 @@ VIEWS = {
                900.0E0 * (1 + id % 9) * (1 + id * 5 % 11) AS area_m2, -0.25E0 - (id % 40) / 100.0E0 AS delta_mean, -0.3E0 - (id % 40) / 80.0E0 AS delta_min,
                CASE WHEN id % 11 > 0 THEN (id % 10 + 1) / 10.0E0 END AS valid_pixel_fraction
         FROM observation WHERE id % 3 < 2""",
+    # Boxes, L shapes both ways up, and frames, which reach into each other's boxes.
+    "footprint": """
+        SELECT id AS candidate_id, y0 + k AS row, CASE WHEN id % 4 = 3 AND k > 0 THEN x1 - 1 ELSE x0 END AS c0,
+               CASE WHEN id % 4 IN (0, 3) OR (id % 4 = 1 AND k = y1 - y0 - 1) OR (id % 4 = 2 AND (k = 0 OR k = y1 - y0 - 1)) THEN x1 ELSE x0 + 1 END AS c1
+        FROM candidate JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8), (9), (10)) AS v(k) ON k < y1 - y0
+        UNION ALL SELECT id, y0 + k, x1 - 1, x1 FROM candidate JOIN (VALUES (1), (2), (3), (4), (5), (6), (7), (8), (9)) AS v(k) ON k < y1 - y0 - 1 WHERE id % 4 = 2 AND x1 - x0 > 1""",
     "event_observation": """
         SELECT id, aoi_id * 1000000 + methodology_id * 100000 + (x0 - x0 % 100) * 10 + (y0 - y0 % 100) AS event_id, id AS candidate_id,
                detected_at AS observed_at, CASE WHEN id % 4 > 0 THEN id % 50 * 10.0E0 END AS growth_m2

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from landshift.plans import events, imagery, reports, upkeep
+from landshift.plans import events, imagery, reports, shapes, upkeep
 
-QUERIES: dict = {**imagery.QUERIES, **events.QUERIES, **reports.QUERIES, **upkeep.QUERIES}
-ORACLES: dict = {**imagery.ORACLES, **events.ORACLES, **reports.ORACLES, **upkeep.ORACLES}
+QUERIES: dict = {**imagery.QUERIES, **events.QUERIES, **reports.QUERIES, **upkeep.QUERIES, **shapes.QUERIES}
+ORACLES: dict = {**imagery.ORACLES, **events.ORACLES, **reports.ORACLES, **upkeep.ORACLES, **shapes.ORACLES}
