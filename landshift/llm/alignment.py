@@ -36,9 +36,11 @@ MARK = "▁"
 #: Whitespace and what follows it, on to the next space or line end after another character.
 UNIT = re.compile(r"\s*\S+(?:[^\S \n]\s*\S+)*(?:[^\S \n]\s*\Z)?|\s+")
 FREQUENT = 1 << 19
-REMEMBERED = 200_000
+REMEMBERED = 500_000
 REMEMBERED_CHARS = 64
 SLICE_CHARS = 2 << 20
+#: Units encoded as one text.
+JOINED = 2000
 
 
 def roots(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -59,7 +61,8 @@ def overlaps(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.nda
     """Links (A token, B token) between tokens that end at these bytes of the same text, in order.
 
     Every stretch between two neighbouring ends lies in one token of each side, and no two stretches in the same two."""
-    stretch = np.union1d(ends_a, ends_b)
+    stretch = np.sort(np.append(ends_a, ends_b))
+    stretch = stretch[np.append(True, stretch[1:] != stretch[:-1])[: len(stretch)]]
     return np.searchsorted(ends_a, stretch), np.searchsorted(ends_b, stretch)
 
 
@@ -91,16 +94,52 @@ class Tokenizers:
         #: Whether no piece reaches over the start of a unit.
         self.cuts = not any("\n" in p or MARK in p.lstrip(MARK) for p in text)
         self.kinds_b = len(pieces)
+        self.length_a, self.length_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
         if len(self.bytes_a) * self.kinds_b >= 1 << 31:
             raise ValueError("a pair of ids has to fit in 31 bits")
 
-    def encode(self, units: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of each unit as they are within a text: B puts a space of its own in front, which replaces that of the unit."""
-        a = [x.ids for x in self.a.encode_batch_fast(units, add_special_tokens=False)]
-        b = self.b.encode([u[1:] if u[0] == " " else u for u in units], num_threads=1)
-        # B adds nothing to an empty string, so a lone space has to be asked for; other units do without the space added.
-        b = [ids if u[0] == " " and len(u) > 1 else [self.mark] if u == " " else ids[1:] if ids[:1] == [self.mark] else [-1] for u, ids in zip(units, b, strict=True)]
-        return a, b
+    def encode(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of A and of B, and how many each unit has; units that do not come back byte for byte have none.
+
+        Units that end in a character join to a text in which each of them is a unit again, so many are encoded at a
+        time. Where a text is not given back, or a unit ends in whitespace, its halves are encoded, down to single units."""
+        done: list[tuple[tuple[np.ndarray, np.ndarray], np.ndarray]] = []
+        todo = [units[low : low + JOINED] for low in range(0, len(units), JOINED)][::-1]
+        while todo:
+            part = todo.pop()
+            joins = len(part) == 1 or not any(u[-1].isspace() for u in part)
+            if joins and (got := self._together(part)):
+                done.append(got)
+            elif len(part) == 1:
+                done.append(((np.zeros(0, np.int64),) * 2, np.zeros((2, 1), np.int64)))
+            else:
+                todo += [part[len(part) // 2 :], part[: len(part) // 2]]
+        a, b = (np.concatenate([np.zeros(0, np.int64), *[ids[side] for ids, _ in done]]) for side in (0, 1))
+        n_a, n_b = np.concatenate([np.zeros((2, 0), np.int64), *[counts for _, counts in done]], axis=1)
+        return a, b, n_a, n_b
+
+    def _together(self, units: list[str]) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray] | None:
+        """Ids of units as one text, and how many belong to each unit; None unless every unit comes back."""
+        text = "".join(units)
+        raw = text.encode()
+        until = np.cumsum([len(u.encode()) for u in units]) if len(raw) != len(text) else np.cumsum([len(u) for u in units])
+        # B puts a space of its own in front, which replaces that of the unit; without one it is taken away.
+        own = text[0] == " "
+        b = self.b.encode(text[1:] if own else text, num_threads=1)
+        if len(text) == 1 and own:  # B adds nothing to an empty string
+            b = [self.mark]
+        if not own:
+            if b[:1] != [self.mark]:
+                return None
+            b = b[1:]
+        both, counts = [], []
+        for ids, table, length in ((self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.bytes_a, self.length_a), (b, self.bytes_b, self.length_b)):
+            if b"".join(map(table.__getitem__, ids)) != raw:
+                return None
+            both.append(np.array(ids, np.int64))
+            place = np.searchsorted(np.cumsum(length[both[-1]]), until, "right")
+            counts.append(np.diff(place, prepend=0))
+        return (both[0], both[1]), np.stack(counts)
 
 
 class Aligner:
@@ -113,7 +152,6 @@ class Aligner:
         #: Ids with what follows them: within a side of a group, at the end of A's side, at the end of a group.
         self.names = np.array([n + mark for mark in ",|;" for n in names], object)
         self.many = len(names)
-        self.length_a, self.length_b = (np.array([len(x) for x in t], np.int64) for t in (self.tokens.bytes_a, self.tokens.bytes_b))
         self._forget()
 
     def _forget(self) -> None:
@@ -129,14 +167,8 @@ class Aligner:
 
     def learn(self, units: list[str]) -> None:
         """Add units that are not known yet."""
-        a, b = self.tokens.encode(units)
-        n_a, n_b = (np.fromiter(map(len, x), np.int64, len(units)) for x in (a, b))
-        raw = [u.encode() for u in units]
-        bytes_a, bytes_b = self.tokens.bytes_a, self.tokens.bytes_b
-        good = np.array([ids_b != [-1] and b"".join([bytes_a[i] for i in ids_a]) == r and b"".join([bytes_b[i] for i in ids_b]) == r for ids_a, ids_b, r in zip(a, b, raw, strict=True)], bool)
-        ids_a, ids_b = (np.array([i for ids, ok in zip(x, good, strict=True) if ok for i in ids], np.int64) for x in (a, b))
-        n_a, n_b = np.where(good, n_a, 0), np.where(good, n_b, 0)
-        ends_a, ends_b = np.cumsum(self.length_a[ids_a]), np.cumsum(self.length_b[ids_b])
+        ids_a, ids_b, n_a, n_b = self.tokens.encode(units)
+        ends_a, ends_b = np.cumsum(self.tokens.length_a[ids_a]), np.cumsum(self.tokens.length_b[ids_b])
         i, j = overlaps(ends_a, ends_b)
         root = roots(len(ids_a) + len(ids_b), i, len(ids_a) + j)
         # Tokens by group, A's side first; the end of each side is where the next token is of another one.
@@ -145,7 +177,7 @@ class Aligner:
         group, side, ids = root[order], side[order], np.append(ids_a, ids_b)[order]
         closes = np.append(group[1:] != group[:-1], True)[: len(group)]
         turns = np.append(side[1:] != side[:-1], True)[: len(side)]
-        shown = self.names[ids + self.many * np.where(closes, 2, np.where(turns, 1, 0))]
+        shown = self.names[ids + self.many * np.where(closes, 2, np.where(turns, 1, 0))].tolist()
         unit_a, unit_b = np.repeat(np.arange(len(units)), n_a), np.repeat(np.arange(len(units)), n_b)
         unit = np.append(unit_a, unit_b)[order]
         n_groups = np.bincount(unit[closes], minlength=len(units))
@@ -156,7 +188,7 @@ class Aligner:
             self.at[units[k]] = len(self.groups)
             self.groups.append("".join(shown[start:end]))
             start = end
-        self.sizes = np.concatenate([self.sizes, np.stack([n_a, n_b, n_groups, n_links, good], axis=1)])
+        self.sizes = np.concatenate([self.sizes, np.stack([n_a, n_b, n_groups, n_links, n_a > 0], axis=1)])
         self.keys = np.append(self.keys, (ids_a[i] * self.tokens.kinds_b + ids_b[j]).astype(np.int32))
         self.first = np.append(self.first, self.first[-1] + np.cumsum(n_links))
 
@@ -165,7 +197,7 @@ class Aligner:
         if len(self.at) > self.remembered:
             self._forget()
         found = [self.units(t) if t else [] for t in texts]
-        new = list(dict.fromkeys(u for units in found for u in units if u not in self.at))
+        new = [u for u in set(chain.from_iterable(found)) if u not in self.at]
         # Long units are not worth remembering: they come last and are taken out again.
         new.sort(key=lambda u: len(u) > REMEMBERED_CHARS)
         for k in range(0, len(new), 20_000):
@@ -184,7 +216,9 @@ class Aligner:
         digests = [hashlib.sha256("".join(map(shown, places[low:high]))[:-1].encode()).hexdigest() if low < high and not gone else "" for low, high, gone in zip([0, *until], until, bad, strict=False)]
         n = self.first[entries + 1] - self.first[entries]
         place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[entries], n)
-        pairs, times = np.unique((np.repeat(doc, n) << 31) | self.keys[place], return_counts=True)
+        every = np.sort((np.repeat(doc, n) << 31) | self.keys[place])
+        begin = np.flatnonzero(np.append(True, every[1:] != every[:-1])[: len(every)])
+        pairs, times = every[begin], np.diff(np.append(begin, len(every)))
         offsets = np.searchsorted(pairs >> 31, np.arange(len(texts) + 1)).astype(np.int32)
         for k, u in enumerate(reversed(new)):
             if len(u) <= REMEMBERED_CHARS:
