@@ -25,22 +25,23 @@ def cell_id(scene: Column, row: Column, col: Column) -> Column:
 
 
 def _tile_labels(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The least cell of each component, by union-find over right and lower neighbours."""
+    """The least cell of each component: runs of cells in a row, linked to the runs they meet in the row below; the
+    larger of two linked roots is hooked to the smaller until no link is left between two."""
     cells = np.sort(pdf["cell"].to_numpy())
-    root = np.arange(len(cells))
-
-    def top(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    for step in (1, _SIDE):
-        at = np.searchsorted(cells, cells + step)
-        for i in np.flatnonzero((at < len(cells)) & (cells[np.minimum(at, len(cells) - 1)] == cells + step)):
-            a, b = top(i), top(at[i])
-            root[max(a, b)] = min(a, b)
-    return pd.DataFrame({"cell": cells, "label": cells[[top(i) for i in range(len(cells))]]})
+    run = np.cumsum(np.append(True, cells[1:] != cells[:-1] + 1)[: len(cells)]) - 1
+    below = np.minimum(np.searchsorted(cells, cells + _SIDE), len(cells) - 1)
+    met = np.flatnonzero(cells[below] == cells + _SIDE)
+    u, v = run[met], run[below[met]]
+    root = np.arange(run[-1] + 1 if len(run) else 0)
+    while len(u):
+        a, b = root[u], root[v]
+        apart = a != b
+        u, v, a, b = u[apart], v[apart], a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(shorter := root[root], root):
+            root = shorter
+    first = np.flatnonzero(np.append(True, run[1:] != run[:-1])[: len(run)])
+    return pd.DataFrame({"cell": cells, "label": cells[first[root[run]]]})
 
 
 def patches(cells: DataFrame, tile: int = TILE) -> DataFrame:

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landshift.operators import confidence, footprints, tracking
+from landshift.functions.geometry import polygon_area_m2
+from landshift.operators import components, confidence, footprints, raster, rings, tracking
 from landshift.plans.bindings import Domain, oracle
 from landshift.plans.events import _KINDS
+from landshift.sources.shared import written
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -136,3 +138,42 @@ def event_footprint_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sum(width).alias("cells"), F.round(F.sum(footprints.grid_area_m2(F.col("row"), NORTH, STEP, width)), 1).alias("area_m2"), F.min("c0").alias("x0"), F.min("row").alias("y0"), F.max("c1").alias("x1"), (F.max("row") + 1).alias("y1")
     )
     return out
+
+
+_PATCH = """
+    hit AS MATERIALIZED (SELECT scene, row, col, row * 1000 + col AS c FROM cell WHERE delta < -0.2541),
+    step AS MATERIALIZED (SELECT a.scene, a.c AS u, b.c AS v FROM hit a JOIN hit b ON a.scene = b.scene AND abs(a.row - b.row) + abs(a.col - b.col) = 1),
+    walk AS (SELECT scene, c, c AS seen FROM hit UNION SELECT w.scene, w.c, e.v FROM walk w JOIN step e ON e.scene = w.scene AND e.u = w.seen),
+    lab AS MATERIALIZED (SELECT h.scene, row, col, min(seen) AS patch FROM walk w JOIN hit h ON h.scene = w.scene AND h.c = w.c GROUP BY ALL)"""
+
+
+@query(f"""
+    WITH RECURSIVE {_PATCH},
+    side AS MATERIALIZED (SELECT l.*, s, ar, ac, xr, xc FROM lab l, (VALUES (0, -1, 0, 0, 1, -1, 1), (1, 0, 1, 1, 0, 1, 1), (2, 1, 0, 0, -1, 1, -1), (3, 0, -1, -1, 0, -1, -1)) AS k(s, br, bc, ar, ac, xr, xc)
+        WHERE NOT EXISTS (SELECT 1 FROM lab n WHERE n.scene = l.scene AND n.patch = l.patch AND n.row = l.row + br AND n.col = l.col + bc)),
+    bound AS MATERIALIZED (SELECT s.scene, s.patch, (s.row * 1000 + s.col) * 4 + s AS e, a.row IS NULL OR x.row IS NOT NULL AS corner, s.row + CASE WHEN s IN (1, 2) THEN 1 ELSE 0 END AS pr, s.col + CASE WHEN s IN (0, 1) THEN 1 ELSE 0 END AS pc,
+        CASE WHEN a.row IS NULL THEN (s.row * 1000 + s.col) * 4 + (s + 1) % 4 WHEN x.row IS NULL THEN (a.row * 1000 + a.col) * 4 + s ELSE (x.row * 1000 + x.col) * 4 + (s + 3) % 4 END AS nxt
+        FROM side s LEFT JOIN lab a ON a.scene = s.scene AND a.patch = s.patch AND a.row = s.row + ar AND a.col = s.col + ac LEFT JOIN lab x ON x.scene = s.scene AND x.patch = s.patch AND x.row = s.row + xr AND x.col = s.col + xc),
+    round_trip AS (SELECT scene, e AS start, nxt AS here, 1 AS n FROM bound UNION ALL SELECT w.scene, start, b.nxt, n + 1 FROM round_trip w JOIN bound b ON b.scene = w.scene AND b.e = w.here WHERE w.here > w.start),
+    begins AS (SELECT scene, start, n AS size FROM round_trip WHERE here = start),
+    path AS (SELECT scene, start, size, start AS here, 0 AS n FROM begins UNION ALL SELECT w.scene, start, size, b.nxt, n + 1 FROM path w JOIN bound b ON b.scene = w.scene AND b.e = w.here WHERE b.nxt <> w.start),
+    turn AS (SELECT w.scene, b.patch, w.start, w.size, w.n, pr, pc FROM path w JOIN bound b ON b.scene = w.scene AND b.e = w.here WHERE corner),
+    topmost AS (SELECT scene, start, arg_min(n, (pr, pc)) AS n0, min((pr, pc)) AS p0 FROM turn GROUP BY scene, start),
+    placed AS (SELECT t.*, (t.n - n0 + size) % size AS k, p0 FROM turn t JOIN topmost USING (scene, start)),
+    area AS (SELECT scene, start, sum(pc * nr - nc * pr) / 2 AS cells FROM (SELECT *, coalesce(lead(pr) OVER w, first(pr) OVER w) AS nr, coalesce(lead(pc) OVER w, first(pc) OVER w) AS nc FROM placed WINDOW w AS (PARTITION BY scene, start ORDER BY k)) q GROUP BY scene, start),
+    ring AS (SELECT p.scene, p.patch, p.start, any_value(p0) AS p0, any_value(a.cells) AS cells, concat('[', string_agg(concat('[', pc, ',', pr, ']'), ',' ORDER BY k), ',', arg_min(concat('[', pc, ',', pr, ']'), k), ']') AS text
+             FROM placed p JOIN area a ON a.scene = p.scene AND a.start = p.start GROUP BY p.scene, p.patch, p.start),
+    size AS (SELECT scene, patch, sum({_AREA}) AS area_m2 FROM lab GROUP BY scene, patch)
+    SELECT r.scene, count(*) FILTER (WHERE cells < 0) AS holes, sum(cells)::BIGINT AS cells, concat('[', string_agg(text, ',' ORDER BY cells < 0, p0), ']') AS coordinates, any_value(round(area_m2, -2)) AS area_m2
+    FROM ring r JOIN size z ON z.scene = r.scene AND z.patch = r.patch GROUP BY r.scene, r.patch""")
+def patch_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patches as polygons with holes, and the area that their rings enclose on the ellipsoid; tiles are small here so
+    that rings cross them."""
+    hits = raster.hits(Domain(spark, sf_dir).cell, "delta", -0.2541)
+    labelled = written(components.patches(hits, tile=16).select("scene", "row", "col", "patch"), "patches")
+    closed = written(rings.rings(labelled, tile=16), "rings")
+    found = rings.polygons(closed)
+    world = closed.withColumn("text", rings.polygon_text("points", lambda p: p["col"] * STEP, lambda p: NORTH - p["row"] * STEP))
+    areas = world.groupBy("patch").agg(F.round(F.sum(F.when(F.col("hole"), -1.0).otherwise(1.0) * polygon_area_m2(F.concat(F.lit("["), "text", F.lit("]")))), -2).alias("area_m2"))
+    scene = F.floor(F.col("patch") / (1 << 40)).cast("long").alias("scene")
+    return found.join(areas, "patch").select(scene, "holes", "cells", "coordinates", "area_m2")
