@@ -2,12 +2,14 @@
 
 1. Turns are laid out by range of (conversation, turn, role, text) and sorted, so a conversation of any length lies
    in as many partitions as it needs; runs of its turns become parts of about ``part_chars``, numbered in order.
-2. The first and last part of each conversation are found by an aggregation of part numbers and joined back.
+2. A part knows whether it begins and ends its conversation in its partition. Only a conversation that runs over the
+   border of two partitions may go on elsewhere; there are fewer of these than partitions, and they are told to all.
 3. Each part is rendered by the template's closures on its own: the head goes before the first message, the tail
    after the last. A part has its text and, in code points of that text, the spans under the loss mask.
 4. Reading back, each part is parsed at its control strings into turns, and its masked spans are unescaped.
-5. Digests run over the parts of a conversation in order. SHA-256 is a chain, so the parts of one conversation pass
-   through one task; they are streamed in sorted order and only the state of the hash is held.
+5. Digests run over the parts of a conversation in order. A conversation of one part is digested where it is. SHA-256
+   is a chain, so the parts of a longer one pass through one task; they are streamed in sorted order and only the
+   state of the hash is held.
 
 Control strings inside roles and texts are escaped: a backslash goes before each control string and before each
 backslash. A reader that takes a backslash with the character after it therefore never sees a control string
@@ -90,13 +92,15 @@ def turns(text: str, form: ChatFormat) -> list[tuple[str, str]]:
     return out
 
 
-_PACKED = "conv_id long, part long, roles array<string>, texts array<string>"
-_PART = "conv_id long, part long, text string, mask array<struct<start:int,end:int>>"
-_READ = "conv_id long, part long, turns array<struct<role:string,text:string>>, loss array<string>, chars long"
+_PACKED = "conv_id long, part long, first boolean, last boolean, roles array<string>, texts array<string>"
+_PART = "conv_id long, part long, first boolean, last boolean, text string, mask array<struct<start:int,end:int>>"
+_READ = "conv_id long, part long, first boolean, last boolean, turns array<struct<role:string,text:string>>, loss array<string>, chars long"
+_KEYS = ("conv_id", "part", "first", "last")
 
 
 def packed(conversations: DataFrame, form: ChatFormat, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """(conv_id, part, roles, texts): turns in order, in parts; numbers of parts ascend within a conversation."""
+    """(conv_id, part, first, last, roles, texts): turns in order, in parts; numbers of parts ascend within a conversation,
+    and first and last tell of its parts in this partition."""
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows = conversations.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).alias("turn"), empty(role_col).alias("role"), empty(text_col).alias("text"))
     order = ("conv_id", "turn", "role", "text")
@@ -105,35 +109,38 @@ def packed(conversations: DataFrame, form: ChatFormat, conv_col: str = "conv_id"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         held: list[tuple[str, str]] = []
-        size, conv = 0, None
+        size, conv, first = 0, None, True
 
-        def part() -> pa.RecordBatch:
+        def part(last: bool) -> pa.RecordBatch:
             roles, texts = zip(*held, strict=True)
-            kinds = (pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.string()))
-            return pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in zip((conv, number, list(roles), list(texts)), kinds, strict=True)], names=["conv_id", "part", "roles", "texts"])
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.string()))
+            return pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in zip((conv, number, first, last, list(roles), list(texts)), kinds, strict=True)], names=[*_KEYS, "roles", "texts"])
 
         for batch in batches:
             strings = [[(x or b"").decode("utf-8", "replace") for x in batch.column(c).cast(pa.binary()).to_pylist()] for c in ("role", "text")]
             for own, role, text in zip(batch.column("conv_id").to_pylist(), *strings, strict=True):
                 if held and (own != conv or size >= form.part_chars or len(held) >= form.part_turns):
-                    yield part()
-                    number += 1
+                    yield part(own != conv)
+                    number, first = number + 1, own != conv
                     held, size = [], 0
                 conv = own
                 held.append((role, text))
                 size += len(text)
         if held:
-            yield part()
+            yield part(True)
 
     return in_arrow(rows.select("conv_id", "role", "text"), run, _PACKED)
 
 
 def formatted(conversations: DataFrame, form: ChatFormat = ChatFormat(), **columns: str) -> DataFrame:
-    """(conv_id, part, text, mask): the training text in parts, to be joined in their order."""
+    """(conv_id, part, first, last, text, mask): the training text in parts, to be joined in their order."""
     parts = written(packed(conversations, form, **columns), "chat-turns")
-    ends = parts.groupBy("conv_id").agg(F.min("part").alias("first_part"), F.max("part").alias("last_part"))
-    ends = ends.withColumnRenamed("conv_id", "of")
-    placed = parts.join(ends, F.col("conv_id").eqNullSafe(F.col("of"))).select("conv_id", "part", "roles", "texts", (F.col("part") == F.col("first_part")).alias("first"), (F.col("part") == F.col("last_part")).alias("last"))
+    ends = parts.groupBy(F.col("conv_id").alias("of")).agg(F.min("part").alias("from"), F.max("part").alias("to"))
+    # Fewer rows than partitions: two neighbouring partitions share one conversation at most.
+    split = F.broadcast(ends.where(F.shiftright("from", 32) != F.shiftright("to", 32)))
+    placed = parts.join(split, F.col("conv_id").eqNullSafe(F.col("of")), "left")
+    whole = F.col("from").isNull()
+    placed = placed.select("conv_id", "part", F.when(whole, F.col("first")).otherwise(F.col("part") == F.col("from")).alias("first"), F.when(whole, F.col("last")).otherwise(F.col("part") == F.col("to")).alias("last"), "roles", "texts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         template = form.compiled()
@@ -143,7 +150,7 @@ def formatted(conversations: DataFrame, form: ChatFormat = ChatFormat(), **colum
                 texts.append((out := rendered(template, list(zip(row["roles"], row["texts"], strict=True)), row["first"], row["last"])).text())
                 masks.append([{"start": s, "end": e} for s, e in out.spans])
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), batch.column("part"), pa.array(texts, pa.string()), pa.array(masks, kind)], names=["conv_id", "part", "text", "mask"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, _KEYS), pa.array(texts, pa.string()), pa.array(masks, kind)], names=[*_KEYS, "text", "mask"])
 
     return in_arrow(placed, run, _PART)
 
@@ -163,7 +170,7 @@ def rendered(template: Template, messages: list[tuple[str, str]], first: bool, l
 
 
 def read_back(parts: DataFrame, form: ChatFormat = ChatFormat()) -> DataFrame:
-    """(conv_id, part, turns, loss, chars): what each part of formatted text says, from its text and mask alone."""
+    """(conv_id, part, first, last, turns, loss, chars): what each part of formatted text says, from its text and mask alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,7 +180,7 @@ def read_back(parts: DataFrame, form: ChatFormat = ChatFormat()) -> DataFrame:
                 loss.append([unescaped(text[m["start"] : m["end"]]) for m in mask])
                 chars.append(len(text))
             kind = pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))
-            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), batch.column("part"), pa.array(found, kind), pa.array(loss, pa.list_(pa.string())), pa.array(chars, pa.int64())], names=["conv_id", "part", "turns", "loss", "chars"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, _KEYS), pa.array(found, kind), pa.array(loss, pa.list_(pa.string())), pa.array(chars, pa.int64())], names=[*_KEYS, "turns", "loss", "chars"])
 
     return in_arrow(parts, run, _READ)
 
@@ -198,7 +205,7 @@ def digests(read: DataFrame) -> DataFrame:
 
         for batch in batches:
             for row in batch.to_pylist():
-                if state is None or row["conv_id"] != conv:
+                if state is None or row["first"] or row["conv_id"] != conv:
                     if state is not None:
                         close()
                     conv, state = row["conv_id"], [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
@@ -214,12 +221,14 @@ def digests(read: DataFrame) -> DataFrame:
             close()
             yield out()
 
-    # A salt would not help: the digest of a conversation is one chain over its text.
-    laid = read.repartition("conv_id").sortWithinPartitions("conv_id", "part")
-    return in_arrow(laid, run, _DIGEST)
+    columns = ("conv_id", "part", "first", "turns", "loss", "chars")
+    single = F.col("first") & F.col("last")
+    # A salt would not help the others: the digest of a conversation is one chain over its text.
+    laid = read.where(~single).select(*columns).repartition("conv_id").sortWithinPartitions("conv_id", "part")
+    return in_arrow(read.where(single).select(*columns), run, _DIGEST).unionByName(in_arrow(laid, run, _DIGEST))
 
 
 def chat_report(conversations: DataFrame, form: ChatFormat = ChatFormat(), **columns: str) -> DataFrame:
     """Format all conversations, then read the output back into one row per conversation."""
     output = written(formatted(conversations, form, **columns), "chat-formatted")
-    return digests(read_back(output, form))
+    return digests(written(read_back(output, form), "chat-read"))
