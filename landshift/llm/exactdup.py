@@ -9,7 +9,8 @@ never merges them:
 
 Defined results: a null text counts as empty; empty texts are copies of each other; texts are equal when
 identical after lower-casing A-Z; of equal texts the row with the largest id stays (a null id is smaller
-than any other); a row repeated with its id is marked like the row it repeats; further columns are ignored.
+than any other); a row repeated with its id is marked like the row it repeats, but ``without_copies`` keeps one row
+of each text; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -70,7 +71,17 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with the columns of ``docs``."""
+    """The rows of ``docs`` that stay, one for each text, with the columns of ``docs``.
+
+    Where several rows have a text and its largest id -- rows repeated in full, or without an id -- the least of them
+    in the order of all columns stays. Which those are is told by digest and id alone; texts are grouped only there,
+    and first on the map side."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    stay = marked(rows, f"row.`{id_col}`", f"row.`{text_col}`").where("kept")
-    return stay.select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    stay = marked(rows, f"row.`{id_col}`", f"row.`{text_col}`").where("kept").select("row", "digest", "keep_id")
+    again = written(stay.groupBy("digest", "keep_id").agg(F.count("*").alias("n")).where("n > 1").select("digest", "keep_id"), "exact-again")
+    same = (stay.digest == again.digest) & stay.keep_id.eqNullSafe(again.keep_id)
+    once = stay.join(again, same, "left_anti").select("row")
+    # Texts that share a digest are told apart here as everywhere.
+    content = normalised(F.col(f"row.`{text_col}`")).alias("content")
+    least = stay.join(again, same, "left_semi").groupBy("digest", "keep_id", content).agg(F.min("row").alias("row")).select("row")
+    return once.unionByName(least).select(*[F.col("row")[c].alias(c) for c in docs.columns])

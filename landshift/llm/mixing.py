@@ -3,11 +3,11 @@
 1. Words of each source form one stream (documents in a fixed order); the stream is packed into blocks of
    ``block_words`` words, the last one shorter.
 2. Each output shard has ``shard_slots`` slots; how many go to which source is a multinomial draw seeded by
-   the shard's number. Slots of a source are numbered through all shards.
+   the shard's number, the last and shorter shard included. Slots of a source are numbered through all shards.
 3. Slot r of a source takes the block that a keyed permutation of the source's block numbers gives for
    ``r mod blocks`` (another key for each pass), so a block comes a second time only after all came once.
    Slots and blocks are joined by (source, block).
-4. The last shard balances the draws: slots beyond a source's quota take nothing, missing ones are added
+4. One more shard balances the draws: slots beyond a source's quota take nothing, missing ones are added
    there. A quota is the target over the source's mean block length; as no target exceeds ``max_repeats``
    times its source's size, no block is taken more often than that.
 
@@ -137,13 +137,13 @@ def _slots(spark: SparkSession, rows: list[tuple], mixture: Mixture) -> DataFram
     empty = "shard long, source_no int, slot long, block long, pass long"
     if not total:
         return spark.createDataFrame([], empty)
-    shards = total // mixture.shard_slots
+    shards = -(-total // mixture.shard_slots)
     share, seed, size = quotas / total, mixture.seed, mixture.shard_slots
 
     def drawn(batches):
         for pdf in batches:
             for shard in pdf["id"]:
-                counts = np.random.default_rng([seed, int(shard)]).multinomial(size, share)
+                counts = np.random.default_rng([seed, int(shard)]).multinomial(min(size, total - int(shard) * size), share)
                 hit = np.flatnonzero(counts)
                 yield pd.DataFrame({"shard": np.int64(shard), "source_no": hit.astype(np.int32), "n": counts[hit].astype(np.int64)})
 

@@ -405,9 +405,16 @@ def _named(nodes: DataFrame, joined: DataFrame) -> DataFrame:
 
 
 def without_near_copies(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """The rows of ``docs`` that stand for their class, with the columns of ``docs``."""
-    gone = near_classes(docs, settings).where("NOT kept").select(F.coalesce("doc_id", F.lit(_NULL_ID)).alias("gone"))
-    gone = written(gone.distinct(), "near-gone")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    kept = rows.join(gone, F.coalesce(F.col("row.doc_id").cast("long"), F.lit(_NULL_ID)) == F.col("gone"), "left_anti")
+    """Of each class the row with the least doc_id (one without an id comes last), with the columns of ``docs``.
+
+    Rows are told apart by a number of their own, written with them, so a text that shares its id with a copy of
+    another one stays, and of rows that share both one stays."""
+    number = "_near_row"
+    rows = written(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias(number)), "near-rows")
+    classes = written(near_classes(rows.select(number, F.col("row.text").alias("text")), settings, number).select(F.col("doc_id").alias(number), "class_id"), "near-classes")
+    shared = classes.where(F.col(number) != F.col("class_id")).select("class_id").distinct()
+    members = classes.join(shared, "class_id", "left_semi").join(rows.select(number, F.col("row.doc_id").alias("doc_id")), number)
+    first = members.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", number))[number].alias("first"))
+    gone = written(members.join(first, "class_id").where(F.col(number) != F.col("first")).select(F.col(number).alias("gone")), "near-gone")
+    kept = rows.join(gone, F.col(number) == F.col("gone"), "left_anti")
     return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])

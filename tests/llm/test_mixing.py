@@ -153,3 +153,12 @@ def test_repeats_null_ids_and_empty_table(spark):
     assert len(got) == 4 and sum(r.size for r in got) == 8 and all(r.taken <= 2 * r.size for r in got)
     assert mixing.taken_words(_docs(spark, [])).count() == 0
     assert mixing.mixed_documents(_docs(spark, [])).count() == 0
+
+
+def test_a_mix_of_less_than_a_shard_is_drawn_too(spark):
+    rows = [(i, "word " * 64, "ab"[i % 2]) for i in range(60)]
+    plan = mixing.planned(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    got = {(r.shard, r.source_no): r["count"] for r in plan.slots.groupBy("shard", "source_no").count().collect()}
+    quotas = {r.source_no: r.quota for r in plan.sources.collect()}
+    assert sum(n for (shard, _), n in got.items() if shard == 0) >= 0.8 * sum(quotas.values())
+    assert {s: sum(n for (_, k), n in got.items() if k == s) for s in quotas} == quotas

@@ -82,3 +82,18 @@ def test_long_texts_shared_and_missing_ids(spark, tmp_path):
     kept = corpus_pipeline.exact_dedup(spark, docs, str(tmp_path))
     assert kept.count() == len(rows) - 1 and sum(r.text == same for r in kept.collect()) == 1
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} <= {r[0] for r in rows}
+
+
+def test_rows_repeated_in_full_and_clean_text_beside_a_copy_of_its_id(spark):
+    rng = random.Random(8)
+    say = lambda n: " ".join(rng.choice(WORDS["en"]) + str(rng.randint(0, 9999)) for _ in range(n))
+    a, b, c = say(60), say(60), say(50)
+    near = a + " more words"
+    rows = [(1, a, "en", "s"), (1, a, "en", "s"), (1, a, "en", "s"), (None, b, "en", "s"), (None, b, "en", "s"), (None, b.upper(), "en", "t"), (5, near, "en", "s"), (5, c, "en", "s"), (6, None, "en", "s"), (6, None, "fr", "s")]
+    docs = spark.createDataFrame([(i, t, lang, s, 0) for i, t, lang, s in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    once = corpus_pipeline.exact_dedup(spark, docs, "")
+    kept = [(r.doc_id, (r.text or "").lower()) for r in once.collect()]
+    assert sorted(kept, key=str) == sorted([(1, a), (None, b), (5, near), (5, c), (6, "")], key=str)
+    left = [(r.doc_id, (r.text or "").lower()) for r in corpus_pipeline.near_dedup(spark, once, "").collect()]
+    # The near copy goes; the clean text of the same id stays.
+    assert sorted(left, key=str) == sorted([(1, a), (None, b), (5, c), (6, "")], key=str)
