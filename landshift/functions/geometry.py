@@ -36,6 +36,47 @@ def cell_area_m2(lat_from: Column, lat_to: Column, width: Column) -> Column:
     return F.abs(north - south) * F.abs(F.radians(width)) * (A * A / 2)
 
 
+def local_scales(lat: Column) -> tuple[Column, Column]:
+    """Metres per degree of longitude and of latitude at a latitude, by the ellipsoid's radii of curvature there."""
+    sin = F.sin(F.radians(lat))
+    w = F.sqrt(1 - _E2 * sin * sin)
+    return F.cos(F.radians(lat)) * (math.radians(A) / w), math.radians(A * (1 - _E2)) / (w * w * w)
+
+
+def geodesic_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column, rounds: int = 10) -> Column:
+    """Length in metres of the geodesic between two points, by Vincenty's inverse formula with a fixed number of rounds:
+    below a millimetre for points that are not nearly opposite each other; 0 for the same point."""
+    b = A * (1 - _F)
+    u1, u2 = (F.atan((1 - _F) * F.tan(F.radians(x))) for x in (lat1, lat2))
+    start = F.struct(F.radians(lon2 - lon1).alias("apart"), F.sin(u1).alias("s1"), F.cos(u1).alias("c1"), F.sin(u2).alias("s2"), F.cos(u2).alias("c2"), F.radians(lon2 - lon1).alias("on"))
+    keep = lambda s, on: F.struct(*[s[k].alias(k) for k in ("apart", "s1", "c1", "s2", "c2")], on.alias("on"))
+
+    def arc(s: Column) -> tuple[Column, ...]:
+        """(sine, cosine and length of the arc, squared cosine of the azimuth at the equator, cosine at twice the middle, its sine)"""
+        x, y = s["c2"] * F.sin(s["on"]), s["c1"] * s["s2"] - s["s1"] * s["c2"] * F.cos(s["on"])
+        sin = F.sqrt(x * x + y * y)
+        cos = s["s1"] * s["s2"] + s["c1"] * s["c2"] * F.cos(s["on"])
+        azimuth = F.coalesce(F.try_divide(s["c1"] * s["c2"] * F.sin(s["on"]), sin), F.lit(0.0))
+        square = 1 - azimuth * azimuth
+        middle = F.coalesce(cos - F.try_divide(2 * s["s1"] * s["s2"], F.when(square > 1e-15, square)), F.lit(0.0))
+        return sin, cos, F.atan2(sin, cos), square, middle, azimuth
+
+    def onward(s: Column, _: Column) -> Column:
+        sin, cos, length, square, middle, azimuth = arc(s)
+        c = _F / 16 * square * (4 + _F * (4 - 3 * square))
+        return keep(s, s["apart"] + (1 - c) * _F * azimuth * (length + c * sin * (middle + c * cos * (2 * middle * middle - 1))))
+
+    def metres(s: Column) -> Column:
+        sin, cos, length, square, middle, _ = arc(s)
+        u = square * ((A * A - b * b) / (b * b))
+        big = 1 + u / 16384 * (4096 + u * (u * (320 - 175 * u) - 768))
+        small = u / 1024 * (256 + u * (u * (74 - 47 * u) - 128))
+        turn = small * sin * (middle + small / 4 * (cos * (2 * middle * middle - 1) - small / 6 * middle * (4 * sin * sin - 3) * (4 * middle * middle - 3)))
+        return b * big * (length - turn)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, onward, metres)
+
+
 def utm_to_lon_lat(easting: Column, northing: Column, zone: Column, north: Column) -> Column:
     """struct<lon,lat> in degrees, by Krüger's series to the third order (below a millimetre in a zone)."""
     n = _F / (2 - _F)

@@ -67,6 +67,22 @@ VIEWS = {
     "context_feature": """
         SELECT s_suppkey AS id, CAST(s_suppkey % 8 AS INT) AS layer_id, s_name AS name, s_suppkey * 53 % 420 AS x0, s_suppkey * 29 % 420 AS y0,
                s_suppkey * 53 % 420 + s_suppkey % 4 * 30 AS x1, s_suppkey * 29 % 420 + s_suppkey % 3 * 45 AS y1 FROM supplier""",
+    # Corners of shapes, in twice the unit of the boxes: triangles, diamonds and boxes; features are also rings, lines and points.
+    "event_corner": """
+        SELECT id, 0 AS part, k, CASE WHEN id % 3 = 0 THEN 3 ELSE 4 END AS n,
+               CASE WHEN id % 3 = 0 THEN CASE WHEN k = 1 THEN 2 * x1 ELSE 2 * x0 END WHEN id % 3 = 1 THEN CASE WHEN k = 1 THEN 2 * x1 WHEN k = 3 THEN 2 * x0 ELSE x0 + x1 END WHEN k IN (1, 2) THEN 2 * x1 ELSE 2 * x0 END AS x,
+               CASE WHEN id % 3 = 0 THEN CASE WHEN k = 2 THEN 2 * y1 ELSE 2 * y0 END WHEN id % 3 = 1 THEN CASE WHEN k = 0 THEN 2 * y0 WHEN k = 2 THEN 2 * y1 ELSE y0 + y1 END WHEN k IN (2, 3) THEN 2 * y1 ELSE 2 * y0 END AS y
+        FROM event JOIN (VALUES (0), (1), (2), (3)) AS v(k) ON k < CASE WHEN id % 3 = 0 THEN 3 ELSE 4 END""",
+    "feature_corner": """
+        SELECT id, part, k, n, CASE WHEN n < 3 THEN CASE WHEN k = 0 THEN 2 * x0 ELSE 2 * x1 END WHEN n = 3 THEN CASE WHEN k = 1 THEN 2 * x1 ELSE 2 * x0 END WHEN k IN (1, 2) THEN 2 * x1 - 14 * part ELSE 2 * x0 + 14 * part END AS x,
+               CASE WHEN n < 3 THEN CASE WHEN k = 0 THEN 2 * y0 ELSE 2 * y1 END WHEN n = 3 THEN CASE WHEN k = 2 THEN 2 * y1 ELSE 2 * y0 END WHEN k IN (2, 3) THEN 2 * y1 - 14 * part ELSE 2 * y0 + 14 * part END AS y
+        FROM (SELECT *, CASE WHEN x0 = x1 AND y0 = y1 THEN 1 WHEN x0 = x1 OR y0 = y1 THEN 2 WHEN id % 5 = 1 THEN 3 ELSE 4 END AS n FROM context_feature) AS f
+        JOIN (VALUES (0), (1), (2), (3)) AS v(k) ON k < n JOIN (VALUES (0), (1)) AS p(part) ON part = 0 OR (n = 4 AND id % 2 = 0)""",
+    # Slanted areas over the cells of a scene; those of every sixth nation lie beside them.
+    "area_corner": """
+        SELECT id, 0 AS part, k, 3 AS n, CASE k WHEN 0 THEN id % 7 WHEN 1 THEN 20 + id % 4 ELSE 5 + id % 9 END + CASE WHEN id % 6 = 0 THEN 100 ELSE 0 END AS x,
+               CASE k WHEN 0 THEN id % 5 WHEN 1 THEN 3 + id % 6 ELSE 22 - id % 3 END AS y
+        FROM aoi JOIN (VALUES (0), (1), (2)) AS v(k) ON true""",
     "run_event": """
         SELECT event_id AS id, user_id AS run_id, ts AS occurred_at, event_type AS stage, CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'succeeded' ELSE 'info' END AS outcome,
                CASE WHEN event_id % 3 > 0 THEN CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) END AS exports FROM events""",
