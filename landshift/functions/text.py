@@ -89,10 +89,17 @@ def full_match(text: Column, pattern: str) -> Column:
 
 
 def canonical_path(path: Column) -> Column:
-    """A path without repeated slashes, ``.`` parts and ``name/..`` pairs (one level of them)."""
-    out = F.regexp_replace(F.trim(path), r"/+", "/")
-    out = F.regexp_replace(out, r"(^|/)(?:\./)+", "$1")
-    return F.regexp_replace(out, r"(^|/)(?!\.\./)[^/]+/\.\./", "$1")
+    """A path without repeated slashes, ``.`` parts and ``name/..`` pairs, however nested; at the root ``..`` stays there."""
+    trimmed = F.trim(path)
+    rooted = F.startswith(trimmed, F.lit("/"))
+
+    def onward(done: Column, part: Column) -> Column:
+        last = F.get(done, F.size(done) - 1)
+        back = F.when(last.isNotNull() & (last != ".."), F.slice(done, F.lit(1), F.size(done) - 1)).when(rooted, done).otherwise(F.concat(done, F.array(part)))
+        return F.when(part.isin("", "."), done).when(part == "..", back).otherwise(F.concat(done, F.array(part)))
+
+    parts = F.aggregate(F.split(trimmed, "/"), F.array().cast("array<string>"), onward)
+    return F.concat(F.when(rooted, "/").otherwise(""), F.array_join(parts, "/"))
 
 
 def known_orbit(direction: Column) -> Column:

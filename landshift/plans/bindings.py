@@ -62,7 +62,7 @@ VIEWS = {
                CASE WHEN e.id % 3 = 0 THEN '{"factors":{"agreement":{"basis":"both"}}}' ELSE '{"factors":{"agreement":{"basis":null}}}' END AS inputs
         FROM event e, (VALUES (0), (1), (2)) AS v(k) WHERE e.id % 7 > k""",
     "context_layer": """
-        SELECT * FROM (VALUES (0, 'layer a', 'concession'), (1, 'layer b', 'plantation'), (2, 'layer c', 'road'), (3, 'layer d', 'river'), (4, 'layer e', 'mill'),
+        SELECT * FROM (VALUES (0, 'layer a', 'concession'), (1, 'layer b', 'port'), (2, 'layer c', 'road'), (3, 'layer d', 'river'), (4, 'layer e', 'mill'),
                (5, 'layer f', 'settlement'), (6, 'layer g', 'protected_area'), (7, 'layer h', 'other'), (8, 'empty', 'other')) AS t(id, name, kind)""",
     "context_feature": """
         SELECT s_suppkey AS id, CAST(s_suppkey % 8 AS INT) AS layer_id, s_name AS name, s_suppkey * 53 % 420 AS x0, s_suppkey * 29 % 420 AS y0,
@@ -91,8 +91,8 @@ VIEWS = {
                CASE WHEN user_id % 6 > 0 THEN 1 + user_id % 3 END AS methodology_id, concat('g', CAST(user_id % 2 AS VARCHAR(2))) AS geometry_hash
         FROM events GROUP BY user_id""",
     "methodology": """
-        SELECT * FROM (VALUES (1, 'optical-change', 's1', 'a'), (2, 'radar-change', 'r1', 'a'), (3, 'optical-change', 's1', 'b'), (4, 'optical-change', 's2', 'b'), (5, 'optical-change', 's2', 'c'),
-               (6, 'radar-change', 'r1', 'b'), (7, 'optical-change', 's3', 'c'), (8, 'radar-change', 'r2', 'b')) AS t(id, name, script, detection)""",
+        SELECT CAST(n_nationkey + 1 AS INT) AS id, CASE WHEN n_nationkey % 4 IN (1, 3) THEN 'radar-change' ELSE 'optical-change' END AS name,
+               concat(CASE WHEN n_nationkey % 4 IN (1, 3) THEN 'r' ELSE 's' END, CAST(n_nationkey % 25 - n_nationkey % 6 AS VARCHAR(5))) AS script, concat('d', CAST(n_regionkey AS VARCHAR(5))) AS detection FROM nation""",
     "index_raster": """
         SELECT id * 2 + k AS id, o.id AS observation_id, CASE k WHEN 0 THEN 'NBR' ELSE 'NDVI' END AS index_type, CAST(1 + o.id % 2 AS BIGINT) AS lineage_id,
                concat(CAST(aoi_id AS VARCHAR(20)), '-area/', CASE k WHEN 0 THEN 'nbr' ELSE 'ndvi' END, '/', CAST(CAST(acquired_at AS DATE) AS VARCHAR(10)), '/', source_scene_id, '.tif') AS path

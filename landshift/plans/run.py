@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from landshift.functions import text as fn
-from landshift.operators import baseline, catalog, components, confidence, context, raster, tracking, trajectory
+from landshift.operators import baseline, catalog, components, confidence, context, footprints, raster, tracking, trajectory
 from landshift.sources.scenes import discovered, in_window
 from landshift.sources.shared import written
 
@@ -138,7 +138,10 @@ def run(given: Inputs, since, until, now: Column, p: Parameters = Parameters())
     rasters = written(rasters, "run-rasters")
 
     # Events.
-    links = written(tracking.tracked(candidates), "run-links")
+    cells = ours_cells.unionByName(their_cells)
+    runs = written(footprints.runs(cells, "candidate_id"), "run-footprints")
+    links = written(tracking.tracked(candidates, runs), "run-links")
+    area = written(tracking.event_footprints(links, runs), "run-event-footprints")
     members = links.join(candidates.withColumnRenamed("id", "candidate_id"), "candidate_id")
     bounds = members.groupBy("event_id").agg(F.first("aoi_id").alias("aoi_id"), F.first("methodology_id").alias("methodology_id"), *[f(c).alias(c) for f, c in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1"))])
     events = tracking.summarised(members).join(bounds, "event_id").withColumnRenamed("event_id", "id")
@@ -150,8 +153,8 @@ def run(given: Inputs, since, until, now: Column, p: Parameters = Parameters())
     looks = scenes_ok.join(F.broadcast(sensors), F.col("sensor") == F.col("name")).select("id", "aoi_id", "kind", "sensor", F.col("acquired_at").cast("timestamp_ntz").alias("acquired_at"))
     kinds = confidence.own_kinds(links, candidates, scenes_ok, sensors)
     marked = candidates.join(looks.select(F.col("id").alias("change_raster_id"), "kind"), "change_raster_id")
-    agree = confidence.agreement(after, kinds, looks, marked).select(F.col("event_id").alias("id"), "agreement")
-    footprint = links.join(ours_cells.unionByName(their_cells), "candidate_id").select("event_id", components.cell_id(F.lit(0), F.col("row"), F.col("col")).alias("cell")).distinct()
+    agree = confidence.agreement(after, kinds, looks, marked, footprints=(area, runs.withColumnRenamed("candidate_id", "id"))).select(F.col("event_id").alias("id"), "agreement")
+    footprint = footprints.cells(area, "id").select(F.col("id").alias("event_id"), components.cell_id(F.lit(0), F.col("row"), F.col("col")).alias("cell"))
     points = trajectory.series(trajectory.footprint_samples(after, optical, index, footprint))
     states = trajectory.classified(after, points).select(F.col("event_id").alias("id"), "state")
     scored = after.join(confidence.event_stats(links, candidates).withColumnRenamed("event_id", "id"), "id").join(agree, "id", "left").join(states, "id", "left")

@@ -363,12 +363,15 @@ def run_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    SELECT * FROM (VALUES ('API_TOKEN', 'https://***@host/x', 'override', CAST(NULL AS VARCHAR)), ('BASELINE', '5', 'default', '7'), ('MIN_AREA', '9000', 'environment', CAST(NULL AS VARCHAR)), ('THRESHOLD', '-0.3', 'override', '-0.25')) AS t(name, value, source, recorded)""")
+    SELECT n_name AS name, CASE WHEN n_nationkey % 5 = 0 THEN concat('https://***@host/', CAST(n_nationkey AS VARCHAR)) WHEN n_nationkey % 4 = 1 THEN CAST(n_nationkey * 10 AS VARCHAR) ELSE CAST(n_regionkey AS VARCHAR) END AS value,
+           CASE WHEN n_nationkey % 5 = 0 THEN 'override' WHEN n_nationkey % 4 = 1 THEN 'environment' ELSE 'default' END AS source, CASE WHEN n_nationkey % 3 = 0 THEN CAST(n_regionkey + 1 AS VARCHAR) END AS recorded FROM nation""")
 def settings_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Settings with their value, the layer it comes from, credentials left out, and what the latest methodology records."""
-    given = overrides.settings(spark, "API_TOKEN=https://me:pw@host/x\n# none\nTHRESHOLD=-0.2\nTHRESHOLD=-0.3\n")
-    known = spark.createDataFrame([("THRESHOLD", "-0.25", None), ("BASELINE", "5", None), ("MIN_AREA", "4500", "9000"), ("API_TOKEN", None, None)], "name string, default_value string, environment string")
-    recorded = spark.createDataFrame([("THRESHOLD", "-0.25"), ("BASELINE", "7")], "name string, recorded string")
+    rows = Domain(spark, sf_dir).table("nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("key"), F.col("n_regionkey").cast("string").alias("default_value"))
+    number = F.col("key").cast("string")
+    given = rows.select("name", F.when(F.col("key") % 5 == 0, F.concat(F.lit("https://me:pw@host/"), number)).otherwise(" ").alias("override"))
+    known = rows.select("name", "default_value", F.when(F.col("key") % 4 == 1, (F.col("key") * 10).cast("string")).alias("environment"))
+    recorded = rows.where("key % 3 = 0").select("name", (F.col("default_value").cast("long") + 1).cast("string").alias("recorded"))
     return overrides.catalogue(known, given, recorded).orderBy("name")
 
 
@@ -388,7 +391,7 @@ def event_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
     SELECT a.id AS event_id, b.id AS feature_id, round(30 * 3600 * sqrt(power(greatest(0, a.x0 - b.x1, b.x0 - a.x1) * cos(radians((a.y0 + a.y1) / 7200.0)), 2) + power(greatest(0, a.y0 - b.y1, b.y0 - a.y1), 2)) / 3600, 3) AS arc_seconds
-    FROM event a JOIN context_feature b ON a.aoi_id = b.id % 25 AND greatest(a.x0, b.x0) <= least(a.x1, b.x1) + 10 AND greatest(a.y0, b.y0) <= least(a.y1, b.y1) + 10 WHERE b.layer_id < 4""".replace("30 * 3600 * ", "30.0E0 * ").replace(" / 3600, 3)", ", 3)"))
+    FROM event a JOIN context_feature b ON a.aoi_id = b.id % 25 AND greatest(a.x0, b.x0) <= least(a.x1, b.x1) + 10 AND greatest(a.y0, b.y0) <= least(a.y1, b.y1) + 10""".replace("30 * 3600 * ", "30.0E0 * ").replace(" / 3600, 3)", ", 3)"))
 def nearby_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sites near events of the same area, in arc seconds; longitudes shrink with latitude."""
     from landshift.operators.boxes import near_pairs
@@ -396,7 +399,7 @@ def nearby_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = Domain(spark, sf_dir)
     box = ("x0", "y0", "x1", "y1")
     events = d.event.select("id", "aoi_id", *box)
-    sites = d.context_feature.where("layer_id < 4").select("id", (F.col("id") % 25).alias("aoi_id"), *box)
+    sites = d.context_feature.select("id", (F.col("id") % 25).alias("aoi_id"), *box)
     pairs = near_pairs(events, sites, ("aoi_id",), within=15.0)
     gap = lambda lo, hi: F.greatest(F.lit(0), F.col(f"l_{lo}") - F.col(f"r_{hi}"), F.col(f"r_{lo}") - F.col(f"l_{hi}"))
     dx, dy = gap("x0", "x1"), gap("y0", "y1")
@@ -427,7 +430,8 @@ _RUN = """
     label AS (SELECT scene, c, min(seen) AS patch FROM spread GROUP BY scene, c),
     cand AS MATERIALIZED (SELECT h.scene * 1099511627776 + (patch - patch % 4) // 4 * 1048576 + patch % 4 AS id, m, o.aoi_id, h.scene, o.acquired_at AS seen_at, min(col) AS x0, min(row) AS y0, max(col) + 1 AS x1, max(row) + 1 AS y1
              FROM hit h JOIN label l ON l.scene = h.scene AND l.c = h.row * 4 + h.col JOIN ok o ON o.id = h.scene GROUP BY ALL),
-    edge AS MATERIALIZED (SELECT a.id AS u, b.id AS v FROM cand a JOIN cand b ON a.aoi_id = b.aoi_id AND a.m = b.m AND (a.seen_at, a.id) > (b.seen_at, b.id) AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1),
+    part AS MATERIALIZED (SELECT h.scene * 1099511627776 + (patch - patch % 4) // 4 * 1048576 + patch % 4 AS id, h.row, h.col FROM hit h JOIN label l ON l.scene = h.scene AND l.c = h.row * 4 + h.col),
+    edge AS MATERIALIZED (SELECT DISTINCT a.id AS u, b.id AS v FROM cand a JOIN cand b ON a.aoi_id = b.aoi_id AND a.m = b.m AND (a.seen_at, a.id) > (b.seen_at, b.id) JOIN part p ON p.id = a.id JOIN part q ON q.id = b.id AND abs(p.row - q.row) <= 1 AND abs(p.col - q.col) <= 1),
     walk AS (SELECT id, id AS seen FROM cand UNION SELECT w.id, e.v FROM walk w JOIN edge e ON e.u = w.seen),
     track AS (SELECT w.id, arg_min(c.id, (c.seen_at, c.id)) AS event_id FROM walk w JOIN cand c ON c.id = w.seen GROUP BY w.id),
     ev AS (SELECT event_id AS id, any_value(aoi_id) AS aoi_id, CAST(any_value(m) AS BIGINT) AS methodology_id, count(*) AS members, min(seen_at) AS first_detected_at, max(seen_at) AS last_detected_at, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1

@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from landshift.functions.geometry import polygon_problem
 from landshift.functions.text import kind_and_name, last_segment
 
-KINDS = ("concession", "plantation", "road", "river", "mill", "settlement", "protected_area", "other")
+# Fixed values of the format: kinds of context layers, and names of WGS 84.
+KINDS = ("concession", "protected_area", "road", "river", "settlement", "mill", "port", "other")
+WORLD = ("urn:ogc:def:crs:ogc:1.3:crs84", "urn:ogc:def:crs:epsg::4326", "epsg:4326", "crs84")
+
 _DOCUMENT = "type string, geometry string, properties string, features array<string>, crs string"
 _FEATURE = "type string, geometry string, properties string, id string"
 _SHAPE = "type string, coordinates string"
-WORLD = ("epsg:4326", "urn:ogc:def:crs:ogc:1.3:crs84", "urn:ogc:def:crs:epsg::4326", "ogc:crs84")
 
 
 def documents(spark: SparkSession, path: str) -> DataFrame:
