@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from landshift.functions import text as fn
 from landshift.operators import baseline, catalog, components, confidence, context, footprints, raster, tracking, trajectory
 from landshift.sources.scenes import discovered, in_window
-from landshift.sources.shared import written
+from landshift.sources.shared import Stages, written
 
 OPTICAL, RADAR = 1, 2
 SENSORS = {"HLSL30": "optical", "HLSS30": "optical", "S1GRD": "radar"}
@@ -74,10 +74,10 @@ _CANDIDATE = "id long, aoi_id long, methodology_id long, change_raster_id long,
 _SIDE = 1 << 20
 
 
-def _patched(hits: DataFrame, value: str, scenes: DataFrame, methodology: int, p: Parameters, name: str) -> tuple[DataFrame, DataFrame]:
+def _patched(hits: DataFrame, value: str, scenes: DataFrame, methodology: int, p: Parameters, name: str, keep) -> tuple[DataFrame, DataFrame]:
     """(candidates, cells): patches of hits (scene_id, row, col, value), and the cells that each is made of."""
     cells = hits.select(F.col("scene_id").alias("scene"), "row", "col", F.col(value).alias("delta"))
-    labelled = written(components.patches(cells), name)
+    labelled = keep(lambda: components.patches(cells), name)
     found = components.patch_stats(labelled, "delta", p.cell_area_m2, p.min_area_m2).join(scenes.withColumnRenamed("id", "scene"), "scene")
     candidates = found.select(
         F.col("patch").alias("id"), "aoi_id", F.lit(methodology).cast("long").alias("methodology_id"), F.col("scene").alias("change_raster_id"), F.col("acquired_at").cast("timestamp_ntz").alias("detected_at"),
@@ -94,15 +94,19 @@ def _one_row(*parts: DataFrame) -> DataFrame:
     return out
 
 
-def run(given: Inputs, since, until, now: Column, p: Parameters = Parameters()) -> Result:
-    """Baselines look further back than the window; only scenes inside it are searched for change."""
+def run(given: Inputs, since, until, now: Column, p: Parameters = Parameters(), folder: str | None = None, version: str = "") -> Result:
+    """Baselines look further back than the window; only scenes inside it are searched for change.
+
+    With a ``folder`` a run that was cut off goes on after its last finished table when it is started again; without one
+    its tables are its own. ``version`` tells inputs apart that are not read from files."""
     spark = given.listing.sparkSession
+    keep = Stages(spark, folder, vars(given), (p, str(since), str(until), str(now)), version).table if folder else lambda make, name: written(make() if callable(make) else make, name)
     listed = given.listing.where(in_window(F.col("acquired_at"), since, until))
     new, found = discovered(given.known, listed)
-    scenes = written(given.known.unionByName(new.select(*given.known.columns)), "run-scenes")
+    scenes = keep(given.known.unionByName(new.select(*given.known.columns)), "run-scenes")
     failed = given.failed if given.failed is not None else spark.createDataFrame([], "observation_id long")
     scenes_ok = scenes.join(failed.select(F.col("observation_id").alias("id")), "id", "left_anti")
-    wanted = written(scenes_ok.where(in_window(F.col("acquired_at"), since, until)).select(F.col("id").alias("scene_id"), "sensor"), "run-wanted")
+    wanted = keep(scenes_ok.where(in_window(F.col("acquired_at"), since, until)).select(F.col("id").alias("scene_id"), "sensor"), "run-wanted")
     optical = scenes_ok.where(F.col("sensor").isin(*raster.BANDS)).select("id", "aoi_id", "acquired_at")
     radar = scenes_ok.where(F.col("sensor") == "S1GRD").select("id", "aoi_id", "acquired_at", "orbit_direction")
     pixel = components.cell_id(F.lit(0), F.col("row"), F.col("col")).alias("pixel")
@@ -110,13 +114,13 @@ def run(given: Inputs, since, until, now: Column, p: Parameters = Parameters())
     # Masks and indices.
     seen = given.pixels.join(optical.select(F.col("id").alias("observation_id")), "observation_id", "left_semi")
     clear = raster.clear(F.col("fmask"))
-    quality = written(raster.valid_fraction(seen, clear, "observation_id"), "run-quality")
-    index = written(raster.indices(raster.masked(seen, clear, "red", "nir", "swir2")).select("observation_id", pixel, "nbr"), "run-index")
+    quality = keep(raster.valid_fraction(seen, clear, "observation_id"), "run-quality")
+    index = keep(raster.indices(raster.masked(seen, clear, "red", "nir", "swir2")).select("observation_id", pixel, "nbr"), "run-index")
 
     # Change against the baseline, of scenes in the window.
     inside = wanted.select("scene_id")
     pairs = baseline.trailing(optical, p.baseline).join(inside, "scene_id", "left_semi")
-    sources = written(pairs.unionByName(baseline.trailing(radar, p.baseline, ("aoi_id", "orbit_direction")).join(inside, "scene_id", "left_semi")), "run-sources")
+    sources = keep(pairs.unionByName(baseline.trailing(radar, p.baseline, ("aoi_id", "orbit_direction")).join(inside, "scene_id", "left_semi")), "run-sources")
     changed = sources.select("scene_id").distinct().join(wanted, "scene_id")
     place = lambda df: df.withColumns({"row": F.floor(F.col("pixel") / _SIDE), "col": F.col("pixel") % _SIDE})
     deltas = baseline.deltas(optical, index, "nbr", n=p.baseline).join(inside, "scene_id", "left_semi")
@@ -125,28 +129,28 @@ def run(given: Inputs, since, until, now: Column, p: Parameters = Parameters())
         hits = raster.aligned(hits, given.forest.withColumn("keep", raster.forest(p.mask, p.canopy_percent)), 1)
     echoes = given.pixels.select("observation_id", pixel, "vv")
     vv = baseline.deltas(radar, echoes, "vv", n=p.baseline, same=("aoi_id", "orbit_direction")).join(inside, "scene_id", "left_semi")
-    ours, ours_cells = _patched(hits, "delta_nbr", optical, OPTICAL, p, "run-patches")
-    theirs, their_cells = _patched(place(raster.hits(vv, "delta_vv", p.vv_threshold)), "delta_vv", radar.drop("orbit_direction"), RADAR, p, "run-echoes")
-    candidates = written(ours.unionByName(theirs), "run-candidates")
+    ours, ours_cells = _patched(hits, "delta_nbr", optical, OPTICAL, p, "run-patches", keep)
+    theirs, their_cells = _patched(place(raster.hits(vv, "delta_vv", p.vv_threshold)), "delta_vv", radar.drop("orbit_direction"), RADAR, p, "run-echoes", keep)
+    candidates = keep(ours.unionByName(theirs), "run-candidates")
     methodology = F.when(F.col("sensor") == "S1GRD", RADAR).otherwise(OPTICAL).cast("long")
-    markers = written(changed.select(F.col("scene_id").alias("change_raster_id"), methodology.alias("methodology_id")), "run-markers")
+    markers = keep(changed.select(F.col("scene_id").alias("change_raster_id"), methodology.alias("methodology_id")), "run-markers")
     products = wanted.where(F.col("sensor") != "S1GRD").select("scene_id", F.explode(F.array(F.lit("NBR"), F.lit("NDVI"))).alias("product"))
     products = products.unionByName(changed.select("scene_id", F.explode(F.when(F.col("sensor") == "S1GRD", F.array(F.lit("delta_vv_db"))).otherwise(F.array(F.lit("delta_nbr"), F.lit("delta_ndvi")))).alias("product")))
     stored = given.stored if given.stored is not None else spark.createDataFrame([], "observation_id long, product string")
     held = stored.select(F.col("observation_id").alias("scene_id"), "product", F.lit(True).alias("is_stored")).distinct()
     rasters = products.join(held, ["scene_id", "product"], "left").select(F.col("scene_id").alias("observation_id"), "product", F.coalesce("is_stored", F.lit(False)).alias("reused"))
-    rasters = written(rasters, "run-rasters")
+    rasters = keep(rasters, "run-rasters")
 
     # Events.
     cells = ours_cells.unionByName(their_cells)
-    runs = written(footprints.runs(cells, "candidate_id"), "run-footprints")
-    links = written(tracking.tracked(candidates, runs), "run-links")
-    area = written(tracking.event_footprints(links, runs), "run-event-footprints")
+    runs = keep(footprints.runs(cells, "candidate_id"), "run-footprints")
+    links = keep(lambda: tracking.tracked(candidates, runs), "run-links")
+    area = keep(tracking.event_footprints(links, runs), "run-event-footprints")
     members = links.join(candidates.withColumnRenamed("id", "candidate_id"), "candidate_id")
     bounds = members.groupBy("event_id").agg(F.first("aoi_id").alias("aoi_id"), F.first("methodology_id").alias("methodology_id"), *[f(c).alias(c) for f, c in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1"))])
     events = tracking.summarised(members).join(bounds, "event_id").withColumnRenamed("event_id", "id")
-    events = written(events, "run-open")
-    after = written(tracking.resolved(events, optical, quality, now, p.resolve_days, p.clear_floor), "run-events")
+    events = keep(events, "run-open")
+    after = keep(tracking.resolved(events, optical, quality, now, p.resolve_days, p.clear_floor), "run-events")
 
     # Confidence: statistics, what the other sensor saw, and what came after.
     sensors = spark.createDataFrame(list(SENSORS.items()), "name string, kind string")
@@ -160,11 +164,11 @@ def run(given: Inputs, since, until, now: Column, p: Parameters = Parameters())
     scored = after.join(confidence.event_stats(links, candidates).withColumnRenamed("event_id", "id"), "id").join(agree, "id", "left").join(states, "id", "left")
     days = fn.days_between(F.col("last_detected_at"), now)
     scored = confidence.weighted(scored.withColumns({"magnitude": confidence.magnitude(F.col("delta_min")), "persistence": confidence.persistence(F.col("measurements")), "coverage": fn.clamped(F.col("mean_valid_fraction")), "currency": confidence.currency(days), "stability": confidence.stability(F.col("state"))}))
-    after = written(scored.select("id", "aoi_id", "methodology_id", "status", "first_detected_at", "last_detected_at", "members", "x0", "y0", "x1", "y1", "agreement", "state", "score", "level", "missing"), "run-scored")
+    after = keep(scored.select("id", "aoi_id", "methodology_id", "status", "first_detected_at", "last_detected_at", "members", "x0", "y0", "x1", "y1", "agreement", "state", "score", "level", "missing"), "run-scored")
     history = given.history if given.history is not None else spark.createDataFrame([], "id long, event_id long, rule_version string, level string, score double")
-    assessments = written(confidence.moved(after.select(F.col("id").alias("event_id"), "level", "score"), history, p.rule), "run-assessments")
+    assessments = keep(confidence.moved(after.select(F.col("id").alias("event_id"), "level", "score"), history, p.rule), "run-assessments")
     features = given.features if given.features is not None else spark.createDataFrame([], "id long, kind string, x0 long, y0 long, x1 long, y1 long")
-    related = written(context.relations(after.select("id", "x0", "y0", "x1", "y1"), features, p.context_m, p.scale_m), "run-context")
+    related = keep(context.relations(after.select("id", "x0", "y0", "x1", "y1"), features, p.context_m, p.scale_m), "run-context")
 
     of = lambda *names: F.col("product").isin(*names)
     n = lambda test, name: F.count_if(test).alias(name)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -41,6 +43,33 @@ def resumed(make: Callable[[], DataFrame], path: str, spark: SparkSession) -> Da
     return spark.read.parquet(path)
 
 
+def fingerprint(df: DataFrame) -> str:
+    """What a table is made of, as a hash: its schema, its plan, and name, size and time of every file it reads."""
+    digest = hashlib.sha256(f"{df.schema.simpleString()}\n{df._jdf.queryExecution().analyzed().canonicalized().toString()}\n".encode())
+    for file in sorted(df.inputFiles()):
+        system, where = _system(df.sparkSession, file)
+        status = system.getFileStatus(where)
+        digest.update(f"{file} {status.getLen()} {status.getModificationTime()}\n".encode())
+    return digest.hexdigest()
+
+
+class Stages:
+    """The tables of a run in a folder of their own, under a key of its inputs and parameters.
+
+    A run that was cut off finds what it had finished when it starts again with the same inputs and parameters, and goes
+    on from there; with others it makes everything anew. Inputs are told apart by their files; rows that were handed over
+    without files, by ``version``."""
+
+    def __init__(self, spark: SparkSession, folder: str, inputs: dict[str, DataFrame | None], parameters: object, version: str = ""):
+        said = json.dumps({"inputs": {k: fingerprint(v) for k, v in sorted(inputs.items()) if v is not None}, "parameters": repr(parameters), "version": version}, sort_keys=True)
+        self.spark, self.said = spark, said
+        self.folder = f"{folder.rstrip('/')}/{hashlib.sha256(said.encode()).hexdigest()[:20]}"
+
+    def table(self, make: Callable[[], DataFrame] | DataFrame, name: str) -> DataFrame:
+        """The finished table of that name, or ``make`` written as such; a function is called only if there is none."""
+        return resumed(make if callable(make) else lambda: make, f"{self.folder}/{name}", self.spark)
+
+
 def published(df: DataFrame, path: str, keep: int = 2) -> DataFrame:
     """``df`` as the next state of the catalog table at ``path``, which may be what ``df`` reads: a version of its own is
     written beside those before, the oldest go. ``current`` reads the newest that is whole."""
