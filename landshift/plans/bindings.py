@@ -46,7 +46,7 @@ VIEWS = {
         FROM candidate JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8), (9), (10)) AS v(k) ON k < y1 - y0
         UNION ALL SELECT id, y0 + k, x1 - 1, x1 FROM candidate JOIN (VALUES (1), (2), (3), (4), (5), (6), (7), (8), (9)) AS v(k) ON k < y1 - y0 - 1 WHERE id % 4 = 2 AND x1 - x0 > 1""",
     "event_observation": """
-        SELECT id, aoi_id * 1000000 + methodology_id * 100000 + (x0 - x0 % 100) * 10 + (y0 - y0 % 100) AS event_id, id AS candidate_id,
+        SELECT id, aoi_id * 1000000 + methodology_id * 100000 + (x0 - x0 % 100) * 10 + (y0 - y0 % 100) + EXTRACT(YEAR FROM detected_at) % 50 AS event_id, id AS candidate_id,
                detected_at AS observed_at, CASE WHEN id % 4 > 0 THEN id % 50 * 10.0E0 END AS growth_m2
         FROM candidate WHERE id % 12 > 0""",
     "event": """

@@ -194,11 +194,16 @@ _PATHS = "(SELECT path FROM index_raster UNION ALL SELECT path FROM change_raste
 
 
 @query(f"""
-    WITH p AS {_PATHS}, m AS (SELECT count(*) AS n FROM p WHERE path NOT IN (SELECT path FROM raster_file))
-    SELECT count(*) AS cataloged, (SELECT n FROM m) AS missing, (SELECT n FROM m) / count(*) AS ratio, (SELECT n FROM m) / count(*) >= 0.5 AS warn FROM p""")
+    WITH p AS {_PATHS}, f AS (SELECT 'all' AS files, path FROM raster_file UNION ALL SELECT 'since 1998', path FROM raster_file WHERE split_part(path, '/', 3) >= '1998'),
+    m AS (SELECT files, count(*) FILTER (WHERE path NOT IN (SELECT path FROM f WHERE f.files = k.files)) AS n, count(*) AS cataloged FROM p, (SELECT DISTINCT files FROM f) k GROUP BY files)
+    SELECT files, cataloged, n AS missing, n / cataloged AS ratio, n / cataloged >= 0.5 AS warn FROM m""")
 def missing_rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cataloged rasters without a file: with the files there are, and had all before 1998 been lost, which is a warning."""
     d = Domain(spark, sf_dir)
-    return exports.missing_report(d.index_raster.select("path").unionByName(d.change_raster.select("path")), d.raster_file)
+    cataloged = d.index_raster.select("path").unionByName(d.change_raster.select("path"))
+    recent = d.raster_file.where(F.split_part("path", F.lit("/"), F.lit(3)) >= "1998")
+    told = [exports.missing_report(cataloged, files).withColumn("files", F.lit(name)) for name, files in (("all", d.raster_file), ("since 1998", recent))]
+    return told[0].unionByName(told[1])
 
 
 @query("""

@@ -34,17 +34,18 @@ def _in_use(d: Domain) -> DataFrame:
 
 
 def _recorded(d: Domain) -> DataFrame:
-    """(change_raster_id, observation_id): sources as they were recorded, when the newest of today's baseline was not there yet."""
+    """(change_raster_id, observation_id): sources as they were recorded, when the newest of today's baseline was not there
+    yet; every 19th raster's were lost."""
     trail = baseline.trailing(d.optical).where("place > 1").select(F.col("scene_id").alias("observation_id"), "baseline_id")
     rasters = d.change_raster.select(F.col("id").alias("change_raster_id"), "observation_id")
-    priors = rasters.join(trail, "observation_id").select("change_raster_id", F.col("baseline_id").alias("observation_id"))
+    priors = rasters.where("change_raster_id % 19 > 0").join(trail, "observation_id").select("change_raster_id", F.col("baseline_id").alias("observation_id"))
     return priors.unionByName(rasters)
 
 
 _RECORDED = """
     source AS (SELECT c.id AS change_raster_id, t.baseline_id AS observation_id FROM change_raster c JOIN (
                    SELECT a.id AS scene_id, b.id AS baseline_id, row_number() OVER (PARTITION BY a.id ORDER BY b.acquired_at DESC, b.id DESC) AS place
-                   FROM optical a JOIN optical b ON a.aoi_id = b.aoi_id AND b.acquired_at < a.acquired_at) t ON t.scene_id = c.observation_id WHERE t.place BETWEEN 2 AND 5
+                   FROM optical a JOIN optical b ON a.aoi_id = b.aoi_id AND b.acquired_at < a.acquired_at) t ON t.scene_id = c.observation_id WHERE t.place BETWEEN 2 AND 5 AND c.id % 19 > 0
                UNION ALL SELECT id, observation_id FROM change_raster)"""
 
 
@@ -163,12 +164,12 @@ def lineage_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    SELECT event_id AS id, concat('{"a":{"x":', CAST(user_id AS VARCHAR), ',"y":[1,2]},"b":"', event_type, '"}') AS canonical, true AS same, user_id % 2 = 0 AS same_as_even FROM events""")
+    SELECT event_id AS id, concat('{"a":{"x":', CAST(user_id AS VARCHAR), ',"y":[1,2]},"b":"', event_type, '"}') AS canonical, event_id % 5 > 0 AS same, user_id % 2 = 0 AS same_as_even FROM events""")
 def json_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JSON objects are equal in whatever order their keys stand, nested ones too."""
+    """JSON objects are equal in whatever order their keys stand, nested ones too; arrays only in the same order."""
     u, kind = F.col("user_id").cast("string"), F.col("event_type")
     one = F.concat(F.lit('{"b":"'), kind, F.lit('","a":{"y":[1,2],"x":'), u, F.lit("}}"))
-    two = F.concat(F.lit('{ "a": {"x":'), u, F.lit(', "y": [1, 2]}, "b" : "'), kind, F.lit('"}'))
+    two = F.concat(F.lit('{ "a": {"x":'), u, F.when(F.col("event_id") % 5 > 0, ', "y": [1, 2]}, "b" : "').otherwise(', "y": [2, 1]}, "b" : "'), kind, F.lit('"}'))
     three = F.concat(F.lit('{"a":{"x":'), (F.col("user_id") - F.col("user_id") % 2).cast("string"), F.lit(',"y":[1,2]},"b":"'), kind, F.lit('"}'))
     return Domain(spark, sf_dir).table("events").select(F.col("event_id").alias("id"), hashes.canonical_json(one).alias("canonical"), hashes.same_json(one, two).alias("same"), hashes.same_json(one, three).alias("same_as_even"))
 
