@@ -93,20 +93,18 @@ def meetings(left: DataFrame, right: DataFrame, size: float, equal: tuple[str, .
 
 def located(probes: DataFrame, shapes: DataFrame, size: float) -> DataFrame:
     """``probes`` (shape, x, y, …) with ``inside`` (strictly within an odd number of rings) and ``on`` (on an outline) of the
-    shape that each names; probes are told apart by all their columns."""
+    shape that each names. Probes are distinct: they are told apart by all their columns."""
     y0, y1 = F.least("ay", "by"), F.greatest("ay", "by")
     bands = shapes.where("filled").select(F.col("id").alias("shape"), "ax", "ay", "bx", "by", F.explode(F.sequence(F.floor(y0 / size), F.floor(y1 / size))).alias("band"))
     asked = probes.withColumn("band", F.floor(F.col("y") / size))
-    met = asked.join(bands, ["shape", "band"])
+    met = asked.join(bands, ["shape", "band"], "left")
     x, y, ends = F.col("x"), F.col("y"), tuple(F.col(c) for c in ("ax", "ay", "bx", "by"))
     on = (_side(*ends, x, y) == 0) & _within_box(ends, x, y)
     # An edge counts with its lower end and without its upper one, so a corner counts once or twice as it should.
     above = (F.col("ay") > y) != (F.col("by") > y)
     right = x < F.col("ax") + (y - F.col("ay")) * F.try_divide(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))
-    found = met.groupBy(*probes.columns).agg((F.count_if(above & right) % 2 == 1).alias("odd"), F.bool_or(on).alias("on"))
-    keys = probes.dropDuplicates().join(found, list(probes.columns), "left") if probes.columns else found
-    on = F.coalesce("on", F.lit(False))
-    return keys.select(*probes.columns, (F.coalesce("odd", F.lit(False)) & ~on).alias("inside"), on.alias("on"))
+    found = met.groupBy(*probes.columns).agg((F.count_if(above & right) % 2 == 1).alias("odd"), F.coalesce(F.bool_or(on), F.lit(False)).alias("on"))
+    return found.select(*probes.columns, (F.col("odd") & ~F.col("on")).alias("inside"), "on")
 
 
 def _boxes(shapes: DataFrame, *keys: str) -> DataFrame:
@@ -157,7 +155,7 @@ def _pieces(pairs: DataFrame, met: DataFrame, shapes: DataFrame, own: str, other
     every = lines.join(cuts, keys, "left").withColumn("t", F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), F.coalesce(F.array_compact("cuts"), F.array().cast("array<double>"))))))
     middle = F.transform(F.sequence(F.lit(0), F.size("t") - 2), lambda i: (F.get("t", i) + F.get("t", i + 1)) / 2)
     piece = every.select("l_id", "r_id", F.explode(middle).alias("m"), *a)
-    return piece.select("l_id", "r_id", (a[0] + F.col("m") * dx).alias("x"), (a[1] + F.col("m") * dy).alias("y"), dx.alias("dx"), dy.alias("dy"))
+    return piece.select("l_id", "r_id", (a[0] + F.col("m") * dx).alias("x"), (a[1] + F.col("m") * dy).alias("y"), dx.alias("dx"), dy.alias("dy")).distinct()
 
 
 def _contained(pairs: DataFrame, met: DataFrame, left: DataFrame, right: DataFrame, size: float) -> DataFrame:
@@ -170,7 +168,7 @@ def _contained(pairs: DataFrame, met: DataFrame, left: DataFrame, right: DataFra
     upon = mine.groupBy("l_id", "r_id").agg(F.bool_and("on").alias("upon")).where("upon").select("l_id", "r_id")
     step = F.explode(F.array(F.lit(-1e-7), F.lit(1e-7))).alias("step")
     beside = mine.join(upon, ["l_id", "r_id"]).select("l_id", "r_id", "x", "y", "dx", "dy", step)
-    beside = written(beside.select("l_id", "r_id", (F.col("x") - F.col("step") * F.col("dy")).alias("x"), (F.col("y") + F.col("step") * F.col("dx")).alias("y")), "shape-beside")
+    beside = written(beside.select("l_id", "r_id", (F.col("x") - F.col("step") * F.col("dy")).alias("x"), (F.col("y") + F.col("step") * F.col("dx")).alias("y")).distinct(), "shape-beside")
     within = located(located(beside.withColumn("shape", F.col("l_id")), left, size).select("l_id", "r_id", "x", "y", F.col("inside").alias("own"), F.col("r_id").alias("shape")), right, size)
     within = within.select("l_id", "r_id", (F.col("own") & ~F.col("inside")).alias("out"))
     hollow = upon.join(left.where("NOT filled").select(F.col("id").alias("l_id")).distinct(), "l_id", "left_semi").withColumn("out", F.lit(True))
