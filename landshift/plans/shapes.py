@@ -230,7 +230,9 @@ _EDGES = """
 def polygon_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Triangles, diamonds and boxes against polygons with holes, lines and points: which meet, which are contained."""
     d = Domain(spark, sf_dir)
-    found = polygons.relations(_edges_of(d.event_corner), _edges_of(d.feature_corner), 0.05)
+    (events, e_ids), (features, f_ids) = (polygons.outlines(_edges_of(c)) for c in (d.event_corner, d.feature_corner))
+    found = written(polygons.relations(events, features, 0.05), "shape-relations")
+    found = polygons.for_members(polygons.for_members(found, e_ids, "l_id"), f_ids, "r_id")
     return found.select(F.col("l_id").alias("event_id"), F.col("r_id").alias("feature_id"), "contains")
 
 
@@ -267,8 +269,9 @@ _APART = f"""
 def polygon_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Geodesic metres between shapes that are apart by 2,000 m at most."""
     d = Domain(spark, sf_dir)
-    events, features = _edges_of(d.event_corner), _edges_of(d.feature_corner)
+    (events, e_ids), (features, f_ids) = (polygons.outlines(_edges_of(c)) for c in (d.event_corner, d.feature_corner))
     near = polygons.nearest(events, features, 2000.0, 0.05).join(polygons.relations(events, features, 0.05), ["l_id", "r_id"], "left_anti")
+    near = polygons.for_members(polygons.for_members(written(near, "shape-distances"), e_ids, "l_id"), f_ids, "r_id")
     return near.select(F.col("l_id").alias("event_id"), F.col("r_id").alias("feature_id"), F.round("distance_m", 2).alias("distance_m"))
 
 

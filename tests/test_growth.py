@@ -16,3 +16,18 @@ def test_scenes_of_a_day_are_summed_before_they_meet_events(spark):
     assert samples.count() == 2
     got = {r.event_id: (r.date, round(r.mean, 9), r.fraction) for r in trajectory.series(samples).collect()}
     assert got == {1: ("2026-01-05", round((20 * 0.5 + 19) / 40, 9), 40 / 60), 2: ("2026-01-05", 0.5, 0.5)}
+
+
+def test_equal_outlines_are_compared_once(spark):
+    from landshift.operators import context, polygons
+
+    square = lambda i, x, *more: [(i, 0, a + x, b, c + x, d, True, *more) for a, b, c, d in ((0.0, 0.0, 0.01, 0.0), (0.01, 0.0, 0.01, 0.01), (0.01, 0.01, 0.0, 0.01), (0.0, 0.01, 0.0, 0.0))]
+    columns = "id long, part long, ax double, ay double, bx double, by double, filled boolean"
+    events = spark.createDataFrame([e for i in range(6) for e in square(i, 0.0)] + square(9, 0.02), columns)
+    features = spark.createDataFrame([e for i in range(20, 25) for e in square(i, 0.005, "a")] + square(30, 0.005, "b"), columns + ", kind string")
+    shapes, members = polygons.outlines(events)
+    assert {r.id for r in shapes.collect()} == {0, 9} and {(r.id, r.of) for r in members.collect()} == {(i, 0) for i in range(6)} | {(9, 9)}
+    assert {r.id for r in polygons.outlines(features, "kind")[0].collect()} == {20, 30}
+    got = {(r.event_id, r.feature_id, r.kind, r.relation) for r in context.shape_relations(events, features, 2000.0, 0.01).collect()}
+    touched = {(i, f, "b" if f == 30 else "a", "intersects") for i in range(6) for f in (*range(20, 25), 30)}
+    assert got == touched | {(9, 20, "a", "nearby"), (9, 30, "b", "nearby")}
