@@ -24,15 +24,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from landshift.operators.components import _SIDE, cell_id
+from landshift.operators.components import _SIDE, cell_id, over_tiles
 from landshift.sources.shared import removed, written
 
 TILE = 512
 
-#: For edges above, right, below and left of a cell, walked clockwise: the cell straight ahead, and the one across the corner.
-_AHEAD = np.array([1, _SIDE, -1, -_SIDE])
-_ACROSS = np.array([1 - _SIDE, _SIDE + 1, _SIDE - 1, -_SIDE - 1])
-_BEHIND = np.array([-_SIDE, 1, _SIDE, -1])
 _CHAIN = "kind string, patch long, edge long, place long, chain long, head long, follows long, size long, row long, col long"
 
 
@@ -56,9 +52,26 @@ def _ranked(follow: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _traced(tile: int):
+    """The edges of whole tiles. A cell has a number of its own in each tile that it is dealt to, tile by tile in rows of
+    ``wide`` cells, so no walk goes from one tile into the next."""
+    wide = tile + 2
+    # For edges above, right, below and left of a cell, walked clockwise: the cell straight ahead, the one across the corner, the one behind the edge.
+    ahead_of, across_of, behind_of = np.array([1, wide, -1, -wide]), np.array([1 - wide, wide + 1, wide - 1, -wide - 1]), np.array([-wide, 1, wide, -1])
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("cell")
-        cells, patch, own = (pdf[c].to_numpy() for c in ("cell", "patch", "own"))
+        scene, t_row, t_col, given = (pdf[c].to_numpy().astype(np.int64) for c in ("scene", "t_row", "t_col", "cell"))
+        new = np.append(True, (scene[1:] != scene[:-1]) | (t_row[1:] != t_row[:-1]) | (t_col[1:] != t_col[:-1]))[: len(given)]
+        number = np.cumsum(new) - 1
+        top, left = (t_row * tile - 1), (t_col * tile - 1)
+        base, top_of, left_of = (given // (_SIDE * _SIDE))[new], top[new], left[new]
+        local = (number * wide + (given // _SIDE % _SIDE - top)) * wide + (given % _SIDE - left)
+        order = np.argsort(local)
+        cells, patch, own = local[order], pdf["patch"].to_numpy()[order], pdf["own"].to_numpy()[order]
+
+        def world(at: np.ndarray) -> np.ndarray:
+            """Edges by the cells that they have everywhere."""
+            cell, of = at // 4, at // 4 // (wide * wide)
+            return ((base[of] * _SIDE + cell // wide % wide + top_of[of]) * _SIDE + cell % wide + left_of[of]) * 4 + at % 4
 
         def at(wanted: np.ndarray, of: np.ndarray) -> np.ndarray:
             """Whether a cell is there and belongs to the patch."""
@@ -68,12 +81,12 @@ def _traced(tile: int):
         mine = np.flatnonzero(own)
         cell, side = np.repeat(cells[mine], 4), np.tile(np.arange(4), len(mine))
         of = np.repeat(patch[mine], 4)
-        outer = ~at(cell + _BEHIND[side], of)
+        outer = ~at(cell + behind_of[side], of)
         cell, side, of = cell[outer], side[outer], of[outer]
         edge = cell * 4 + side
-        ahead, across = at(cell + _AHEAD[side], of), at(cell + _ACROSS[side], of)
+        ahead, across = at(cell + ahead_of[side], of), at(cell + across_of[side], of)
         turn = np.where(~ahead, 1, np.where(across, 3, 0))
-        following = np.where(turn == 1, cell, np.where(turn == 3, cell + _ACROSS[side], cell + _AHEAD[side])) * 4 + (side + turn) % 4
+        following = np.where(turn == 1, cell, np.where(turn == 3, cell + across_of[side], cell + ahead_of[side])) * 4 + (side + turn) % 4
         k = np.minimum(np.searchsorted(edge, following), max(len(edge) - 1, 0))
         follow = np.where(edge[k] == following, k, -1) if len(edge) else np.zeros(0, np.int64)
         last, steps, closed = _ranked(follow)
@@ -82,7 +95,8 @@ def _traced(tile: int):
         np.maximum.at(size, last, steps + 1)
         place = size[last] - 1 - steps
         # The corner at the end of an edge.
-        row, col = cell // _SIDE % _SIDE, cell % _SIDE
+        edge, following = world(edge), world(following)
+        row, col = edge // 4 // _SIDE % _SIDE, edge // 4 % _SIDE
         corner = turn != 0
         points = pd.DataFrame({"kind": np.where(closed, "ring", "chain"), "patch": of, "edge": edge, "place": place, "chain": edge[last], "head": -1, "follows": -1, "size": 0, "row": row + np.isin(side, (1, 2)), "col": col + np.isin(side, (0, 1))})[corner]
         first = np.flatnonzero(place == 0)
@@ -129,7 +143,7 @@ def corners(labelled: DataFrame, tile: int = TILE) -> DataFrame:
     near = [F.struct(F.floor((F.col("row") + i) / tile).alias("t_row"), F.floor((F.col("col") + j) / tile).alias("t_col")) for i in (-1, 0, 1) for j in (-1, 0, 1)]
     dealt = cells.select("cell", "patch", "scene", F.floor(F.col("row") / tile).alias("o_row"), F.floor(F.col("col") / tile).alias("o_col"), F.explode(F.array_distinct(F.array(*near))).alias("t"))
     dealt = dealt.select("cell", "patch", "scene", "t.t_row", "t.t_col", ((F.col("t.t_row") == F.col("o_row")) & (F.col("t.t_col") == F.col("o_col"))).alias("own"))
-    found = written(dealt.groupBy("scene", "t_row", "t_col").applyInPandas(_traced(tile), _CHAIN), "ring-edges")
+    found = written(over_tiles(dealt, _traced(tile), _CHAIN), "ring-edges")
     placed = _placed(found.where("kind = 'link'").select("chain", "head", "follows", "size"))
     closed = found.where("kind = 'ring'").select("patch", F.col("chain").alias("ring"), "place", "row", "col")
     over = found.where("kind = 'chain'").join(placed, "chain").select("patch", "ring", (F.col("before") + F.col("place")).alias("place"), "row", "col")

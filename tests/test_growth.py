@@ -31,3 +31,14 @@ def test_equal_outlines_are_compared_once(spark):
     got = {(r.event_id, r.feature_id, r.kind, r.relation) for r in context.shape_relations(events, features, 2000.0, 0.01).collect()}
     touched = {(i, f, "b" if f == 30 else "a", "intersects") for i in range(6) for f in (*range(20, 25), 30)}
     assert got == touched | {(9, 20, "a", "nearby"), (9, 30, "b", "nearby")}
+
+
+def test_small_tiles_are_worked_on_together(spark):
+    import pandas as pd
+
+    from landshift.operators import components
+
+    rows = spark.createDataFrame([(s, t, 0, s * 100 + t * 10 + k) for s in range(30) for t in range(3) for k in range(1 + s % 4)], "scene long, t_row long, t_col long, cell long").repartition(1)
+    whole = lambda pdf: pd.DataFrame({"tiles": [pdf[["scene", "t_row"]].drop_duplicates().shape[0]], "cells": [len(pdf)]})
+    calls = components.over_tiles(rows, whole, "tiles long, cells long").collect()
+    assert sum(r.tiles for r in calls) == 90 and sum(r.cells for r in calls) == rows.count() and len(calls) <= 4
