@@ -42,3 +42,18 @@ def test_small_tiles_are_worked_on_together(spark):
     whole = lambda pdf: pd.DataFrame({"tiles": [pdf[["scene", "t_row"]].drop_duplicates().shape[0]], "cells": [len(pdf)]})
     calls = components.over_tiles(rows, whole, "tiles long, cells long").collect()
     assert sum(r.tiles for r in calls) == 90 and sum(r.cells for r in calls) == rows.count() and len(calls) <= 4
+
+
+def test_boxes_are_linked_at_corners_of_what_they_share(spark):
+    from landshift.operators import footprints
+
+    rows = [(i, 1, i, i % 7, i % 5, i % 7 + i % 4, i % 5 + i % 3) for i in range(200)]
+    boxes = spark.createDataFrame(rows, "id long, k long, at long, x0 long, y0 long, x1 long, y1 long")
+    links = {(r.u, r.v) for r in footprints.linked_at(footprints.corner_points(boxes, ("id", "k", "at"), ("k",)), ("at",), ("k",)).collect()}
+    meet = lambda a, b: a[3] <= b[5] and b[3] <= a[5] and a[4] <= b[6] and b[4] <= a[6]
+    assert all(u > v and meet(rows[u], rows[v]) for u, v in links)
+    assert len(links) < sum(meet(a, b) for a in rows for b in rows if a[0] > b[0]) / 4
+    least = {}
+    for i in range(200):  # what can be reached is the same
+        least[i] = min([least[v] for u, v in links if u == i], default=i)
+        assert least[i] == min([least[b[0]] for b in rows[:i] if meet(rows[i], b)], default=i)
