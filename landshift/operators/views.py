@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from landshift.functions.text import blank_to_null, sanitized, stamp
@@ -126,12 +126,15 @@ def event_detail(features: DataFrame, context: DataFrame, lines: DataFrame, revi
     return out
 
 
-def lineage_looks(events: DataFrame, observations: DataFrame, rasters: DataFrame, methodologies: DataFrame, index: str = "NBR") -> DataFrame:
+def lineage_looks(events: DataFrame, observations: DataFrame, rasters: DataFrame, methodologies: DataFrame, index: str = "NBR", told: dict[str, Column] | None = None) -> DataFrame:
     """Per event, the rasters of one index and of its own lineage over its area, in order of time.
 
-    Rasters meet events by area and lineage; ``methodologies`` (id, lineage_id) is a small registry.
+    Rasters meet events by area and lineage; ``methodologies`` (id, lineage_id) is a small registry. ``told``: columns
+    made of ``looks`` to have in its place; they are made once per area and lineage, before events meet them.
     """
     own = events.select(F.col("id").alias("event_id"), "aoi_id", "methodology_id").join(F.broadcast(methodologies.select(F.col("id").alias("methodology_id"), "lineage_id")), "methodology_id")
     looks = rasters.where(F.col("index_type") == index).select("observation_id", "lineage_id").join(observations.select(F.col("id").alias("observation_id"), "aoi_id", "acquired_at"), "observation_id")
     line = looks.groupBy("aoi_id", "lineage_id").agg(F.sort_array(F.collect_list(F.struct("acquired_at", "observation_id"))).alias("looks"))
-    return own.join(line, ["aoi_id", "lineage_id"], "left").select("event_id", "looks")
+    if told:
+        line = line.select("aoi_id", "lineage_id", *[c.alias(n) for n, c in told.items()])
+    return own.join(line, ["aoi_id", "lineage_id"], "left").select("event_id", *(told or ["looks"]))
