@@ -138,7 +138,9 @@ def _placed(links: DataFrame) -> DataFrame:
 
 def corners(labelled: DataFrame, tile: int = TILE) -> DataFrame:
     """(patch, ring, place, row, col): corners of each ring in order, for cells (scene, row, col, patch)."""
-    cells = labelled.select(cell_id(F.col("scene"), F.col("row"), F.col("col")).alias("cell"), "scene", "row", "col", "patch")
+    # Edges are numbered by four for each cell, which leaves two bits less for the scene.
+    number = F.when(F.col("scene") < 1 << 21, cell_id(F.col("scene"), F.col("row"), F.col("col"))).otherwise(F.raise_error(F.lit("rings of scenes from 2**21 on")))
+    cells = labelled.select(number.alias("cell"), "scene", "row", "col", "patch")
     # A cell goes to its own tile and, as border, to those that its neighbours lie in.
     near = [F.struct(F.floor((F.col("row") + i) / tile).alias("t_row"), F.floor((F.col("col") + j) / tile).alias("t_col")) for i in (-1, 0, 1) for j in (-1, 0, 1)]
     dealt = cells.select("cell", "patch", "scene", F.floor(F.col("row") / tile).alias("o_row"), F.floor(F.col("col") / tile).alias("o_col"), F.explode(F.array_distinct(F.array(*near))).alias("t"))
