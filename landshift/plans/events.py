@@ -33,8 +33,9 @@ _MEET = "a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1"
 @query(f"""
     SELECT a.id AS left_id, b.id AS right_id FROM candidate a JOIN candidate b ON a.aoi_id = b.aoi_id AND a.methodology_id = b.methodology_id AND a.id < b.id AND {_MEET}""")
 def touching_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = Domain(spark, sf_dir).candidate.select("id", "aoi_id", "methodology_id", "x0", "y0", "x1", "y1")
-    pairs = boxes.near_pairs(c, c, ("aoi_id", "methodology_id")).where("l_id < r_id")
+    """Pairs of boxes that meet; equal boxes are compared once."""
+    c = boxes.listed(Domain(spark, sf_dir).candidate, "aoi_id", "methodology_id", "x0", "y0", "x1", "y1")
+    pairs = boxes.spelled(boxes.near_pairs(c, c, ("aoi_id", "methodology_id"))).where("l_id < r_id")
     return pairs.select(F.col("l_id").alias("left_id"), F.col("r_id").alias("right_id"))
 
 

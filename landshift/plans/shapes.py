@@ -45,7 +45,7 @@ def touching_footprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = Domain(spark, sf_dir)
     same = ("aoi_id", "methodology_id")
     runs = d.footprint.withColumnRenamed("candidate_id", "id").join(d.candidate.select("id", *same), "id")
-    pairs = footprints.touching(runs, runs, same, F.col("l_id") < F.col("r_id"))
+    pairs = footprints.touching_lists(runs, same).where("l_id < r_id")
     return pairs.select(F.col("l_id").alias("left_id"), F.col("r_id").alias("right_id"))
 
 
