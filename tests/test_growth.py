@@ -57,3 +57,17 @@ def test_boxes_are_linked_at_corners_of_what_they_share(spark):
     for i in range(200):  # what can be reached is the same
         least[i] = min([least[v] for u, v in links if u == i], default=i)
         assert least[i] == min([least[b[0]] for b in rows[:i] if meet(rows[i], b)], default=i)
+
+
+def test_looks_at_one_place_settle_at_once(spark, monkeypatch):
+    from landshift.operators import tracking
+
+    rounds = []
+    monkeypatch.setattr(tracking, "written", lambda df, name, own=tracking.written: rounds.append(name) or own(df, name))
+    rows = [(i, 1, 1, DAY + datetime.timedelta(days=i), 20 * (i % 2), 0, 20 * (i % 2) + 1 + i % 3, 2) for i in range(90)]
+    seen = spark.createDataFrame(rows, "id long, aoi_id long, methodology_id long, detected_at timestamp_ntz, x0 long, y0 long, x1 long, y1 long")
+    cells = spark.createDataFrame([(r[0], y, r[4], r[6]) for r in rows for y in (0, 1)], "candidate_id long, row long, c0 long, c1 long")
+    for footprints in (cells, None):
+        rounds.clear()
+        assert {(r.candidate_id, r.event_id) for r in tracking.tracked(seen, footprints).collect()} == {(i, i % 2) for i in range(90)}
+        assert rounds.count("tracked") == 3  # at first, and one round that changes nothing
