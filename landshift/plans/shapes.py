@@ -125,7 +125,7 @@ def footprint_growth_m2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Area on the ellipsoid that each measurement adds to its event's footprint."""
     d = Domain(spark, sf_dir)
     members = d.event_observation.select("event_id", "candidate_id", F.col("observed_at").alias("detected_at"))
-    grown = tracking.growth(members, footprints.cells(d.footprint, "candidate_id"), footprints.grid_area_m2(F.col("row"), NORTH, STEP, F.lit(1)))
+    grown = tracking.growth(members, d.footprint, footprints.grid_area_m2(F.col("row"), NORTH, STEP, F.lit(1)))
     return grown.withColumn("growth_m2", F.round("growth_m2", 1))
 
 

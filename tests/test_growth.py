@@ -71,3 +71,15 @@ def test_looks_at_one_place_settle_at_once(spark, monkeypatch):
         rounds.clear()
         assert {(r.candidate_id, r.event_id) for r in tracking.tracked(seen, footprints).collect()} == {(i, i % 2) for i in range(90)}
         assert rounds.count("tracked") == 3  # at first, and one round that changes nothing
+
+
+def test_equal_runs_of_an_event_become_cells_once(spark, monkeypatch):
+    from landshift.operators import footprints, tracking
+
+    opened = []
+    monkeypatch.setattr(tracking, "footprint_cells", lambda runs, *keys: opened.append(runs) or footprints.cells(runs, *keys))
+    members = spark.createDataFrame([(1, i, DAY + datetime.timedelta(days=i)) for i in range(40)], "event_id long, candidate_id long, detected_at timestamp_ntz")
+    runs = spark.createDataFrame([(i, r, 0, 3 + i % 4) for i in range(40) for r in range(2)], "candidate_id long, row long, c0 long, c1 long")
+    got = {r.candidate_id: r.growth_m2 for r in tracking.growth(members, runs, 1.0).collect()}
+    assert got == {i: None if i == 0 else 2.0 if i < 4 else 0.0 for i in range(40)}
+    assert opened[0].count() == 8
