@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from landshift.functions.text import blank_to_null, sanitized, stamp
 from landshift.operators.catalog import latest
+from landshift.sources.shared import written
 
 RECENT_RUNS, TAIL = 20, 50
+SHORT_TEXT, TASK_BYTES = 1 << 17, 1 << 25
+_LINE = ("aoi_id", "lineage_id")
 
 
 def area_listing(areas: DataFrame, events: DataFrame, files: DataFrame, cells: DataFrame) -> DataFrame:
@@ -126,15 +129,42 @@ def event_detail(features: DataFrame, context: DataFrame, lines: DataFrame, revi
     return out
 
 
-def lineage_looks(events: DataFrame, observations: DataFrame, rasters: DataFrame, methodologies: DataFrame, index: str = "NBR", told: dict[str, Column] | None = None) -> DataFrame:
+def lineage_looks(events: DataFrame, observations: DataFrame, rasters: DataFrame, methodologies: DataFrame, index: str = "NBR", as_text: bool = False) -> DataFrame:
     """Per event, the rasters of one index and of its own lineage over its area, in order of time.
 
-    Rasters meet events by area and lineage; ``methodologies`` (id, lineage_id) is a small registry. ``told``: columns
-    made of ``looks`` to have in its place; they are made once per area and lineage, before events meet them.
+    Rasters meet events by area and lineage; ``methodologies`` (id, lineage_id) is a small registry. ``as_text``: the number
+    of looks and their observations' ids, joined by commas (looks, ids), null where there are none, instead of the list.
     """
     own = events.select(F.col("id").alias("event_id"), "aoi_id", "methodology_id").join(F.broadcast(methodologies.select(F.col("id").alias("methodology_id"), "lineage_id")), "methodology_id")
     looks = rasters.where(F.col("index_type") == index).select("observation_id", "lineage_id").join(observations.select(F.col("id").alias("observation_id"), "aoi_id", "acquired_at"), "observation_id")
-    line = looks.groupBy("aoi_id", "lineage_id").agg(F.sort_array(F.collect_list(F.struct("acquired_at", "observation_id"))).alias("looks"))
-    if told:
-        line = line.select("aoi_id", "lineage_id", *[c.alias(n) for n, c in told.items()])
-    return own.join(line, ["aoi_id", "lineage_id"], "left").select("event_id", *(told or ["looks"]))
+    if as_text:
+        return _told(own, _look_texts(looks)).select("event_id", "looks", "ids")
+    line = looks.groupBy(*_LINE).agg(F.sort_array(F.collect_list(F.struct("acquired_at", "observation_id"))).alias("looks"))
+    return own.join(line, list(_LINE), "left").select("event_id", "looks")
+
+
+def _look_texts(looks: DataFrame) -> DataFrame:
+    """(aoi_id, lineage_id, looks, ids): texts are made a day at a time, so that looks are never all in one list."""
+    listed = F.sort_array(F.collect_list(F.struct("acquired_at", "observation_id")))
+    days = looks.groupBy(*_LINE, F.to_date("acquired_at").alias("day")).agg(F.count("*").alias("n"), F.array_join(F.transform(listed, lambda x: x["observation_id"].cast("string")), ",").alias("text"))
+    texts = F.transform(F.sort_array(F.collect_list(F.struct("day", "text"))), lambda x: x["text"])
+    return days.groupBy(*_LINE).agg(F.sum("n").alias("looks"), F.array_join(texts, ",").alias("ids"))
+
+
+def _told(own: DataFrame, line: DataFrame) -> DataFrame:
+    """Events with the text of their area and lineage. Where texts are long, a task has rows of about ``TASK_BYTES`` for a
+    text, because what writes them holds a hundred rows before it looks at their size. Texts are not copied for that: they are
+    dealt out once, and each task reads its own and some of their events."""
+    own, line = written(own, "look-events", tidy=True), written(line.withColumn("size", F.length("ids")), "look-texts", tidy=True)
+    events = own.groupBy(*_LINE).agg(F.count("*").alias("events"))
+    widest, lines, most = line.join(events, list(_LINE)).agg(F.max("size"), F.count("*"), F.max("events")).first()
+    if not widest or widest <= SHORT_TEXT:
+        return own.join(line, list(_LINE), "left")
+    parts = -(-most // max(1, TASK_BYTES // widest))
+    turn = F.row_number().over(Window.partitionBy(*_LINE).orderBy("event_id")) % parts
+    left = own.withColumn("turn", turn).repartitionById(parts, F.col("turn")).drop("turn")
+    # More partitions than texts, so that few texts share one.
+    right = line.select(*[F.col(c).alias(f"l_{c}") for c in _LINE], "looks", "ids").repartition(2 * lines, *[f"l_{c}" for c in _LINE])
+    met = left.join(right.hint("shuffle_replicate_nl"), (F.col("aoi_id") == F.col("l_aoi_id")) & (F.col("lineage_id") == F.col("l_lineage_id")))
+    none = own.join(line.select(*_LINE), list(_LINE), "left_anti")
+    return met.select("event_id", "looks", "ids").unionByName(none.select("event_id"), allowMissingColumns=True)
